@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardenflow.llm.common import documents
 from wardenflow.llm.exact_dedup import exact_dedup
+from wardenflow.llm.simhash_dedup import near_groups
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +21,13 @@ select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc
 from t window g as (partition by text_sha256)
 """
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
