@@ -50,7 +50,8 @@ def frequent(table: DataFrame, column: str, tracked: int = 1024, fan_in: int = 2
     ``tracked`` rows come out, whatever the size of ``table``.
     """
     low = table.groupBy((F.spark_partition_id() % fan_in).alias("part")).agg(F.expr(f"approx_top_k_accumulate({column}, {4 * tracked})").alias("summary"))
-    top = low.agg(F.expr(f"approx_top_k_combine(summary, {4 * tracked})").alias("summary"))
+    # grouped, as a partition without rows has no summary that could be merged
+    top = low.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(summary, {4 * tracked})").alias("summary"))
     named = top.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {tracked})")).alias("x")).select(F.col("x.item").alias(column), F.col("x.count").alias("guess"))
     named = named.filter(F.col("guess") >= heavy_rows).select(column)
     return table.join(F.broadcast(named), column).groupBy(column).agg(F.count(F.lit(1)).alias("group_size"), F.min(_first()).alias("first")).filter(F.col("group_size") >= heavy_rows)
