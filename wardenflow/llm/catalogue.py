@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wardenflow.llm.common import documents
 from wardenflow.llm.exact_dedup import exact_dedup
+from wardenflow.llm.mixing import mix
+from wardenflow.llm.packing import packed
 from wardenflow.llm.simhash_dedup import near_groups
 
 
@@ -21,15 +24,74 @@ select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc
 from t window g as (partition by text_sha256)
 """
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), size=1024)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).drop("row")
+
+
+OP8_SQL = r"""
+with sizes as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents
+), by_source as (
+    select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as turn from sizes group by source
+), weighed as (
+    select source, source_size, cast(case turn % 3 when 0 then 5 when 1 then 2 else 1 end as double) as weight, cast(3 as double) * source_size as cap from by_source
+), ordered as (
+    select *, cast(sum(source_size) over () as double) as total,
+        coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as capped_before,
+        sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as weight_left
+    from weighed
+), flagged as (
+    select *, (total - capped_before) * weight > cap * weight_left as capped from ordered
+), goals as (
+    select source, source_size, case when capped then cap else
+        (total - coalesce(sum(case when capped then cap end) over (), 0)) * weight / sum(case when not capped then weight end) over () end as target
+    from flagged
+), rows_ as (
+    select doc_id, size, g.source, source_size, target,
+        case when source_size > 0 then target / source_size else 0 end as ratio,
+        (cast(('0x' || substr(md5('7:' || coalesce(cast(doc_id as varchar), '')), 1, 13)) as bigint) + cast(0.5 as double)) / cast(4503599627370496 as double) as u
+    from sizes s join goals g on s.source is not distinct from g.source
+), ranked as (
+    select *, floor(ratio) as whole, ratio - floor(ratio) as probability, target - floor(ratio) * source_size as wanted,
+        case when ratio - floor(ratio) > 0 then (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) end as q
+    from rows_
+), placed as (
+    select *, coalesce(sum(size) over (partition by source order by q nulls last, doc_id nulls last rows between unbounded preceding and 1 preceding), 0) as ahead from ranked
+), first_places as (
+    select doc_id, source, size, source_size, target, whole, q, wanted, coalesce(q is not null and ahead + size <= wanted, false) as chosen from placed
+), filled0 as (
+    select * from first_places
+){fillers}
+select doc_id, size, source_size, target, cast(whole as bigint) + cast(chosen as bigint) as copies,
+    (cast(whole as bigint) + cast(chosen as bigint)) * size as taken
+from filled3
+"""
+FILLER_SQL = """, gaps{k} as (
+    select *, wanted - sum(case when chosen then size else 0 end) over (partition by source) as gap from filled{j}
+), may{k} as (
+    select *, not chosen and q is not null and size > 0 and size <= gap as may from gaps{k}
+), filled{k} as (
+    select doc_id, source, size, source_size, target, whole, q, wanted,
+        chosen or (may and row_number() over (partition by source, may order by size desc, q, doc_id nulls last) = 1) as chosen from may{k}
+)"""
+OP8_SQL = OP8_SQL.replace("{fillers}", "".join(FILLER_SQL.format(j=k - 1, k=k) for k in (1, 2, 3)))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_source_mixing": op8_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op8_source_mixing": OP8_SQL,
 }
