@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardenflow.llm.common import documents
 from wardenflow.llm.exact_dedup import exact_dedup
+from wardenflow.llm.language_id import identify
 from wardenflow.llm.mixing import mix
 from wardenflow.llm.packing import packed
 from wardenflow.llm.simhash_dedup import near_groups
+from wardenflow.llm.winnowing import edited_fingerprints
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,10 @@ select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc
 from t window g as (partition by text_sha256)
 """
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), size=1024)
 
@@ -32,6 +38,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("row")
 
@@ -86,9 +96,11 @@ OP8_SQL = OP8_SQL.replace("{fillers}", "".join(FILLER_SQL.format(j=k - 1, k=k) f
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op10_winnowing": op10_winnowing,
 }
 
 ORACLES: dict[str, str] = {
