@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from wardenflow.llm.common import documents
 from wardenflow.llm.exact_dedup import exact_dedup
 from wardenflow.llm.language_id import identify
+from wardenflow.llm.lm_score import score
 from wardenflow.llm.mixing import mix
 from wardenflow.llm.packing import packed
+from wardenflow.llm.pii import find_personal_data
+from wardenflow.llm.secrets import find_secrets
 from wardenflow.llm.simhash_dedup import near_groups
 from wardenflow.llm.winnowing import edited_fingerprints
 
@@ -34,14 +37,26 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), size=1024)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("row")
 
@@ -98,8 +113,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_pii": op4_pii,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_source_mixing": op8_source_mixing,
+    "op9_secrets": op9_secrets,
     "op10_winnowing": op10_winnowing,
 }
 
