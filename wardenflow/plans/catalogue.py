@@ -1,6 +1,13 @@
-"""Queries over the driver's tables by name, with their SQL."""
+"""All queries over the driver's tables, and the flagship."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from wardenflow.plans import event_queries, finding_queries, graph_queries, text_queries  # noqa: F401
+from wardenflow.plans.registry import ORACLES, QUERIES  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events to windowed counts, first triggers, scored findings, in canonical order."""
+    return QUERIES["brute_force_windows"](spark, sf_dir)
