@@ -138,11 +138,15 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 128, orders: int =
     return Model(languages, grams, np.ascontiguousarray(z.T, np.float32), (whiten @ solved).astype(np.float32))
 
 
-def training_sample(rows: DataFrame, per_class: int, most_chars: int) -> pd.DataFrame:
-    """text and lang of at most ``per_class`` rows of each language, by the order of a hash of the id."""
+def training_sample(rows: DataFrame, per_class: int, most_chars: int, most_broadcast: int = 10_000) -> pd.DataFrame:
+    """text and lang of at most ``per_class`` rows of each language, by the order of a hash of the id.
+
+    Rows are thinned to about twice that where they are read; ``most_broadcast`` languages at most are broadcast.
+    """
     rows = rows.filter("lang is not null and text is not null").filter(F.char_length("text") <= most_chars)
     rows = rows.withColumn("u", F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40)))
-    rates = rows.groupBy("lang").count().select(F.col("lang").alias("l__"), (F.lit(2.0 * per_class) / F.col("count")).alias("rate"))
+    rates = settle(rows.groupBy("lang").count().select(F.col("lang").alias("l__"), (F.lit(2.0 * per_class) / F.col("count")).alias("rate")), "rates")
+    rates = F.broadcast(rates) if rates.count() <= most_broadcast else rates
     few = rows.join(rates, F.col("lang") == F.col("l__")).filter("u < rate")
     order = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
     few = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_class)
