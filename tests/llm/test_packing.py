@@ -42,10 +42,13 @@ def test_local_search_keeps_items_and_never_adds_bins():
 
 
 def test_exchanges_empty_a_bin():
-    # best fit leaves a bin that one-for-one and two-for-one exchanges can empty
-    lengths = [60, 50, 35, 30, 30, 25, 40, 30]
-    assert len(local_search([[0, 2], [1, 3], [4, 5, 6], [7]], lengths, 100)) == 3
-    assert len(pack(lengths, 100)) == 3
+    lengths = [70, 20, 30, 60, 20]  # 30 for 20 fills the first bin, then 20 moves into the last
+    bins = local_search([[0, 1], [2], [3, 4]], lengths, 100)
+    assert sorted(sum(lengths[i] for i in b) for b in bins) == [100, 100]
+    lengths = [70, 15, 12, 13, 50, 35]  # two for one: 12 and 13 for 15 leave 15, which moves
+    bins = local_search([[0, 1], [2, 3], [4, 5]], lengths, 95)
+    assert len(bins) <= 3 and sorted(i for b in bins for i in b) == [*range(6)]
+    assert len(pack([60, 40, 50, 50, 99, 1], 100)) == 3
 
 
 def test_round_trip(spark):

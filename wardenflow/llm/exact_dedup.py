@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardenflow.llm.common import SPACES, settle, text_of
+from wardenflow.llm.common import SPACES, fresh, settle, text_of
 
 
 def normalised(column: str = "text"):
@@ -81,12 +81,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 1024) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Decisions are joined back by id. Only if a kept id occurs in several rows, are those rows told apart by digest.
+    Decisions are joined back by id, at every size by a merge join: ids spread evenly, and texts are shuffled once. Only if a kept id occurs in several rows, are those rows told apart by digest.
     """
-    kept = settle(exact_dedup(docs, id_col, text_col, tracked).filter("kept").select(F.col("doc_id").alias("kept_id__"), F.col("text_sha256").alias("kept_sha__")), "kept")
-    plain = docs.join(kept.select("kept_id__"), docs[id_col].eqNullSafe(F.col("kept_id__")), "left_semi")
+    kept_id, kept_sha, sha = (fresh(docs, n) for n in ("kept_id", "kept_sha", "sha"))
+    kept = settle(exact_dedup(docs, id_col, text_col, tracked).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)), "kept")
+    plain = docs.join(kept.select(kept_id).hint("merge"), F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
     held = docs.groupBy(id_col).count().filter(f"count > 1 or {id_col} is null").limit(1)
     if held.isEmpty():
         return plain
-    sha = plain.withColumn("sha__", F.sha2(normalised(text_col), 256))
-    return sha.join(kept, sha[id_col].eqNullSafe(F.col("kept_id__")) & (F.col("sha__") == F.col("kept_sha__")), "left_semi").dropDuplicates([id_col, "sha__"]).drop("sha__")
+    marked = plain.withColumn(sha, F.sha2(normalised(text_col), 256))
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, sha]).drop(sha)

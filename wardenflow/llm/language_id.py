@@ -21,7 +21,6 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardenflow.llm.common import crc_mod, settle
+from wardenflow.llm.common import crc_mod, fresh, settle
 
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
@@ -153,28 +152,37 @@ def training_sample(rows: DataFrame, per_class: int, most_chars: int, most_broad
     return few.select("lang", "k", "text").toPandas().sort_values(["k", "lang"], ignore_index=True)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 250, most_chars: int = 20_000, **options) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row; rows whose crc32(id) mod 3 is 1 are held out of the fit."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (crc_mod(id_col, 3) == 1).alias("held_out"))
-    sample = training_sample(rows.filter("not held_out"), per_class, most_chars)
+def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 250, most_chars: int = 20_000, **options):
+    """A broadcast model (or None) of the labelled rows of ``docs`` whose crc32(id) mod 3 is not 1."""
+    rows = docs.filter(crc_mod(id_col, 3) != 1).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sample = training_sample(rows, per_class, most_chars)
     sample = sample[[bool(LETTER.search(x)) for x in sample["text"]]]
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample["text"].tolist(), sample["lang"].tolist(), **options))
+    return docs.sparkSession.sparkContext.broadcast(fit(sample["text"].tolist(), sample["lang"].tolist(), **options))
+
+
+def predictor(model):
+    """A function of a text column that gives ``lang_pred, score``."""
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            langs, scores = model.value.predict(texts) if model.value else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
-            yield batch[["doc_id", "held_out"]].assign(lang_pred=langs, score=scores)
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        langs, scores = model.value.predict(texts.tolist()) if model.value else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "held_out", "text").mapInPandas(predict, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    return F.pandas_udf(predict, "lang_pred string, score double")
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each row; rows whose crc32(id) mod 3 is 1 are held out of the fit."""
+    predict = predictor(trained(docs, id_col, text_col, lang_col, **options))
+    out = docs.select(F.col(id_col).alias("doc_id"), (crc_mod(id_col, 3) == 1).alias("held_out"), predict(F.col(text_col).cast("string")).alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.0, **options) -> DataFrame:
     """The rows of ``docs`` with a language, all columns kept; rejected are 'und' and scores under ``min_score``.
 
-    Decisions are joined back by id; rows that repeat an id stand if one of them stands.
+    Each row is decided where it is read, so nothing is joined or shuffled.
     """
-    found = identify(docs, id_col, text_col, lang_col, **options).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    kept = settle(found.select(F.col("doc_id").alias("kept_id__")).distinct(), "identified")
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("kept_id__")), "left_semi")
+    predict = predictor(trained(docs, id_col, text_col, lang_col, **options))
+    found = fresh(docs, "found")
+    out = docs.withColumn(found, predict(F.col(text_col).cast("string")))
+    return out.filter((F.col(found)["lang_pred"] != UNDETERMINED) & (F.col(found)["score"] >= min_score)).select(*docs.columns)

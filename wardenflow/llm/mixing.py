@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardenflow.llm.common import WORDS, settle, text_of
+from wardenflow.llm.common import WORDS, fresh, settle, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -131,12 +131,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; all columns stay. Rows of size 0 are kept once.
 
-    Decisions are joined back by id. Rows that repeat an id are matched by their order of size and source, so a
+    Decisions are joined back by id, at every size by a merge join. Rows that repeat an id are matched by their order of size and source, so a
     repeated row is taken as often as one of its equals.
     """
+    id_, size, copies, words, copy = (fresh(docs, n) for n in ("id_", "size", "copies", "words", "copy"))
     plan = mix(docs, id_col, text_col, source_col, **options)
     plan = plan.withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))).filter("copies > 0")
-    plan = settle(plan.groupBy("doc_id", "size").agg(F.max("copies").alias("copies__")).withColumnsRenamed({"doc_id": "id__", "size": "size__"}), "copies")
-    sized = docs.withColumn("words__", F.regexp_count(text_of(text_col), F.lit(WORDS)).cast("long"))
-    joined = sized.join(plan, sized[id_col].eqNullSafe(plan["id__"]) & (F.col("words__") == F.col("size__")))
-    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(*[docs[c] for c in docs.columns])
+    plan = settle(plan.groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).select(F.col("doc_id").alias(id_), F.col("size").alias(size), F.col("copies").alias(copies)), "copies")
+    sized = docs.withColumn(words, F.regexp_count(text_of(text_col), F.lit(WORDS)).cast("long"))
+    joined = sized.join(plan.hint("merge"), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(words) == F.col(size)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

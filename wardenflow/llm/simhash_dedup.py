@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardenflow.llm.common import settle
+from wardenflow.llm.common import fresh, settle
 from wardenflow.llm.components import connected_components
 
 FULL = (1 << 64) - 1
@@ -197,10 +197,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 65536) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id.
 
-    Rows with a null id are kept. Rows that repeat a kept id and its text count once.
+    Decisions are joined back by id, at every size by a merge join. Rows with a null id are kept. Rows that repeat a kept id and its text count once.
     """
-    kept = near_groups(docs, id_col, text_col, crowd).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id__")).distinct()
-    kept = settle(kept, "kept")
-    out = docs.filter(F.col(id_col).isNull()).unionByName(docs.join(kept, docs[id_col] == kept["kept_id__"], "left_semi"))
+    kept_id = fresh(docs, "kept_id")
+    kept = settle(near_groups(docs, id_col, text_col, crowd).filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct(), "kept")
+    out = docs.filter(F.col(id_col).isNull()).unionByName(docs.join(kept.hint("merge"), F.col(id_col) == F.col(kept_id), "left_semi"))
     held = docs.groupBy(id_col).count().filter(f"count > 1 and {id_col} is not null").limit(1)
     return out if held.isEmpty() else out.dropDuplicates([id_col, text_col])
