@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wardenflow.llm.common import documents
 from wardenflow.llm.exact_dedup import exact_dedup
 from wardenflow.llm.language_id import identify
+from wardenflow.llm.line_dedup import dedup_lines
 from wardenflow.llm.lm_score import score
 from wardenflow.llm.mixing import mix
 from wardenflow.llm.packing import packed
@@ -41,6 +42,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_pii": op4_pii,
+    "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_source_mixing": op8_source_mixing,

@@ -156,7 +156,7 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """A broadcast model (or None) of the labelled rows of ``docs`` whose crc32(id) mod 3 is not 1."""
     rows = docs.filter(crc_mod(id_col, 3) != 1).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sample = training_sample(rows, per_class, most_chars)
-    sample = sample[[bool(LETTER.search(x)) for x in sample["text"]]]
+    sample = sample[sample["text"].map(lambda x: bool(LETTER.search(x))).astype(bool)]
     return docs.sparkSession.sparkContext.broadcast(fit(sample["text"].tolist(), sample["lang"].tolist(), **options))
 
 
