@@ -205,3 +205,20 @@ def range_join(t: Tables):  # J7
 @query("json_props", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def json_props(t: Tables):  # S9
     return t.events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("stateful_log_stream")
+def stateful_log_stream(t: Tables):
+    """The events table as a stream that ends when it has been read; alerts are written to the shared folder."""
+    import uuid
+
+    from wardenflow.storage import shared_dir
+    from wardenflow.streaming.log_stream import ALERT, alerts
+
+    folder = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    rows = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    kind = F.col("event_type")
+    rows = rows.select(F.col("user_id").cast("string").alias("ip"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("idx"), (kind == "error").alias("failed"), (kind == "purchase").alias("success"), (kind == "click").alias("error"), (kind == "view").alias("hit"))
+    run = alerts(rows, window_s=86_400, failures=3, errors=3, requests=6).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.schema(ALERT).parquet(f"{folder}/out")
