@@ -222,3 +222,17 @@ def stateful_log_stream(t: Tables):
     run = alerts(rows, window_s=86_400, failures=3, errors=3, requests=6).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return t.spark.read.schema(ALERT).parquet(f"{folder}/out")
+
+
+@query("time_parsing", "select event_id, epoch_us(ts) // 1000 as ms, epoch_us(date_trunc('second', ts)) // 1000 as access_ms from events")
+def time_parsing(t: Tables):  # X9: ISO times and those of access logs
+    at = F.col("ts").cast("timestamp")
+    iso, access = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.concat(F.date_format(at, "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000"))
+    return t.events.select("event_id", X.epoch_ms(iso).alias("ms"), X.epoch_ms(access).alias("access_ms"))
+
+
+@query("lines_around", "select distinct s.l_orderkey as file, s.l_linenumber as line, l.l_linenumber as near_line from lineitem s join lineitem l on l.l_orderkey = s.l_orderkey and l.l_linenumber between s.l_linenumber - 2 and s.l_linenumber where s.l_returnflag = 'R'")
+def lines_around(t: Tables):  # J23
+    lines = t.lineitem.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), "l_returnflag")
+    steps = lines.filter("l_returnflag = 'R'").select("file", "line").distinct()
+    return P.lines_around(steps, lines.select("file", "line"), 2).select("file", "line", "near_line").distinct()

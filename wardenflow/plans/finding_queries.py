@@ -268,3 +268,31 @@ def scorecard(t: Tables):  # A22
 def root_causes(t: Tables):  # A17
     rows = t.part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("category"), F.col("p_type").alias("cwe"), F.when(F.col("p_size") <= 10, "confirmed").otherwise("open").alias("status"))
     return N.root_causes(rows).withColumn("ids", F.array_join("ids", ","))
+
+
+@query("guard_totals", "select count(*) as handlers, count(*) filter (where lang <> 'en') as unguarded, count(*) filter (where n_chars < 100) as file_scoped, count(*) >= 3 and bool_and(lang <> 'en') as no_auth_anywhere from documents")
+def guard_totals(t: Tables):  # A13
+    return N.guard_totals(t.documents.select((F.col("lang") == "en").alias("guarded"), (F.col("n_chars") < 100).alias("file_scoped")))
+
+
+@query("grounded_entries", "select p_brand || '/' || p_type as entry from part group by p_brand, p_type having bool_and(p_size <= 45)")
+def grounded_entries(t: Tables):  # J18
+    entry = F.concat_ws("/", "p_brand", "p_type")
+    entries = t.part.groupBy(entry.alias("entry")).agg(F.collect_list(F.col("p_partkey").cast("string")).alias("ids"))
+    known = t.part.select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") <= 45, "confirmed").otherwise("open").alias("status"))
+    return D.grounded(entries, known).select("entry")
+
+
+@query(
+    "reconcile_reviews",
+    f"with f as ({FOLD_FINDINGS_SQL}), l as (select cast(doc_id as varchar) as id, case when toxic = 1 then 'dismissed' else 'open' end as status from labels) select f.id, case when f.severity = 'high' and l.status is not null and l.status <> f.status then 'needs-human' else f.status end as status from f left join l on l.id = f.id",
+)
+def reconcile_reviews(t: Tables):  # J21
+    second = t.labels.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("toxic") == 1, "dismissed").otherwise("open").alias("status"))
+    return D.reconcile(fold_findings(t), second).select("id", "status")
+
+
+@query("tool_status", "select cast(s_suppkey as varchar) as tool, case when s_nationkey < 5 then 'skipped' when s_acctbal < 0 then 'failed' when s_nationkey % 3 = 0 then 'empty' else 'ran' end as status from supplier")
+def tool_status(t: Tables):  # A16
+    runs = t.supplier.select(F.col("s_suppkey").cast("string").alias("tool"), (F.col("s_nationkey") >= 5).alias("applicable"), (F.col("s_acctbal") >= 0).alias("exit_ok"), (F.col("s_nationkey") % 3).alias("findings"))
+    return N.tool_status(runs)
