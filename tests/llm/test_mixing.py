@@ -4,7 +4,7 @@ import re
 import pytest
 
 from tests.llm import cases
-from wardenflow.llm.mixing import mix, mixed_documents, targets
+from wardenflow.llm.mixing import mix, mixed_documents, pareto_sample, targets
 
 
 def resharing(sizes, weights=(5, 2, 1), most=3):
@@ -62,3 +62,17 @@ def test_empty_and_zero(spark):
     assert mix(cases.empty(spark)).count() == 0
     only = mix(cases.table(spark, [(1, None, None, None, None), (2, " ", "en", "a", 1)])).collect()
     assert [(r.size, r.target, r.taken) for r in only] == [(0, 0.0, 0), (0, 0.0, 0)]
+
+
+def test_a_long_document_does_not_end_the_sample(spark):
+    # half of 4000 words wanted; a document of 1000 comes in order when 1400 are taken, 600 short ones fit behind it
+    rows = [(i, i, "a", 1, (i + 0.5) / 3000, 0.5, 2000.0) for i in range(3000)] + [(3000, 3000, "a", 1000, 1400.2 / 3000, 0.5, 2000.0)]
+    rows += [(4000 + i, i, None, 40 + i % 90, ((i * 7919) % 500 + 0.5) / 500, 0.4, 15_000.0) for i in range(500)] + [(5000, 5000, None, 9_000, 0.2, 0.4, 15_000.0)]
+    docs = spark.createDataFrame(rows, "row long, doc_id long, source string, size long, u double, probability double, wanted double")
+    got = pareto_sample(docs, buckets=16).toPandas()
+    assert len(got) == len(rows) and got.row.is_unique
+    part = got[got.source == "a"]
+    assert part[part.chosen]["size"].sum() == 2000 and not part[part["size"] == 1000].chosen.any()
+    part = got[got.source.isna()]
+    gap = 15_000 - part[part.chosen]["size"].sum()
+    assert 0 <= gap < part[~part.chosen]["size"].min()

@@ -4,7 +4,9 @@ A source's target over its size says how often each of its documents is wanted.
 every document as certain copies; the rest is its inclusion probability in a sample without replacement of fixed size.
 Pareto order sampling ranks documents by odds(u) / odds(probability) with u uniform, and takes the first ones. Here the
 fixed size is in words: the first documents are taken as long as they fit into what the certain copies leave open, and
-the last places, three at most, go each to the largest document not yet taken that still fits.
+the next places, three at most, go each to the largest document not yet taken that still fits. If others fit even then,
+as behind a very long document that did not, rounds go on until none does: in each, those that fit are taken in order,
+then the largest one that is left. A round at least halves what is open, so there are few.
 
 The rank is found without sorting a source in one task. The ranking quantity q is cut into ``buckets`` of q / (1 + q);
 words are summed by bucket, and only in the one bucket where a source's sample ends are rows ordered. q is near one
@@ -23,6 +25,8 @@ Defined results
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,15 +69,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return rows.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(left * F.col("weight") / open_weight).alias("target"))
 
 
-def pareto_sample(rows: DataFrame, buckets: int = 4096, fillers: int = 3) -> DataFrame:
-    """``rows`` with a boolean ``chosen``: the first by Pareto rank that fit into ``wanted``, and few to fill the gap.
-
-    ``rows`` has row, doc_id, source (the stratum), size, u, probability and wanted (words of the stratum's sample).
-    Probabilities may differ within a stratum; a row with probability 0 is not chosen.
-    """
-    odds = lambda p: p / (F.lit(1.0) - p)
-    ranked = rows.withColumn("q", F.when(F.col("probability") > 0, odds(F.col("u")) / odds(F.col("probability"))))
-    ranked = ranked.withColumn("bucket", F.floor(F.lit(float(buckets)) * F.col("q") / (F.lit(1.0) + F.col("q"))))
+def in_order(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` (row, doc_id, source, size, q, wanted) with ``chosen``: the first of each source by q that fit into ``wanted``."""
+    ranked = rows.withColumn("bucket", F.floor(F.lit(float(buckets)) * F.col("q") / (F.lit(1.0) + F.col("q"))))
     sums = ranked.filter("q is not null").groupBy("source", "bucket").agg(F.sum("size").alias("here"), F.first("wanted").alias("wanted"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("upto", F.sum("here").over(upto)).withColumn("ahead", F.col("upto") - F.col("here"))
@@ -84,17 +82,49 @@ def pareto_sample(rows: DataFrame, buckets: int = 4096, fillers: int = 3) -> Dat
     order = Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last(), "row").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0))
     last = placed.filter(ends).withColumn("chosen", ahead + F.col("size") <= F.col("wanted"))
-    first = settle(rest.unionByName(last).drop("bucket", "upto", "ahead"), "first_places")
+    return rest.unionByName(last).drop("bucket", "upto", "ahead")
+
+
+def largest() -> Column:
+    """For a minimum: the largest document, then the first by rank."""
+    return F.struct((-F.col("size")).alias("less"), F.col("q"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
+
+
+def fill_up(rest: DataFrame, buckets: int) -> DataFrame | None:
+    """``r__``, the rows of ``rest`` (as for :func:`in_order`, all of a size within ``wanted``) taken until none fits; None if there are none."""
+    taken = []
+    while not rest.isEmpty():
+        placed = settle(in_order(rest, buckets), "more_places")
+        gaps = placed.groupBy("source").agg((F.first("wanted") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
+        gaps = gaps.withColumnRenamed("source", "s__")
+        left = placed.filter("not chosen").join(gaps, F.col("source").eqNullSafe(F.col("s__"))).filter("size <= gap").drop("s__")
+        left = settle(left, "more_left")
+        found = settle(left.groupBy(F.col("source").alias("s__")).agg(F.min(largest()).alias("x")), "more_largest")
+        taken += [placed.filter("chosen").select(F.col("row").alias("r__")), found.select(F.col("x.row").alias("r__"))]
+        after = left.join(found, F.col("source").eqNullSafe(F.col("s__"))).filter(F.col("row") != F.col("x.row"))
+        after = after.withColumn("wanted", F.col("gap") + F.col("x.less")).filter("size <= wanted")
+        rest = settle(after.select(*rest.columns), "more_rest")
+    return reduce(DataFrame.unionByName, taken) if taken else None
+
+
+def pareto_sample(rows: DataFrame, buckets: int = 4096, fillers: int = 3, fill: bool = True) -> DataFrame:
+    """``rows`` with a boolean ``chosen``: by Pareto rank what fits into ``wanted``, until no row fits; without ``fill``, until the fillers are used.
+
+    ``rows`` has row, doc_id, source (the stratum), size, u, probability and wanted (words of the stratum's sample).
+    Probabilities may differ within a stratum; a row with probability 0 is not chosen.
+    """
+    odds = lambda p: p / (F.lit(1.0) - p)
+    ranked = rows.withColumn("q", F.when(F.col("probability") > 0, odds(F.col("u")) / odds(F.col("probability"))))
+    first = settle(in_order(ranked, buckets), "first_places")
 
     # a row for each source: words taken so far and the rows that filled its gap
     state = first.groupBy("source").agg(F.first("wanted").alias("goal"), F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0)).alias("words"))
     state = settle(state.select(F.col("source").alias("s__"), "goal", "words", F.array().cast("array<bigint>").alias("fillers")), "gaps")
     same = F.col("source").eqNullSafe(F.col("s__"))
-    largest = F.struct((-F.col("size")).alias("less"), F.col("q"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
+    open_ = first.filter("not chosen and q is not null and size > 0")
+    fitting = lambda state: open_.join(state, same).filter((F.col("size") <= F.col("goal") - F.col("words")) & ~F.array_contains("fillers", F.col("row")))
     for _ in range(fillers):
-        fits = first.filter("not chosen and q is not null and size > 0").join(state, same)
-        fits = fits.filter((F.col("size") <= F.col("goal") - F.col("words")) & ~F.array_contains("fillers", F.col("row")))
-        found = fits.groupBy("source").agg(F.min(largest).alias("x"))
+        found = fitting(state).groupBy("source").agg(F.min(largest()).alias("x"))
         grown = state.join(found, same, "left").select(
             "s__",
             "goal",
@@ -104,10 +134,16 @@ def pareto_sample(rows: DataFrame, buckets: int = 4096, fillers: int = 3) -> Dat
         state = settle(grown, "gaps")
     filler = state.select("s__", F.explode("fillers").alias("r__"))
     filled = first.join(filler, same & (F.col("row") == F.col("r__")), "left")
-    return filled.withColumn("chosen", F.col("chosen") | F.col("r__").isNotNull()).drop("q", "s__", "r__")
+    filled = filled.withColumn("chosen", F.col("chosen") | F.col("r__").isNotNull()).drop("s__", "r__")
+    rest = fitting(state).select("row", "doc_id", "source", "size", "q", (F.col("goal") - F.col("words")).alias("wanted"))
+    more = fill_up(settle(rest, "more_rest"), buckets) if fill else None
+    if more is not None:
+        filled = filled.join(more, F.col("row") == F.col("r__"), "left")
+        filled = filled.withColumn("chosen", F.col("chosen") | F.col("r__").isNotNull()).drop("r__")
+    return filled.drop("q")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7, buckets: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7, buckets: int = 4096, fill: bool = True) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies for each row of ``docs``; taken is copies times size."""
     sizes = settle(
         docs.select(
@@ -123,7 +159,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(ratio)).withColumn("probability", ratio - F.col("whole"))
     rows = rows.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("u", uniform("doc_id", seed))
-    out = pareto_sample(rows, buckets)
+    out = pareto_sample(rows, buckets, fill=fill)
     copies = F.col("whole") + F.col("chosen").cast("long")
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "row")
 
