@@ -66,3 +66,21 @@ def test_awkward_rows(spark):
         assert f(docs).count() == docs.count()
         assert {r.base_sha256 for r in f(docs).collect()} == {hashlib.sha256(b"").hexdigest()}
         assert f(cases.empty(spark)).count() == 0
+
+
+def test_random_strings_of_every_length_are_novel():
+    draw = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for name, chars in (("base64", letters + "+/"), ("base64url", letters + "-_"), ("upper hex", "0123456789ABCDEF")):
+        for n in (20, 32, 64, 96, 128, 200, 256, 300, 700, 2000):
+            found = 0
+            for _ in range(40):
+                key = "Q7" + "".join(draw.choices(chars, k=n - 2)) if name != "upper hex" else "A7" + "".join(draw.choices(chars, k=n - 2))
+                for text, at in ((f"use the private_key {key} now", 20), (f"use {key} as private_key", 4)):
+                    spans = secrets.novel_spans(text, secrets.base_spans(text))
+                    found += spans == [(at, at + n, 3)]
+            assert found >= 76, (name, n, found)
+    token = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0." + "".join(draw.choices(letters, k=41)) + "7x"
+    assert secrets.novel_spans(f"Authorization: Bearer {token}", []) == [(22, 22 + len(token), 3)]
+    prose = "/".join(["the_people_of_the_town", "went_to_the_market", "to_buy_bread_and_milk", "before_the_rain_came_down"] * 9) + "/v2"
+    assert secrets.novel_spans(f"token path {prose} end", []) == []

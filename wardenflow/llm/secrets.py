@@ -1,10 +1,12 @@
 """Secrets by patterns, and by dictionary-primed zstandard novelty.
 
-Base secrets come from three fixed patterns. Beyond them, strings of 16 to 256 letters, digits and signs that stand
-within reach of a sensitive word are candidates. A candidate's novelty is what it adds to the compressed size of its
-surroundings: zstandard is primed with a dictionary of common code and identifiers and with the text around the
-candidate, and its compressed bytes less those of nothing, by its length, are measured. Identifiers, paths and words
-that recur in the surroundings compress well; random strings do not, and are reported as ``novel``.
+Base secrets come from three fixed patterns. Beyond them, whole runs of 16 or more letters, digits and signs that stand
+within reach of a sensitive word, on either side, are candidates. A candidate's novelty is what it adds to the compressed
+size of its surroundings: zstandard is primed with a dictionary of common code and identifiers and with the text around
+the candidate, and its compressed bytes less those of nothing are measured against what random strings of the same
+alphabet and length add. Identifiers, paths and words that recur in the surroundings compress well; random strings do
+not, however long or narrow in alphabet, and are reported as ``novel``. A run with full stops is also novel if one of its
+parts is, as in a signed token, whose header is common and whose signature is random.
 
 Spans are written kind:start:end, start and end in code points, by start, then kind in the order assign, access, hex,
 novel. Each text is read alone and whole, so nothing is gathered from the corpus.
@@ -18,8 +20,12 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import pandas as pd
 import zstandard
@@ -33,7 +39,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|client[_-]?secret|auth[_-]?key", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,256}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 HINTS = ("passw", "passp", "secret", "token", "api", "access", "private", "credential", "authoriz", "bearer", "auth")
 
 #: What code around secrets commonly says; the dictionary that every measurement is primed with.
@@ -60,31 +66,59 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def novelty(candidate: str, context: str, level: int = 3) -> float:
-    """Compressed bytes that ``candidate`` adds after the dictionary and ``context``, for each of its bytes."""
+def added(data: str, context: str, level: int = 3) -> int:
+    """Compressed bytes that ``data`` adds after the dictionary and ``context``."""
     primer = zstandard.ZstdCompressionDict((IDENTIFIERS + context).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     squeeze = zstandard.ZstdCompressor(level=level, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
-    data = candidate.encode("utf-8", "replace")
-    return (len(squeeze.compress(data)) - len(squeeze.compress(b""))) / len(data)
+    return len(squeeze.compress(data.encode("utf-8", "replace"))) - len(squeeze.compress(b""))
+
+
+def alphabet(candidate: str) -> str:
+    """Hexadecimal digits of one case if they suffice, else each of digits, letters of a case and signs that occurs."""
+    seen = set(candidate)
+    for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+        if seen <= set(digits):
+            return digits
+    classes = ("0123456789", string.ascii_lowercase, string.ascii_uppercase)
+    return "".join(c for c in classes if seen & set(c)) + "".join(sorted(seen.difference(*classes)))
+
+
+@lru_cache(maxsize=4096)
+def added_at_random(letters: str, length: int, level: int = 3, draws: int = 3) -> float:
+    """What random strings of these letters and this length add, on average; always the same ones."""
+    draw = random.Random(f"{letters}:{length}")
+    return sum(added("".join(draw.choices(letters, k=length)), "", level) for _ in range(draws)) / draws
+
+
+def novelty(candidate: str, context: str, level: int = 3) -> float:
+    """What ``candidate`` adds, as a share of what random strings of its alphabet and length add."""
+    return added(candidate, context, level) / added_at_random(alphabet(candidate), len(candidate), level)
+
+
+def novel(candidate: str, context: str, min_novelty: float) -> bool:
+    """Whether the candidate or a part of it between full stops has letters and digits and does not compress."""
+    parts = [candidate] + [p for p in candidate.split(".") if 16 <= len(p) < len(candidate)]
+    return any(any(c.isalpha() for c in p) and any(c.isdigit() for c in p) and novelty(p, context) >= min_novelty for p in parts)
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], reach: int = 48, around: int = 256, min_novelty: float = 0.95) -> list[tuple[int, int, int]]:
-    """Candidates after a sensitive word that are not in a base span, have letters and digits, and do not compress."""
+    """Novel candidates near a sensitive word, before or after it, of which base spans cover less than half."""
     low = text.lower()
     if not any(x in low for x in HINTS):
         return []
-    out, seen = [], set()
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach + 256)):
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    out = []
+    bounds = [(None, 0), *words, (len(text), None)]
+    for (before, left), (right, after) in pairwise(bounds):  # the text between two words
+        for m in CANDIDATE.finditer(text, left, right):
             s, e = m.span()
-            if s > word.end() + reach:
-                break
-            string = m[0]
-            if s in seen or any(s < b and a < e for a, b, _ in base):
+            if (before is None or s > left + reach) and (after is None or e < right - reach):
+                continue
+            if 2 * sum(max(0, min(e, b) - max(s, a)) for a, b, _ in base) >= e - s:
                 continue
-            seen.add(s)
-            classes = (any(c.islower() for c in string) + any(c.isupper() for c in string)) and any(c.isdigit() for c in string)
-            if classes and novelty(string, text[max(0, s - around) : s] + text[e : e + around]) >= min_novelty:
+            if novel(m[0], text[max(0, s - around) : s] + text[e : e + around], min_novelty):
                 out.append((s, e, 3))
     return out
 
