@@ -84,3 +84,32 @@ def test_random_strings_of_every_length_are_novel():
     assert secrets.novel_spans(f"Authorization: Bearer {token}", []) == [(22, 22 + len(token), 3)]
     prose = "/".join(["the_people_of_the_town", "went_to_the_market", "to_buy_bread_and_milk", "before_the_rain_came_down"] * 9) + "/v2"
     assert secrets.novel_spans(f"token path {prose} end", []) == []
+
+
+def test_identifiers_of_every_token():
+    strings = lambda t: [x["string"] for x in pii.instances(t, pii.base_spans(t))]
+    assert strings("account=12345678") == ["12345678"] and strings("passport:X1234567") == ["x1234567"]
+    assert strings('{"name":"carol","ssn":"123-45-6789"}') == ["123-45-6789"]
+    assert strings("alice,555-12-3456,99887766") == ["555-12-3456", "99887766"]
+    assert strings("x" * 80 + "7") == ["x" * 80 + "7"]
+    (one,) = pii.instances('{"name":"carol","ssn":"123-45-6789","age":4}', [])
+    assert one["patterns"] == ["l ssn", "ll carol ssn", "r age"]
+
+
+def test_contexts_of_keys_and_several_unseen_strings(spark):
+    kinds = {"email": lambda i: f"user{i}@site{i % 7}.example.com", "phone": lambda i: f"+1-202-555-{1000 + i}"}
+    odd = {"email": lambda i: f"user{i}(at)site{i}", "phone": lambda i: f"x202-555-{1000 + i}"}
+    rows = []
+    for n, kind in enumerate(kinds):
+        for i in range(30):
+            at = 1000 * n + 10 * i
+            rows += [(at, f"contact_{kind}={kinds[kind](i)}"), (at + 1, f'{{"id":"n{i}","my_{kind}":"{kinds[kind](i)}"}}')]
+            rows += [(at + k, f"both={kinds[kind](i)}") for k in (2,)]
+            if i < 12:
+                rows += [(at + 5, f"contact_{kind}={odd[kind](i)}"), (at + 6, f'{{"id":"n{i}","my_{kind}":"{odd[kind](500 + i)}"}}'), (at + 7, f"both={odd[kind](900 + i)}")]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(cases.table(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect()}
+    for n, kind in enumerate(kinds):
+        for i in range(12):
+            at = 1000 * n + 10 * i
+            assert got[at + 5] == f"{kind}:{len(f'contact_{kind}=')}:{len(f'contact_{kind}=' + odd[kind](i))}"
+            assert got[at + 6].startswith(f"{kind}:") and got[at + 7] == ""  # a key of both kinds is not trusted

@@ -2,11 +2,12 @@
 
 Base entities come from four fixed patterns. They are the seeds of a bootstrap: each identifier in the corpus, a base
 entity or another string with a digit or an at sign, is an instance, and the words around it are its lexical patterns
-(one or two words to the left, one to the right). Spark scores the graph of patterns and instances in rounds. A
-pattern's confidence for a kind is the lower Wilson bound of its instances' mean confidence, an unlabelled instance's
-is that of its best trusted pattern. Trusted patterns, with enough seeds and confidence, then give their kind to
-instances that no base pattern finds; those are the spans added. Statistics are over all documents, and the graph
-never leaves Spark.
+(one or two words to the left, one to the right; the keys and values of JSON, CSV and key=value texts are words). Spark
+scores the graph of patterns and instances in rounds, until no instance is labelled any more. A pattern's confidence for
+a kind is the lower Wilson bound of the kind's share of its labelled instances, each by its confidence; instances of
+other kinds count against it, unlabelled ones with a small weight. A labelled instance's confidence is that of its best
+trusted pattern. Trusted patterns, with enough seeds and confidence, give their kind to instances that no base pattern
+finds; those are the spans added. Statistics are over all documents, and the graph never leaves Spark.
 
 Spans are written kind:start:end, start and end in code points, by kind in the order email, ip, card, phone, then start.
 
@@ -40,7 +41,8 @@ KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"\S+")
-IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9@._%+()/\[\]-]{4,63}")
+IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9@._%+()/\[\]-]{4,}")
+PLAIN_WORD = re.compile(r"[^\s\",;:=<>{}\[\]()|&]+")
 EDGE = ".,;:!?\"'()[]{}<>|&*#$%=-_/\\"
 
 
@@ -92,14 +94,12 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 def _around(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a span: words next to it in lower case, without punctuation at their edges."""
-    left = [w.strip(EDGE).lower() for w in text[max(0, start - 120) : start].split()[-2:]]
-    right = [w.strip(EDGE).lower() for w in text[end : end + 60].split()[:1]]
-    out = []
-    if left and left[-1]:
-        out.append(f"l {left[-1]}")
-        if len(left) == 2 and left[0]:
-            out.append(f"ll {left[0]} {left[1]}")
-    if right and right[0]:
+    words = lambda part: [w for x in PLAIN_WORD.findall(part) if (w := x.strip(EDGE).lower())]
+    left, right = words(text[max(0, start - 120) : start])[-2:], words(text[end : end + 60])[:1]
+    out = [f"l {left[-1]}"] if left else []
+    if len(left) == 2:
+        out.append(f"ll {left[0]} {left[1]}")
+    if right:
         out.append(f"r {right[0]}")
     return out
 
@@ -110,9 +110,11 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     if DIGIT.search(text) or "@" in text:
         taken = sorted((s, e) for _, s, e in base)
         for m in WORD.finditer(text):
-            if ("@" in m[0] or DIGIT.search(m[0])) and (x := IDENTIFIER.search(m[0])) and ("@" in x[0] or DIGIT.search(x[0])):
+            if "@" not in m[0] and not DIGIT.search(m[0]):
+                continue
+            for x in IDENTIFIER.finditer(m[0]):
                 s, e = m.start() + x.start(), m.start() + x.end()
-                if not any(s < b and a < e for a, b in taken):
+                if ("@" in x[0] or DIGIT.search(x[0])) and not any(s < b and a < e for a, b in taken):
                     found.append((None, s, e))
     return [{"kind": k, "start": s, "end": e, "string": text[s:e].lower(), "patterns": _around(text, s, e)} for k, s, e in found]
 
@@ -143,26 +145,33 @@ def wilson(mean, n, z: float = 1.64):
     return (mean + z * z / (2 * n) - z * F.sqrt((mean * (1 - mean) + z * z / (4 * n)) / n)) / (1 + z * z / n)
 
 
-def discovered(scanned: DataFrame, rounds: int = 3, min_seeds: int = 5, min_confidence: float = 0.8) -> DataFrame:
-    """``string, kind`` of instances that trusted patterns label and no base pattern finds."""
+def discovered(scanned: DataFrame, rounds: int | None = None, min_seeds: int = 5, min_confidence: float = 0.8, unseen: float = 0.05) -> DataFrame:
+    """``string, kind`` of instances that trusted patterns label and no base pattern finds.
+
+    ``unseen`` is the weight of an unlabelled instance. Labels stay once given, so rounds end; ``rounds`` may bound them.
+    """
     each = scanned.select(F.explode("found").alias("x")).select("x.*")
     edges = settle(each.select("string", "kind", F.explode("patterns").alias("pattern")).distinct(), "edges")
-    seeds = edges.filter("kind is not null").select("string", "kind").distinct().withColumn("confidence", F.lit(1.0))
+    known = edges.filter("kind is not null").select("string", "kind").distinct().withColumn("confidence", F.lit(1.0))
+    known = settle(known, "known")
     links = edges.select("string", "pattern").distinct()
-    sizes = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    known = settle(seeds, "known")
-    unlabelled = links.join(known.select("string").distinct(), "string", "left_anti")
-    for _ in range(rounds):
-        sums = links.join(known, "string").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"), F.count_if(F.col("confidence") == 1.0).alias("seeds"))
-        scored = sums.join(sizes, "pattern").withColumn("score", wilson(F.col("mass") / F.col("n"), F.col("n")))
+    sizes = settle(links.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")), "pattern_sizes")
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        labelled = links.join(known, "string")
+        sums = labelled.groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"), F.count_if(F.col("confidence") == 1.0).alias("seeds"))
+        totals = sums.groupBy("pattern").agg(F.sum("mass").alias("all_mass"))
+        n = F.col("all_mass") + F.lit(unseen) * F.greatest(F.col("size") - F.col("all_mass"), F.lit(0.0))
+        scored = sums.join(totals, "pattern").join(sizes, "pattern").withColumn("n", n).withColumn("score", wilson(F.col("mass") / F.col("n"), F.col("n")))
         trusted = scored.filter((F.col("seeds") >= min_seeds) & (F.col("score") >= min_confidence)).select("pattern", "kind", "score")
+        unlabelled = links.join(known.select("string").distinct(), "string", "left_anti")
         best = unlabelled.join(trusted, "pattern").groupBy("string", "kind").agg(F.max("score").alias("confidence"))
         found = best.groupBy("string").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
-        after = settle(seeds.unionByName(found.select("string", "kind", "confidence")), "known")
-        same = after.count() == known.count()
-        known = after
-        if same:
+        found = settle(found.select("string", "kind", "confidence"), "found")
+        if found.isEmpty():
             break
+        known = settle(known.unionByName(found), "known")
     return known.filter("confidence < 1").select("string", "kind")
 
 
