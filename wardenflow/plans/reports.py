@@ -1,6 +1,8 @@
 """Reports and rule packs (K3-K9, K11, A3, A14, A21, T6-T9): ordered tables rendered on the driver.
 
-What is rendered is bounded by the report itself: a tier or a worklist; nothing unbounded is collected.
+Reports and worklists hold all findings. Their ordered lines are a table: ``write_...`` writes it from Spark as ordered
+files, of any size; the functions that give a string read it part by part and are for what fits into one. Only the
+summary has a limit, and says how many more there are.
 """
 
 from __future__ import annotations
@@ -25,23 +27,65 @@ def summary(findings: DataFrame, rows: int = 25) -> str:  # K5, T9
     counts = N.severity_counts(findings).first()
     head = "# Summary\n\n" + ", ".join(f"{counts[s]} {s}" for s in V.SEVERITIES) + "\n\n"
     lines = [f"- [{r.severity}] {r.title} ({r.file}:{r.line}) {r.status}" for r in N.ranked(findings, rows).collect()]
-    return head + "\n".join(lines) + "\n"
+    more = sum(r["count"] for r in findings.groupBy("status").count().collect()) - len(lines)
+    return head + "\n".join(lines + ([f"... and {more} more"] if more else [])) + "\n"
 
 
-def report(findings: DataFrame, rows: int = 1000) -> str:  # K5
-    """Findings by status; families of three or more as one row with their count."""
-    grouped = N.families(findings)
-    shown = grouped.filter("lead is null or lead = id")
-    out = ["# Report", ""]
-    for status in sorted(V.STATUSES, key=V.STATUS_RANK.__getitem__):
-        part = N.ranked(shown.filter(F.col("status") == status), rows).collect()
-        out += [f"## {status} ({len(part)})", ""] + [f"- **{r.severity}** {r.title}: {r.message}" + (f" ×{r.members}" if r.members else "") for r in part] + [""]
-    return "\n".join(out)
+def _text(name: str):
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def html_report(findings: DataFrame, rows: int = 1000) -> str:  # K6
-    cells = "".join(f"<tr><td>{html.escape(str(r.severity))}</td><td>{html.escape(str(r.title))}</td><td>{html.escape(f'{r.file}:{r.line}')}</td><td>{html.escape(str(r.message))}</td></tr>" for r in N.ranked(findings, rows).collect())
-    return f"<!doctype html><meta charset=utf-8><title>Findings</title><table><tr><th>severity<th>title<th>place<th>message</tr>{cells}</table>"
+def _order() -> list:
+    return [X.rank_score(F.col("risk"), F.col("severity")).alias("score"), X.severity_rank(F.col("severity")).alias("level"), "id"]
+
+
+def _head(spark, rows: list[tuple]) -> DataFrame:
+    """Lines beside those of findings: tier, part (0 before a tier's findings, 2 after), text."""
+    return spark.createDataFrame(rows, "tier int, part int, text string").select("tier", "part", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("id"), "text")
+
+
+def _lines(entries: DataFrame, heads: DataFrame) -> DataFrame:
+    return entries.unionByName(heads).orderBy("tier", "part", F.col("score").desc(), "level", "id").select("text")
+
+
+def report_lines(findings: DataFrame) -> DataFrame:  # K5
+    """``text``: findings by status in order; families of three or more as one line with their count. Headings count lines."""
+    shown = N.families(findings).filter("lead is null or lead = id").filter(F.col("status").isin(*V.STATUSES))
+    counts = {r.status: r["count"] for r in shown.groupBy("status").count().collect()}  # a row for each status
+    times = F.when(F.col("members").isNotNull(), F.concat(F.lit(" ×"), F.col("members").cast("string"))).otherwise("")
+    line = F.concat(F.lit("- **"), _text("severity"), F.lit("** "), _text("title"), F.lit(": "), _text("message"), times)
+    entries = shown.select(X.status_rank(F.col("status")).cast("int").alias("tier"), F.lit(1).alias("part"), *_order(), line.alias("text"))
+    heads = [(-1, 0, "# Report")] + [(V.STATUS_RANK[s], 0, f"\n## {s} ({counts.get(s, 0)})\n") for s in V.STATUSES]
+    return _lines(entries, _head(findings.sparkSession, heads))
+
+
+def report(findings: DataFrame) -> str:  # K5
+    return "\n".join(r.text for r in report_lines(findings).toLocalIterator()) + "\n"
+
+
+def write_report(findings: DataFrame, path: str) -> None:  # K5
+    report_lines(findings).write.text(path)
+
+
+def html_lines(findings: DataFrame) -> DataFrame:  # K6
+    def cell(value):
+        for sign in "&<>\"'":
+            value = F.replace(value, F.lit(sign), F.lit(html.escape(sign)))
+        return F.concat(F.lit("<td>"), value, F.lit("</td>"))
+
+    place = F.concat(_text("file"), F.lit(":"), _text("line"))
+    row = F.concat(F.lit("<tr>"), *[cell(x) for x in (_text("severity"), _text("title"), place, _text("message"))], F.lit("</tr>"))
+    entries = findings.select(F.coalesce(X.status_rank(F.col("status")).cast("int"), F.lit(99)).alias("tier"), F.lit(1).alias("part"), *_order(), row.alias("text"))
+    first = "<!doctype html><meta charset=utf-8><title>Findings</title><table><tr><th>severity<th>title<th>place<th>message</tr>"
+    return _lines(entries, _head(findings.sparkSession, [(-1, 0, first), (1 << 20, 2, "</table>")]))
+
+
+def html_report(findings: DataFrame) -> str:  # K6
+    return "".join(r.text for r in html_lines(findings).toLocalIterator())
+
+
+def write_html(findings: DataFrame, path: str) -> None:  # K6
+    html_lines(findings).write.text(path)
 
 
 def path_diagram(hops: list[tuple[str, int]]) -> str:  # K6
@@ -49,9 +93,17 @@ def path_diagram(hops: list[tuple[str, int]]) -> str:  # K6
     return "\n".join(["flowchart LR", *names, *[f"  n{i} --> n{i + 1}" for i in range(len(hops) - 1)]])
 
 
-def worklist(findings: DataFrame, rows: int = 500) -> str:  # K3
-    keys = ("id", "severity", "title", "file", "line", "message")
-    return json.dumps([{k: r[k] for k in keys if r[k] is not None} for r in N.ranked(verify_worklist(findings), rows).collect()], indent=1)
+WORK_KEYS = ("id", "severity", "title", "file", "line", "message")
+
+
+def worklist(findings: DataFrame) -> str:  # K3
+    rows = N.ranked(verify_worklist(findings)).select(*WORK_KEYS).toLocalIterator()
+    return json.dumps([{k: r[k] for k in WORK_KEYS if r[k] is not None} for r in rows], indent=1)
+
+
+def write_worklist(findings: DataFrame, path: str) -> None:  # K3
+    """All items in order, as files of JSON lines."""
+    N.ranked(verify_worklist(findings)).select(*WORK_KEYS).write.json(path)
 
 
 def evidence(findings: DataFrame, lines: DataFrame, prefix: str) -> DataFrame:  # K11
