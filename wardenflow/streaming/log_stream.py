@@ -1,7 +1,8 @@
 """Behaviour of addresses over a stream (W1-W4, W8 and section 2.11): state by address, one alert for each kind.
 
 Rows come with ip, ms (event time), idx (arrival), failed, success, error and hit flags. State holds the marks still in
-the window and what has fired. An address's rows within a micro-batch are taken in time order; rows later than the
+the window and what has fired. An address's rows within a micro-batch are taken in time order, all of them by one task
+that holds their times and flags; rows later than the
 watermark are counted apart by :func:`late_rows`, not mixed in. State of an address that is silent for ``idle_s`` goes, if that is given.
 """
 
@@ -46,18 +47,18 @@ def detector(window_ms: int, failures: int, errors: int, requests: int, idle_ms:
                 alert(kind, ms, held[0], len(held))
                 held.clear()
 
-        for batch in batches:
-            for row in batch.sort_values(["ms", "idx"]).itertuples():
-                ms = int(row.ms)
-                mark("requests", "request-burst", ms, requests + 1)
-                if row.hit and "scan-behavior" in fired:
-                    alert("recon-hit", ms, ms, 1)
-                if row.error:
-                    mark("errors", "scan-behavior", ms, errors)
-                if row.failed:
-                    mark("fails", "brute-force", ms, failures)
-                elif row.success and "brute-force" in fired:
-                    alert("credential-compromise", ms, ms, 1)
+        # an address's rows come in several Arrow batches; their order in time is that of all of them
+        for row in pd.concat([b.drop(columns="ip") for b in batches]).sort_values(["ms", "idx"]).itertuples():
+            ms = int(row.ms)
+            mark("requests", "request-burst", ms, requests + 1)
+            if row.hit and "scan-behavior" in fired:
+                alert("recon-hit", ms, ms, 1)
+            if row.error:
+                mark("errors", "scan-behavior", ms, errors)
+            if row.failed:
+                mark("fails", "brute-force", ms, failures)
+            elif row.success and "brute-force" in fired:
+                alert("credential-compromise", ms, ms, 1)
         state.update((marks["fails"], marks["errors"], marks["requests"], sorted(fired)))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
