@@ -1,227 +1,201 @@
-"""Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
-
-Lines are normalised (lower case; ASCII signs and white space as one space). Each gets a 64-bit SimHash of its
-different words. Different lines whose SimHashes differ in at most two bits agree on two of four segments of 16 bits;
-those six blocks of 32 bits find the candidates. Candidates are verified by edit similarity, and the connected groups
-of verified links keep the first occurrence in order of document and place.
-
-A block that only two lines share gives its pair from the smallest and largest line alone. A block with more lines is
-joined with itself if it has at most ``crowd``; above that it is split into three by further bits, of which one third
-must be equal, until it is small or has hardly a free bit left. Where more than ``crowd`` lines have the same hash or
-fill such a last block, each is compared with the next in order only, and one stands for all in other blocks: lines
-that differ that little in their words are mostly one text, but a link may be lost there.
-
-Edit similarity is by characters for lines of up to ``most_chars``, by words, each as one character, for longer ones.
-
-Normalising, hashing and SimHash run in Arrow batches, all else as DataFrame operations. The form with DataFrame
-functions alone, words exploded and their bits counted in packed sums, gives the same hashes but took twice the CPU
-seconds that are allowed; the README has the figures.
+"""Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups; DataFrame functions only.
+
+Lines are normalised (lower case; ASCII signs and white space as one space). The SimHash of a line has up to 16
+segments: its different words are dealt to segments by four bits of their hashes, and a segment holds the majority bits
+of its own words. A word that changes thus touches two segments at most, however many bits it moves; in one SimHash over
+all words it would move bits anywhere. A block is three segments that follow each other on the ring of the line's
+segments, at their places. By the pigeonhole principle some block is left whole where few segments differ: of 16, any
+five may. Lines that share a block are candidates; candidates are verified by the edit similarity of the whole lines, by
+characters; and connected groups of verified links keep the first occurrence in order of document and place.
+
+Within a block not all pairs are compared. First each line is compared with the smallest key of its block, which
+joins nearly all that are alike, however many. Blocks whose lines then are in one group are done. In others, lines of
+different groups are compared with each other if the block has at most ``crowd`` lines; larger ones are cut by one more
+equal segment, whichever it be, and start anew. What is still crowded after ``cuts`` such cuts is compared line by line with
+the whole block, smallest groups first, until one group is left or every line outside the largest has been compared
+with all. So no link between lines that share a block is lost, except one between lines that no shared block connects
+after a cut, which then share three segments only.
+
+Lines are known by the 64-bit hash of their normalised text.
 
 Defined results
     blank lines          are not compared and always stay
-    short lines          of fewer than ``min_words`` words are only compared for equality after normalisation
+    up to three segments the whole line is one block
     null or empty text   no line; n_lines and n_kept are 0, nothing is removed
     null id              after all other ids in the order of occurrences
     repeated rows        occurrences like any other: of two equal documents the second loses its lines
+    very long lines      are compared whole; a pair costs time with the square of what lies between their first and last difference
     empty table          empty result
     other columns        are not read
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations, repeat
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardenflow.llm.common import fresh, settle
+from wardenflow.llm.common import fresh, settle, text_of
 from wardenflow.llm.components import connected_components
 
-SEED = 42
-#: ASCII signs and white space but the line feed become spaces.
-PLAIN = bytes(c if c >= 128 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
+#: ASCII signs and white space but the line feed; they become spaces.
+SIGNS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Segments by the top four bits of a word's hash; bits of a segment's majority, three counters of 21 bits to a long.
+SEGMENTS, SUMS, LANE = 16, 5, 21
+LANES = sum(1 << LANE * i for i in range(3))
+CODE = (1 << 27) - 1
 
 
-def lines_of(text: str | None) -> list[list[bytes]]:
-    """The words of each line of a text, normalised."""
-    return [x.split() for x in (text or "").lower().encode("utf-8", "replace").translate(PLAIN).split(b"\n")]
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A settled table with a row for each line: row, doc_id, pos, line (normalised), key; key is NULL for blank lines."""
+    plain = F.regexp_replace(F.lower(text_of(text_col)), SIGNS, " ")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.when(F.col(text_col).isNotNull(), plain).alias("plain"))
+    lines = rows.select("row", "doc_id", F.posexplode_outer(F.split("plain", "\n")).alias("pos", "line"))
+    lines = lines.select("row", "doc_id", F.coalesce("pos", F.lit(0)).alias("pos"), F.trim("line").alias("line"))
+    return settle(lines.withColumn("key", F.when(F.col("line") != "", F.xxhash64("line"))), "lines")
 
 
-def key_of(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+def _ahead() -> Column:
+    """Order of occurrences: null ids last, then id, row and place."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"), F.col("pos"))
 
 
-def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """SimHash of the different words of each line; no line may be empty."""
-    lines = [[*dict.fromkeys(x)] for x in lines]
-    words = [w for x in lines for w in x]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
-    sizes = np.array([len(x) for x in lines])
-    out, first, step = np.empty(len(lines), np.uint64), 0, 1 << 16
-    ends = np.cumsum(sizes)
-    while first < len(lines):  # about ``step`` words at a time; a longer line alone
-        begin = ends[first] - sizes[first]
-        last = max(first + 1, int(np.searchsorted(ends, begin + step, "right")))
-        bits = np.unpackbits(hashes[begin : ends[last - 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = ends[first:last] - sizes[first:last] - begin
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[first:last] = np.packbits(2 * ones > sizes[first:last, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        first = last
-    return out
+def segment_codes(lines: DataFrame) -> DataFrame:
+    """``key, codes``: the segments of each line's SimHash in order, empty ones left out, place and bits in one int."""
+    # by key first: words of a line then meet where they are made, and no word is shuffled
+    words = lines.select("key", "line").repartition("key").select("key", F.explode(F.array_distinct(F.split("line", " "))).alias("word"))
+    hashed = words.select("key", F.xxhash64("word").alias("h")).withColumn("segment", F.shiftrightunsigned("h", 60).cast("int"))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANES))).alias(f"s{j}") for j in range(SUMS)]
+    counted = hashed.groupBy("key", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("one"), *sums)
+    lane = lambda j, i: F.shiftrightunsigned(f"s{j}", LANE * i).bitwiseAND(F.lit((1 << LANE) - 1))
+    majority = sum((F.when(2 * lane(j, i) > F.col("n"), F.lit(1 << 3 * j + i)).otherwise(F.lit(0)) for j in range(SUMS) for i in range(3)), F.lit(0))
+    low = F.when(F.col("n") == 1, F.col("one").bitwiseAND(F.lit(CODE)).cast("int")).otherwise(majority)  # one word: more of its hash
+    coded = counted.select("key", "segment", F.shiftleft("segment", 27).bitwiseOR(low).alias("code"))
+    wide = coded.groupBy("key").agg(*[F.max(F.when(F.col("segment") == s, F.col("code"))).alias(f"c{s}") for s in range(SEGMENTS)])
+    return settle(wide.select("key", F.array_compact(F.array(*[f"c{s}" for s in range(SEGMENTS)])).alias("codes")), "codes")
 
 
-def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A settled table with a row for each line: row, doc_id, pos, key, n (words), fp; key is NULL for blank lines."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [lines_of(t) for t in batch.column("text").to_pylist()]
-            counts = np.array([len(x) for x in texts], np.int64)
-            lines = [w for x in texts for w in x]
-            some = np.array([bool(w) for w in lines], bool)
-            if not len(lines):
-                continue
-            full = [w for w in lines if w]
-            keys, fps = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
-            keys[some] = np.fromiter((key_of(w) for w in full), np.uint64, len(full)).view(np.int64)
-            fps[some] = simhashes(full).view(np.int64)
-            of = np.repeat(np.arange(len(texts)), counts)
-            pos = np.arange(len(lines)) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(pa.array(of)), batch.column("doc_id").take(pa.array(of)), pa.array(pos.astype(np.int32)), pa.array(keys, mask=~some), pa.array(np.array([len(w) for w in lines], np.int64)), pa.array(fps)],
-                names=["row", "doc_id", "pos", "key", "n", "fp"],
-            )
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return settle(rows.mapInArrow(work, f"row long, doc_id {kind}, pos int, key long, n long, fp long"), "lines")
-
-
-def _line_texts(docs: DataFrame, text_col: str, asked: DataFrame, most_broadcast: int) -> DataFrame:
-    """``key, line`` of the lines asked for by key, each once."""
-    few = asked.count() <= most_broadcast
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(asked.toPandas()["key"].to_numpy(np.int64)) if few else None)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = None if known.value is None else set(known.value.tolist())
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                for words in lines_of(text):
-                    if words:
-                        key = key_of(words)
-                        key = key - (1 << 64) if key >> 63 else key
-                        if wanted is None or key in wanted:
-                            out.append((key, b" ".join(words).decode("utf-8", "replace")))
-            yield pd.DataFrame(out, columns=["key", "line"]).astype({"key": "int64"})
-
-    lines = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(work, "key long, line string")
-    lines = lines if few else lines.join(asked, "key", "left_semi")
-    return settle(lines.groupBy("key").agg(F.first("line").alias("line")), "line_texts")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def segment_masks() -> list[int]:
-    """The six blocks: two of four segments of 16 bits each."""
-    return [0xFFFF << 16 * i | 0xFFFF << 16 * j for i, j in combinations(range(4), 2)]
-
-
-def thirds(mask: int) -> list[int]:
-    """``mask`` with each third of its free bits: a pair with two differences or less agrees on one of them."""
-    free = [b for b in range(64) if not mask >> b & 1]
-    return [mask | sum(1 << int(b) for b in part) for part in np.array_split(free, 3)]
-
-
-def _in_turn(rows: DataFrame, block: str) -> DataFrame:
-    """Each row's key with the next one of its block."""
-    order = Window.partitionBy(block).orderBy("fp", "key")
-    chain = rows.withColumn("b", F.lead("key").over(order)).filter("b is not null")
-    return chain.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of the rows (block, key, fp) of each block that are within two bits."""
-    left, right = (rows.select("block", F.col("key").alias(k), F.col("fp").alias(f"{k}_fp")) for k in "ab")
-    close = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= 2
-    return left.join(right, "block").filter((F.col("a") < F.col("b")) & close).select("a", "b")
-
-
-def candidates(nodes: DataFrame, crowd: int = 16, most_broadcast: int = 200_000) -> DataFrame:
-    """Pairs ``a < b`` of keys of ``nodes`` (key, fp) that share a block and, where it has more than two, are within two bits."""
-    spark = nodes.sparkSession
-    masks = segment_masks()
-    alike = settle(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("k"), F.min("key").alias("first")).filter(F.col("k") > crowd), "alike")
-    many_alike = nodes.join(alike, "fp")
-    found = [_in_turn(many_alike, "fp")]
-    rest = settle(nodes.join(alike, "fp", "left_anti").select("key", "fp").unionByName(alike.select(F.col("first").alias("key"), "fp")), "block_nodes")
-
-    def blocks(rows, column):
-        return rows.select("key", "fp", F.explode(column).alias("mask")).select("mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("block"), "key", "fp")
-
-    rows = blocks(rest, F.array(*[F.lit(_signed(m)) for m in masks]))
-    while True:
-        sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.min("key").alias("a"), F.max("key").alias("b")).filter("k > 1")
-        sizes = settle(sizes, "blocks")
-        found.append(sizes.filter("k = 2").select("a", "b"))
-        many = sizes.filter("k > 2").select("block", "k")
-        n = many.count()
-        if not n:
-            break
-        own = settle(rows.join(F.broadcast(many) if n <= most_broadcast else many, "block"), "crowded")
-        found.append(_pairs(own.filter(F.col("k") <= crowd)))
-        hot = own.filter(F.col("k") > crowd).select("mask", "block", "key", "fp")
-        if hot.isEmpty():
-            break
-        if all(64 - m.bit_count() <= 6 for m in masks):
-            found.append(_in_turn(hot, "block"))
-            break
-        again = spark.createDataFrame([(_signed(m), [_signed(x) for x in thirds(m)]) for m in masks], "mask long, finer array<long>")
-        rows = settle(blocks(hot.join(F.broadcast(again), "mask").drop("mask"), F.col("finer")).distinct(), "finer")  # again: a row for each mask
-        masks = sorted({x for m in masks for x in thirds(m)})
-    return reduce(DataFrame.unionByName, found).distinct()
+def ring_blocks(codes: DataFrame) -> DataFrame:
+    """``key, block``: a row for each three neighbours on the ring of a line's segments."""
+    ring = codes.select("key", "codes", F.concat("codes", F.slice("codes", 1, 2)).alias("ring"))
+    three = F.transform("codes", lambda x, i: F.xxhash64(x, F.get("ring", i + 1), F.get("ring", i + 2)))
+    return ring.select("key", F.explode(F.when(F.size("codes") > 3, three).otherwise(F.array(F.xxhash64("codes")))).alias("block"))
+
+
+def finer_blocks(members: DataFrame, codes: DataFrame) -> DataFrame:
+    """Blocks with one more equal segment, for each segment of each line."""
+    return members.select("block", "key").join(codes, "key").select("key", "block", F.explode("codes").alias("code")).select("key", F.xxhash64("block", "code").alias("block"))
+
 
+def _between(a: Column, b: Column) -> tuple[Column, Column]:
+    """Two lines without the words that they begin with and end with alike, at the same edit distance."""
+    first = lambda x, y: F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), False).cast("int") - 1
+    head = first(a, b)
+    rest = lambda x: F.slice(x, head + 1, F.greatest(F.size(x), F.lit(1)))
+    tail = first(F.reverse(rest(a)), F.reverse(rest(b)))
 
-def _as_characters(line: Column) -> Column:
-    """Each word as one character, so that edits of this are edits by words."""
-    codes = F.transform(F.split(line, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xA000)) + F.lit(0x3000)), 4, "0"))
-    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+    def cut(x):
+        n = F.size(x) - head - tail
+        left, right = F.when(head > 0, " ").otherwise(""), F.when(tail > 0, " ").otherwise("")
+        inner = F.array_join(F.slice(x, head + 1, F.greatest(n, F.lit(0))), " ")
+        return F.when(n > 0, F.concat(left, inner, right)).otherwise(F.when((head > 0) & (tail > 0), " ").otherwise(""))
 
+    return cut(a), cut(b)
 
-def verified(pairs: DataFrame, docs: DataFrame, text_col: str, similarity: float, most_chars: int = 200, most_broadcast: int = 200_000) -> DataFrame:
-    """The pairs whose lines differ by at most 1 - ``similarity`` of the longer one in edits."""
-    asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "asked")
-    texts = _line_texts(docs, text_col, asked, most_broadcast)
-    long = F.char_length("line") > most_chars
-    texts = settle(texts.select("key", "line", F.when(long, _as_characters(F.col("line"))).alias("codes")), "line_codes")
-    side = lambda k, x: texts.select(F.col("key").alias(k), F.col("line").alias(x), F.col("codes").alias(f"{x}_codes"))
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The pairs ``a, b`` of keys whose lines (``key, line``) differ by at most 1 - ``similarity`` of the longer one in edits."""
+    side = lambda k, x: texts.select(F.col("key").alias(k), F.col("line").alias(x))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    by_words = (F.char_length("x") > most_chars) & (F.char_length("y") > most_chars)
-    both = both.select("a", "b", F.when(by_words, F.col("x_codes")).otherwise(F.col("x")).alias("x"), F.when(by_words, F.col("y_codes")).otherwise(F.col("y")).alias("y"))
     longest = F.greatest(F.char_length("x"), F.char_length("y"))
     both = both.withColumn("most", F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
     both = both.filter(F.abs(F.char_length("x") - F.char_length("y")) <= F.col("most"))
-    parts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = both.repartition(parts, "a", "b")  # few bytes but much work for each
-    return dealt.withColumn("edits", F.levenshtein("x", "y")).filter(F.col("edits") <= F.col("most")).select("a", "b")
+    parts = max(64, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = both.select("a", "b", "most", F.split("x", " ").alias("x"), F.split("y", " ").alias("y")).repartition(parts, "a", "b")  # few bytes but much work for each
+    x, y = _between(F.col("x"), F.col("y"))
+    both = both.select("a", "b", "most", x.alias("x"), y.alias("y"))
+    return both.filter(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+
+
+class _Links:
+    """Verified links so far and the groups that they make."""
+
+    def __init__(self, spark, texts: DataFrame, similarity: float):
+        self.texts, self.similarity = texts, similarity
+        self.groups = spark.createDataFrame([], "node long, component long")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Verify ``a, b`` and merge the groups."""
+        found = settle(verified(settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"), self.texts, self.similarity), "links")
+        known = self.groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        if not found.isEmpty():
+            self.groups = settle(connected_components(known.unionByName(found)), "groups")
+
+    def of(self, members: DataFrame) -> DataFrame:
+        """``members`` with their group, the key itself for a line without link."""
+        named = members.join(self.groups, members["key"] == F.col("node"), "left")
+        return named.select(*members.columns, F.coalesce("component", "key").alias("label"))
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """The rows (block, key) of blocks with more than one group, with label and the block's size k."""
+        labelled = settle(self.of(members.select("block", "key")), "labelled")
+        sizes = labelled.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+        return settle(labelled.join(sizes.select("block", "k"), "block"), "open")
+
+
+def _one_by_one(links: _Links, rows: DataFrame, at_once: int = 8) -> None:
+    """Lines of crowded blocks, ``at_once`` in a turn, against the whole block, until the lines outside its largest group have had their turn."""
+    done = rows.sparkSession.createDataFrame([], "block long, key long")
+    while True:
+        rows = links.open(rows)
+        groups = rows.groupBy("block", "label").agg(F.count(F.lit(1)).alias("size"))
+        largest = groups.groupBy("block").agg(F.max(F.struct("size", "label")).getField("label").alias("largest"))
+        left = rows.join(largest, "block").filter(F.col("label") != F.col("largest")).join(done, ["block", "key"], "left_anti")
+        turn = left.groupBy("block", F.pmod("label", F.lit(at_once)).alias("seat")).agg(F.min("key").alias("a"))
+        turn = settle(turn.drop("seat"), "turn")
+        if turn.isEmpty():
+            return
+        done = done.unionByName(turn.select("block", F.col("a").alias("key")))
+        links.add(rows.join(turn, "block").filter(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")))
+
+
+def near_lines(nodes: DataFrame, similarity: float = 0.8, crowd: int = 64, cuts: int = 2, most_broadcast: int = 400_000) -> DataFrame:
+    """``node, component``: the connected groups of two or more of the lines ``key, line``, each key once."""
+    spark, codes = nodes.sparkSession, segment_codes(nodes)
+    blocks, links = ring_blocks(codes), None
+    for cut in range(cuts + 1):
+        sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.min("key").alias("a"), F.max("key").alias("b")).filter("k > 1")
+        sizes = settle(sizes, "blocks")
+        many = sizes.filter("k > 2").select("block", "a")
+        many = F.broadcast(many) if many.count() <= most_broadcast else many
+        members = settle(blocks.join(many, "block"), "members")
+        first = sizes.filter("k = 2").select("a", "b").unionByName(members.filter("key != a").select("a", F.col("key").alias("b")))
+        if links is None:
+            asked = settle(sizes.filter("k = 2").select(F.explode(F.array("a", "b")).alias("key")).unionByName(members.select("key")).distinct(), "asked")
+            asked = F.broadcast(asked) if asked.count() <= most_broadcast else asked
+            links = _Links(spark, settle(nodes.select("key", "line").join(asked, "key", "left_semi"), "texts"), similarity)
+        links.add(first)
+        left = links.open(members)
+        few = left.filter(F.col("k") <= crowd).select("block", "key", "label")
+        other = few.select("block", F.col("key").alias("b"), F.col("label").alias("other"))
+        across = few.join(other, "block").filter((F.col("key") < F.col("b")) & (F.col("label") != F.col("other"))).select(F.col("key").alias("a"), "b")
+        if not few.isEmpty():
+            links.add(across)
+        crowded = left.filter(F.col("k") > crowd)
+        if crowded.isEmpty():
+            break
+        if cut == cuts:
+            _one_by_one(links, crowded.select("block", "key"))
+        else:
+            blocks = settle(finer_blocks(crowded, codes), "finer")
+    return links.groups
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, min_words: int = 5, crowd: int = 16) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, crowd: int = 64) -> DataFrame:
     """The line table with ``kept`` for each line."""
     lines = line_table(docs, id_col, text_col)
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"), F.col("pos"))
-    nodes = lines.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(first).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    nodes = lines.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(_ahead()).alias("first"), F.min("line").alias("line"))
     nodes = settle(nodes, "nodes")
-    pairs = settle(candidates(nodes.filter(F.col("n") >= min_words).select("key", "fp"), crowd), "pairs")
-    groups = connected_components(verified(pairs, docs, text_col, similarity))
+    groups = near_lines(nodes.select("key", "line"), similarity, crowd)
     linked = nodes.join(groups, F.col("key") == F.col("node")).select("key", "first", "component")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     near = linked.join(heads, "component").select("key", "head")
