@@ -12,13 +12,11 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def plain_ids(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_gives_the_tokenizers_ids():
-    texts = ["", " ", "  a  b ", "a\n b", "x \n y", "don't we'll I'M", " \tz", "日本 語 é　 ç  ", "<|endoftext|> hi", "a\x1c b\n\n", " " * 20_000 + "x", "ab" * 3000]
+    texts = ["", " ", "  a  b ", "a\n b", "x \n y", "don't we'll I'M", " \tz", "日本 語 é　 ç  ", "<|endoftext|> hi", "a<|endoftext|>", *[f"x {t.content}y" for t in Tokenizer.from_file(PATH).get_added_tokens_decoder().values()], "a\x1c b\n\n", " " * 20_000 + "x", "ab" * 3000]
     encode = Encoder(PATH)
     for text in texts:
         assert encode(text) == np.array(plain_ids(text), "<u4").tobytes(), text[:30]
@@ -51,6 +49,30 @@ def test_exchanges_empty_a_bin():
     assert len(pack([60, 40, 50, 50, 99, 1], 100)) == 3
 
 
+def test_search_gains_over_its_start():
+    draw = random.Random(7)
+    middling = [draw.randint(250, 520) for _ in range(2000)]
+    spread = [draw.randint(1, 1023) for _ in range(2000)]
+    for lengths, share in ((middling, 0.97), (spread, 1.0)):
+        starts = [best_fit(lengths, 1024, falling) for falling in (True, False)]
+        ends = [local_search(x, lengths, 1024) for x in starts]
+        assert len(ends[1]) < len(starts[1])  # from order of arrival it always empties bins
+        best = pack(lengths, 1024)
+        assert len(best) == min(map(len, ends)) <= share * len(starts[0])
+        squares = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+        assert all(squares(e) >= squares(s) for s, e in zip(starts, ends))
+    assert len(pack([1] * 5000, 1024)) == 5  # very many short items
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = [("a", "x y"), (None, "z"), ("b", None)]
+    got = packed(spark.createDataFrame(rows, "doc_id string, text string"), PATH).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["None", "a", "b"]
+    big = (1 << 60) + 1  # beyond what a float holds, beside a null id
+    got = packed(spark.createDataFrame([(big, "x"), (None, "y")], "doc_id long, text string"), PATH).collect()
+    assert {r.doc_id for r in got} == {big, None}
+
+
 def test_round_trip(spark):
     docs = cases.documents(spark)
     got = packed(docs, PATH, size=64, group=500).toPandas()
