@@ -18,9 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share. Where none is configured, a local session gets a temporary one; a cluster must name one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = f"file://{tempfile.mkdtemp(prefix='wardenflow-')}"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -49,6 +51,21 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has each ``key`` once, where a key may hold a large part of ``rows``.
+
+    At most ``most`` keys can hold a ``most``-th of the rows each; their rows of ``table`` are broadcast, the others shuffled.
+    """
+    n = rows.count()
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n__")).filter((F.col("n__") >= 64) & (F.col("n__") * most >= n)).select(key)
+    hot = settle(hot, "hot_keys")
+    if hot.isEmpty():
+        return rows.join(table, key)
+    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
+    others = rows.join(F.broadcast(hot), key, "left_anti").join(table, key)
+    return rows.join(few, key).unionByName(others)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

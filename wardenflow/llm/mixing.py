@@ -143,8 +143,11 @@ def pareto_sample(rows: DataFrame, buckets: int = 4096, fillers: int = 3, fill:
     return filled.drop("q")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7, buckets: int = 4096, fill: bool = True) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies for each row of ``docs``; taken is copies times size."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7, buckets: int = 4096, fill: bool = True, most_broadcast: int = 100_000) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies for each row of ``docs``; taken is copies times size.
+
+    ``most_broadcast``: most sources whose targets are broadcast; more are joined by a shuffle.
+    """
     sizes = settle(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -155,7 +158,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "sizes",
     )
     goals = settle(targets(sizes, weights, most).withColumnRenamed("source", "s__"), "targets")
-    rows = sizes.join(goals, sizes["source"].eqNullSafe(goals["s__"])).drop("s__")
+    few = goals.count() <= most_broadcast
+    rows = sizes.join(F.broadcast(goals) if few else goals, sizes["source"].eqNullSafe(goals["s__"])).drop("s__")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(ratio)).withColumn("probability", ratio - F.col("whole"))
     rows = rows.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("u", uniform("doc_id", seed))
@@ -167,8 +171,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; all columns stay. Rows of size 0 are kept once.
 
-    Decisions are joined back by id, at every size by a merge join. Rows that repeat an id are matched by their order of size and source, so a
-    repeated row is taken as often as one of its equals.
+    Decisions are joined back by id, at every size by a merge join. Rows that repeat an id are matched by their size; of
+    rows equal in both, each is taken as often as the one that is taken most.
     """
     id_, size, copies, words, copy = (fresh(docs, n) for n in ("id_", "size", "copies", "words", "copy"))
     plan = mix(docs, id_col, text_col, source_col, **options)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardenflow.llm.common import settle
+from wardenflow.llm.common import join_hot, settle
 
 # The base patterns of the contract.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -166,7 +166,9 @@ def discovered(scanned: DataFrame, rounds: int | None = None, min_seeds: int = 5
         scored = sums.join(totals, "pattern").join(sizes, "pattern").withColumn("n", n).withColumn("score", wilson(F.col("mass") / F.col("n"), F.col("n")))
         trusted = scored.filter((F.col("seeds") >= min_seeds) & (F.col("score") >= min_confidence)).select("pattern", "kind", "score")
         unlabelled = links.join(known.select("string").distinct(), "string", "left_anti")
-        best = unlabelled.join(trusted, "pattern").groupBy("string", "kind").agg(F.max("score").alias("confidence"))
+        # a pattern may hold most strings, and has a row for each kind that trusts it: one struct for each pattern
+        by_pattern = trusted.groupBy("pattern").agg(F.collect_list(F.struct("kind", "score")).alias("says"))
+        best = join_hot(unlabelled, by_pattern, "pattern").select("string", F.inline("says")).groupBy("string", "kind").agg(F.max("score").alias("confidence"))
         found = best.groupBy("string").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
         found = settle(found.select("string", "kind", "confidence"), "found")
         if found.isEmpty():

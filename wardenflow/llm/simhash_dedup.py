@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardenflow.llm.common import fresh, settle
+from wardenflow.llm.common import fresh, join_hot, settle
 from wardenflow.llm.components import connected_components
 
 FULL = (1 << 64) - 1
@@ -189,9 +189,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = settle(table.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     linked = settle(connected_components(fingerprint_links(reps.select("fp"), crowd)), "components")
     named = linked.join(reps, linked["node"] == reps["fp"]).groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = linked.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    every = reps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return table.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = join_hot(linked, named, "component").select(F.col("node").alias("fp"), "component_id")
+    every = settle(reps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    return join_hot(table, every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 65536) -> DataFrame:

@@ -12,6 +12,7 @@ Defined results
     null or empty text, or only white space   no fingerprint; two such texts have likeness 1, with another text 0
     fewer words than ``gram``                 one hash of all words
     fewer hashes than ``window``              one choice among all of them
+    ids of another type than integers         a TypeError, as they have no order of numbers
     null id                                   no place in the order: nothing follows it, and it follows nothing
     repeated ids                              ordered by text
     one document                              is its own next document
@@ -21,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +100,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
+def _bucket(cuts: list[int], step: int = 256) -> Column:
+    """How many of the rising ``cuts`` are below the id: whole runs of ``step`` first, then within the next run."""
+    below = lambda some: F.size(F.filter(some, lambda c: c < F.col("doc_id")))
+    whole = below(F.lit(np.array(cuts[step - 1 :: step], np.int64))) if len(cuts) >= step else F.lit(0)
+    return whole * step + below(F.slice(F.lit(np.array(cuts, np.int64)), whole * step + 1, F.lit(step)))
+
+
 def _with_next(rows: DataFrame, per_bucket: int, most_buckets: int) -> DataFrame:
     """``rows`` (doc_id, text, choices) with next_text and next_choices, those of the next id, cyclically.
 
@@ -108,7 +117,7 @@ def _with_next(rows: DataFrame, per_bucket: int, most_buckets: int) -> DataFrame
     n = ids.count()
     buckets = max(1, min(most_buckets, n // per_bucket))
     cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or [])) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    bucket = _bucket(cuts) if cuts else F.lit(0)
     firsts = [tuple(x) for x in ids.groupBy(bucket.alias("b")).agg(F.min("doc_id")).orderBy("b").collect()]  # a row for each bucket
     spark = rows.sparkSession
     halo = spark.createDataFrame([(b, first, firsts[i - 1][0]) for i, (b, first) in enumerate(firsts)], "b__ int, first__ long, before__ int")
@@ -123,11 +132,13 @@ def _with_next(rows: DataFrame, per_bucket: int, most_buckets: int) -> DataFrame
     return follow.filter("halo = 0").select("doc_id", "text", "choices", "next_text", "next_choices").unionByName(alone)
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, per_bucket: int = 2000, most_buckets: int = 4096) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, per_bucket: int = 2000, most_buckets: int = 1 << 16) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose later half gives way to the next document's beginning.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{id_col} must be an integer: the next document is the one with the next larger id")
     rows = winnow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), "text", "choices", gram, window)
     df = _with_next(rows, per_bucket, most_buckets)
     n = F.char_length("text")
