@@ -207,7 +207,18 @@ def json_props(t: Tables):  # S9
     return t.events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("stateful_log_stream")
+@query(
+    "stateful_log_stream",
+    """
+    with e as (select cast(user_id as varchar) as ip, epoch_us(ts) // 1000 as ms, event_id as idx, event_type from events),
+    m as (select *, 'request-burst' as kind, 7 as least from e union all select *, 'scan-behavior', 3 from e where event_type = 'click' union all select *, 'brute-force', 3 from e where event_type = 'error'),
+    c as (select *, row_number() over (partition by ip, kind order by ms, idx) - count(*) over (partition by ip, kind order by ms range between unbounded preceding and 86400001 preceding) as n, min(ms) over (partition by ip, kind order by ms range between 86400000 preceding and current row) as oldest from m),
+    f as (select ip, kind, ms, idx, oldest, least, row_number() over (partition by ip, kind order by ms, idx) as k from c where n >= least), t as (select * from f where k = 1),
+    a as (select t.ip, 'recon-hit' as kind, min(e.ms) as ms from t join e on e.ip = t.ip and (e.ms, e.idx) > (t.ms, t.idx) where t.kind = 'scan-behavior' and e.event_type = 'view' group by 1
+          union all select t.ip, 'credential-compromise', min(e.ms) from t join e on e.ip = t.ip and (e.ms, e.idx) > (t.ms, t.idx) where t.kind = 'brute-force' and e.event_type = 'purchase' group by 1)
+    select ip, kind, ms, oldest, cast(least as bigint) as n from t union all select ip, kind, ms, ms, 1 from a
+    """,
+)
 def stateful_log_stream(t: Tables):
     """The events table as a stream that ends when it has been read; alerts are written to the shared folder."""
     import uuid
