@@ -9,6 +9,7 @@ from wardenflow.functions import scalar as X
 from wardenflow.functions import vocabulary as V
 from wardenflow.operators.graph import components
 from wardenflow.operators.positional import small
+from wardenflow.operators.windows import running_total
 
 #: A finding as a relation; absent values are NULL.
 FINDING = (
@@ -208,7 +209,11 @@ def root_causes(findings: DataFrame) -> DataFrame:  # A17
 
 
 def variants(findings: DataFrame, most: int = 25) -> DataFrame:  # J16
-    """For each confirmed finding the others alike: by title and kind, by file, or by class; at most ``most`` each."""
+    """For each confirmed finding the others alike: by title and kind, by file, or by class; at most ``most`` each.
+
+    Before they are joined, the findings of each value of an axis are cut to the first ``most`` and as many more as
+    stand at one place there, since a seed's own place does not count.
+    """
     seeds = findings.filter("status = 'confirmed'").select(*[F.col(c).alias(f"seed_{c}") for c in ("id", "title", "kind", "file", "line", "cwe")])
     parts = []
     for n, (axis, on) in enumerate({"same-callee": ["title", "kind"], "same-file": ["file"], "same-cwe": ["cwe"]}.items()):
@@ -216,7 +221,11 @@ def variants(findings: DataFrame, most: int = 25) -> DataFrame:  # J16
         for c in on:
             term = F.col(f"seed_{c}") == F.col(c)
             condition = term if condition is None else condition & term
-        parts.append(seeds.join(findings, condition).withColumns({"axis": F.lit(axis), "axis_order": F.lit(n)}))
+        here = findings.select("id", "file", "line", *[c for c in on if c != "file"]).filter(" and ".join(f"{c} is not null" for c in on))
+        crowd = here.groupBy(*on, *[c for c in ("file", "line") if c not in on]).agg(F.count(F.lit(1)).alias("here__")).groupBy(*on).agg(F.max("here__").alias("here__"))
+        first = here.withColumn("turn__", F.row_number().over(Window.partitionBy(*on).orderBy("file", "line", "id")))
+        first = first.join(crowd, on).filter(F.col("turn__") <= F.col("here__") + most).drop("turn__", "here__")
+        parts.append(seeds.join(first, condition).withColumns({"axis": F.lit(axis), "axis_order": F.lit(n)}))
     pairs = union_all(*parts).filter("id <> seed_id and not (file <=> seed_file and line <=> seed_line)")
     first = pairs.groupBy("seed_id", "id", "file", "line").agg(F.min_by("axis", "axis_order").alias("axis"), F.min("axis_order").alias("axis_order"))
     w = Window.partitionBy("seed_id").orderBy("axis_order", "file", "line", "id")
@@ -251,9 +260,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:  # A23
     """Rank correlation with mean ranks for ties, from value counts rather than a sort of all rows."""
 
     def ranks(c):
-        counts = df.groupBy(c).count()
-        before = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(F.col(c).alias(f"{c}__v"), (F.coalesce(F.sum("count").over(before), F.lit(0)) + (F.col("count") + 1) / 2).alias(f"{c}__r"))
+        counts = running_total(df.groupBy(c).count(), c, "count", "upto__")
+        return counts.select(F.col(c).alias(f"{c}__v"), (F.col("upto__") - F.col("count") + (F.col("count") + 1) / 2).alias(f"{c}__r"))
 
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).join(ranks(a), F.col(a) == F.col(f"{a}__v")).join(ranks(b), F.col(b) == F.col(f"{b}__v"))
     return both.agg(F.corr(f"{a}__r", f"{b}__r").alias("rho"), F.count(F.lit(1)).alias("n"))

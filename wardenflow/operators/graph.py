@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardenflow.storage import cut
+from wardenflow.operators.positional import as_of
+from wardenflow.storage import cut, discard
 
 
 def call_edges(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:  # J2
@@ -85,23 +86,36 @@ def neighbours(edges: DataFrame, seed, depth: int, source: str = "src", target:
     return seen
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:  # G4
+def _downward(edges: DataFrame) -> DataFrame:
+    """Each edge once, from its larger node ``a`` to its smaller node ``b``."""
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:  # G4
     """``node, component`` over edges ``a, b``; component is the smallest node that a node reaches.
 
-    Each round takes the smallest label among a node's neighbours, then that label's own label, which halves chains.
+    Stars in turn: every larger neighbour of a node is linked to the smallest one around it, then a node and its smaller
+    neighbours are linked to the smallest of them. Both need minima alone, which are aggregated before they are shuffled,
+    and rounds grow with the logarithm of the nodes. A node with loops only is its own component.
     """
-    pairs = edges.select("a", "b").filter("a is not null and b is not null")
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    known = edges.select("a", "b").filter("a is not null and b is not null")
+    now, mark = cut(_downward(known), "edges"), None
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        low = labels.join(near, "node").select("node", F.least("component", "c").alias("c"), F.col("component").alias("before"))
-        jump = low.join(labels.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c").select("node", F.least("c", "cc").alias("component"), "before")
-        after = cut(jump, "labels")
-        if after.filter("component <> before").isEmpty():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        around = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = _downward(both.join(around, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        small_ = large.join(below, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = cut(_downward(small_.unionByName(below.select("a", F.col("m").alias("b")))), "edges")
+        discard(now)
+        now, before, mark = after, mark, tuple(after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
+        if mark == before or not mark[0]:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    linked = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    loops = known.filter("a = b").select(F.col("a").alias("node")).distinct().join(linked.select("node"), "node", "left_anti")
+    return linked.unionByName(loops.select("node", F.col("node").alias("component")))
 
 
 def taint_paths(sinks: DataFrame, callers_of: DataFrame, sources: DataFrame, depth: int = 6, gate: Column | None = None) -> DataFrame:  # G1
@@ -115,10 +129,9 @@ def taint_paths(sinks: DataFrame, callers_of: DataFrame, sources: DataFrame, dep
     seen = frames.select("sink_id", "file", "symbol").distinct()
     found = None
     for d in range(depth + 1):
-        s = sources.select(F.col("file").alias("sf"), F.col("line").alias("sl"), "source")
-        hit = frames.join(s, (F.col("file") == F.col("sf")) & (F.col("sl") <= F.col("line")))
-        hit = hit.groupBy("sink_id", "file", "symbol", "line", "hops").agg(F.max_by(F.struct("source", "sl"), F.col("sl")).alias("x"))
-        hit = hit.select("sink_id", F.col("x.source").alias("source"), F.col("file").alias("source_file"), F.col("x.sl").alias("source_line"), F.lit(d).alias("depth"), "hops")
+        s = sources.select("file", "line", F.col("line").alias("sl"), "source")
+        hit = as_of(frames.select("sink_id", "file", "symbol", "line", "hops"), s, "file", "line", ["source", "sl"]).filter("sl is not null")
+        hit = hit.select("sink_id", "source", F.col("file").alias("source_file"), F.col("sl").alias("source_line"), F.lit(d).alias("depth"), "hops")
         found = hit if found is None else found.unionByName(hit)
         if d == depth:
             break

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardenflow.functions import scalar as X
@@ -90,11 +90,11 @@ def leaks(events: DataFrame, redacted: bool = True, cap: int = LEAK_CAP, bulk: i
     kinds = events.select("file", "line", "text", F.explode(X.leak_kinds(F.col("text"))).alias("leak"))
     pattern = next(p for k, p, _ in X.REDACTIONS if k == "email")
     mail = kinds.filter("leak = 'email'").select("file", "line", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1)), F.lower))).alias("mail"))
-    first = mail.groupBy("file", "mail").agg(F.min("line").alias("line")).groupBy("file", "line").agg(F.count(F.lit(1)).alias("fresh"))
-    lines = kinds.filter("leak = 'email'").select("file", "line").join(first, ["file", "line"], "left")
-    upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    many = lines.withColumn("seen", F.sum(F.coalesce("fresh", F.lit(0))).over(upto)).filter(F.col("seen") >= bulk).select("file", "line", F.lit("email").alias("leak"))
-    hits = kinds.filter("leak <> 'email'").unionByName(kinds.join(many, ["file", "line", "leak"], "left_semi"))
+    # a file has shown ``bulk`` addresses from the line on where the one of that number first stands
+    first = W.capped(mail.groupBy("file", "mail").agg(F.min("line").alias("line")), ["file"], ["line", "mail"], bulk)
+    since = first.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("since")).filter(F.col("n") >= bulk).select("file", "since")
+    many = kinds.filter("leak = 'email'").join(since, "file").filter("line >= since").drop("since")
+    hits = kinds.filter("leak <> 'email'").unionByName(many)
     kept = W.capped(hits, ["file"], ["line", "leak"], cap)
     secret = F.col("leak").isin(*[k for k, _, s in X.REDACTIONS if s])
     found = kept.select(

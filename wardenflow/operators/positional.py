@@ -1,6 +1,7 @@
 """Joins by position: as-of, innermost interval, range, longest prefix, last matching rule.
 
-Each has an equality key, or a broadcast side whose size is checked, so none becomes a product of both sides.
+Each has an equality key or a broadcast side whose size is checked. ``innermost`` compares all points and spans of a key,
+and ``last_rule`` all values and rules where there are more than 10,000 rules; the others grow with their rows.
 """
 
 from __future__ import annotations

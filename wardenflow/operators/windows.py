@@ -86,6 +86,17 @@ def numbered(df: DataFrame, order: list[str], out: str = "position", buckets: in
     return placed.withColumn(out, F.col("start__") + F.col("place__").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("place__", "part__", "start__")
 
 
+def running_total(df: DataFrame, order: str, value: str, out: str, buckets: int = 64) -> DataFrame:
+    """Sum of ``value`` up to each row in the order of the unique ``order``, by range partitions and their totals."""
+    from wardenflow.storage import cut
+
+    placed = cut(df.repartitionByRange(buckets, order).withColumn("part__", F.spark_partition_id()), "ranged")
+    totals = placed.groupBy("part__").agg(F.sum(value).alias("n__"))
+    starts = totals.withColumn("start__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n__")  # a row for each partition
+    upto = Window.partitionBy("part__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(F.broadcast(starts), "part__").withColumn(out, F.col("start__") + F.sum(value).over(upto)).drop("part__", "start__")
+
+
 def shard(df: DataFrame, order: list[str], shards: int, out: str = "shard") -> DataFrame:  # W9
     """Shard 0 to ``shards`` - 1 of each row over the stable order."""
     return numbered(df, order).withColumn(out, ((F.col("position") - 1) % shards).cast("int")).drop("position")

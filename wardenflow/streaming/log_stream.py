@@ -2,8 +2,8 @@
 
 Rows come with ip, ms (event time), idx (arrival), failed, success, error and hit flags. State holds the marks still in
 the window and what has fired. An address's rows within a micro-batch are taken in time order, all of them by one task
-that holds their times and flags; rows later than the
-watermark are counted apart by :func:`late_rows`, not mixed in. State of an address that is silent for ``idle_s`` goes, if that is given.
+that holds their times and flags; rows of a later micro-batch come
+after them, however old: no watermark drops any, and :func:`late_rows` counts what comes late. State of an address that is silent for ``idle_s`` goes, if that is given.
 """
 
 from __future__ import annotations
