@@ -99,6 +99,41 @@ def risk_score(severity: Column, epss: Column, kev: Column, exposure: Column | N
     return F.least(F.greatest(score, F.lit(0).cast("long")), F.lit(100).cast("long")).cast("int")
 
 
+def deployment_facts(context: Column) -> Column:  # X7
+    """``exposure`` and ``criticality`` that a context document states on lines of their own; NULL where it names no known value."""
+
+    def fact(name: str, known: dict) -> Column:
+        stated = F.regexp_extract(context, rf"(?im)^\s*(?:[-*]\s*)?(?:\*\*)?{name}(?:\*\*)?\s*:\s*`?([a-z-]+)", 1)
+        return F.when(stated.isin(*known), stated)
+
+    return F.struct(fact("Exposure", V.EXPOSURE_WEIGHT).alias("exposure"), fact("Criticality", V.CRITICALITY_WEIGHT).alias("criticality"))
+
+
+# Fixed value: the sections of a context document that bear on a ruling.
+RULING_SECTIONS = r"(?i)^##\s*(hunt list|exposure|criticality|trust model|trust boundaries|auth)"
+
+
+def ruling_sections(context: Column) -> Column:  # X25
+    """Of a context document the second-level sections that bear on a ruling; NULL if there are none."""
+    parts = F.split(F.regexp_replace(context, "\r\n", "\n"), r"(?m)^(?=##\s)")
+    kept = F.array_join(F.filter(parts, lambda p: p.rlike(r"^##\s") & p.rlike(RULING_SECTIONS)), "")
+    return F.nullif(F.regexp_replace(kept, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def balanced_arguments(text: Column) -> Column:  # X18
+    """What stands between the first opening parenthesis and the one that closes it; NULL if none does."""
+    start = F.instr(text, "(")
+    signs = F.split(F.substring(text, start, F.char_length(text)), "")
+
+    def step(s: Column, c: Column) -> Column:
+        closes = (s["end"] == 0) & (c == ")") & (s["depth"] == 1)
+        depth = s["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), F.when(closes, s["at"] + 1).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(signs, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")), step, lambda s: s["end"])
+    return F.when((start > 0) & (end > 0), F.substring(text, start + 1, end - 2))
+
+
 def cvss_base_score(vector: Column) -> Column:  # X8
     """Base score of a CVSS 3 vector, NULL if a metric is missing."""
     metric = lambda name: F.nullif(F.regexp_extract(vector, rf"(?:^|/){name}:([A-Z])(?:/|$)", 1), F.lit(""))

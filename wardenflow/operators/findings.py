@@ -193,6 +193,12 @@ def at_least(findings: DataFrame, severity: str) -> DataFrame:  # F24
     return findings.filter(X.severity_rank(F.col("severity")) <= V.SEVERITIES.index(severity))
 
 
+def prune_paths(findings: DataFrame, pruned: Column) -> tuple[DataFrame, DataFrame]:  # F21
+    """Findings whose place is not pruned, and the number of the others; what cites no file always stays."""
+    gone = F.coalesce(F.col("file").isNotNull() & pruned, F.lit(False))
+    return findings.filter(~gone), findings.agg(F.count_if(gone).alias("dropped"))
+
+
 def paths(findings: DataFrame, kind: str | None = None, severity: str | None = None) -> DataFrame:  # F23
     out = findings.filter("category = 'taint'")
     out = out.filter(F.col("kind") == kind) if kind else out

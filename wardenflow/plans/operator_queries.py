@@ -12,6 +12,7 @@ from wardenflow.operators import code_detect as C
 from wardenflow.operators import findings as N
 from wardenflow.operators import graph as G
 from wardenflow.operators import log_analysis as L
+from wardenflow.plans.imports import import_findings
 from wardenflow.plans.registry import Tables, query
 from wardenflow.sources import logs as S
 
@@ -387,3 +388,57 @@ def leaf_scalars(t: Tables):  # X4, X19, X20, X23
         key, X.pick_cve(F.array(F.lit("GHSA-xxxx"), F.concat(F.lit(" cve-2024-"), F.lit(1000) + key))).alias("cve"), X.first_cwe(F.concat(F.lit("see cwe-"), size, F.lit(" and CWE-9"))).alias("cwe"), both["pkg"].alias("pkg"), both["version"].alias("version"),
         X.package_of_lock_key(F.concat(F.lit("node_modules/a/node_modules/lib"), size)).alias("lock_name"), X.is_private_host(host).alias("private_host"), X.is_constant_assignment(F.when(key % 2 == 0, F.lit("'fixed';")).otherwise(F.lit("read(x)"))).alias("constant"),
     )
+
+
+@query("pruned_findings", "select p_partkey, case p_size % 3 when 1 then null when 2 then 'src/a.js' end as file from part where p_size % 3 <> 0")
+def pruned_findings(t: Tables):  # what cites no file stays
+    k = F.col("p_size") % 3
+    found = _finding(t.part, id=F.col("p_partkey").cast("string"), tool=F.lit("a"), category=F.lit("sast"), title=F.lit("t"), severity=F.lit("low"), message=F.lit("m"), file=F.when(k == 0, "vendor/a.js").when(k == 2, "src/a.js"))
+    return N.prune_paths(found, F.col("file").startswith("vendor/"))[0].select(F.col("id").cast("long").alias("p_partkey"), "file")
+
+
+@query(
+    "imported_findings",
+    """
+    select case when p_size <= 30 then 'b' else 'i' end || p_partkey as id, case when p_size < 20 then 'semgrep' when p_size <= 30 then 'deep,semgrep' else 'deep' end as sources,
+        case when p_size <= 30 and p_size % 5 = 0 then 'confirmed' else 'open' end as status, case when p_size between 20 and 30 and p_size % 5 <> 0 then 'high' else 'medium' end as confidence, 30 as risk from part where p_size <= 45
+    """,
+)
+def imported_findings(t: Tables):  # L9, A1, J22, U3
+    size = F.col("p_size")
+    common = {"category": F.lit("sast"), "title": F.lit("shape"), "severity": F.lit("medium"), "message": F.lit("m"), "file": F.concat(F.lit("f"), "p_partkey"), "line": F.lit(3), "cwe": F.concat(F.lit("CWE-"), size % 4)}
+    before = _finding(t.part.filter("p_size <= 30"), id=F.concat(F.lit("b"), "p_partkey"), tool=F.lit("semgrep"), status=F.when(size % 5 == 0, "confirmed").otherwise("open"), **common)
+    imported = _finding(t.part.filter("p_size between 20 and 45"), id=F.concat(F.lit("i"), "p_partkey"), tool=F.lit("deep"), **common)
+    epss, kev = t.spark.createDataFrame([], "cve string, epss double"), t.spark.createDataFrame([], "cve string")
+    return import_findings(before, imported, epss, kev).select("id", F.array_join("sources", ",").alias("sources"), "status", "confidence", "risk")
+
+
+@query("persisted_counts", "select count(*) filter (where p_size % 3 = 0) as critical, 0 as high, count(*) filter (where p_size % 3 = 1) as medium, 0 as low, count(*) filter (where p_size % 3 = 2) as info, count(*) as findings from part")
+def persisted_counts(t: Tables):  # K2, A2
+    import uuid
+
+    from wardenflow.plans.reports import persist_findings
+    from wardenflow.storage import shared_dir
+
+    k = F.col("p_size") % 3
+    found = _finding(t.part, id=F.col("p_partkey").cast("string"), tool=F.lit("a"), category=F.lit("sast"), title=F.lit("t"), severity=F.when(k == 0, "critical").when(k == 1, "medium").otherwise("info"), message=F.lit("m"))
+    return persist_findings(found, f"{shared_dir(t.spark)}/run-{uuid.uuid4().hex}")
+
+
+@query(
+    "context_facts",
+    """
+    select c_custkey, case c_mktsegment when 'BUILDING' then 'internet-facing' when 'MACHINERY' then 'internal' end as exposure, case when c_nationkey % 2 = 0 then 'crown-jewel' end as criticality,
+        case when c_nationkey % 3 = 0 then null else '## Exposure of it' || chr(10) || 'line ' || c_custkey || chr(10) || '## Trust model' || chr(10) || 'last' end as sections, case when c_nationkey % 2 = 0 then 'a, f(' || c_custkey || '), (b)' end as arguments
+    from customer
+    """,
+)
+def context_facts(t: Tables):  # X7, X18, X25
+    segment, odd = F.col("c_mktsegment"), F.col("c_nationkey") % 2
+    stated = F.when(segment == "BUILDING", "internet-facing").when(segment == "MACHINERY", "internal").otherwise("somewhere")
+    context = F.concat(F.lit("# About\n  - **Exposure** : `"), stated, F.lit("`\nCriticality: "), F.when(odd == 0, "crown-jewel").otherwise("none"), F.lit("\n"))
+    other = F.lit("## Other\nskipped\n")
+    doc = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("# Top\n"), other)).otherwise(F.concat(F.lit("# Top\nintro\n## Exposure of it\r\nline "), "c_custkey", F.lit("\n"), other, F.lit("## Trust model\nlast\n\n")))
+    call = F.concat(F.lit("set(a, f("), "c_custkey", F.when(odd == 0, "), (b)) rest)").otherwise("), (b"))
+    facts = X.deployment_facts(context)
+    return t.customer.select("c_custkey", facts["exposure"].alias("exposure"), facts["criticality"].alias("criticality"), X.ruling_sections(doc).alias("sections"), X.balanced_arguments(call).alias("arguments"))

@@ -67,6 +67,16 @@ def write_report(findings: DataFrame, path: str) -> None:  # K5
     report_lines(findings).write.text(path)
 
 
+def persist_findings(findings: DataFrame, folder: str) -> DataFrame:  # K2
+    """Write findings and their counts into ``folder``; the counts are those of what was written, one row."""
+    spark = findings.sparkSession
+    findings.write.mode("overwrite").parquet(f"{folder}/findings")
+    kept = spark.read.schema(findings.schema).parquet(f"{folder}/findings")
+    counts = kept.agg(*[F.count_if(F.col("severity") == x).alias(x) for x in V.SEVERITIES], F.count(F.lit(1)).alias("findings"))
+    counts.write.mode("overwrite").json(f"{folder}/counts")
+    return spark.read.schema(counts.schema).json(f"{folder}/counts")
+
+
 def html_lines(findings: DataFrame) -> DataFrame:  # K6
     def cell(value):
         for sign in "&<>\"'":
