@@ -5,16 +5,16 @@ segments: its different words are dealt to segments by four bits of their hashes
 of its own words. A word that changes thus touches two segments at most, however many bits it moves; in one SimHash over
 all words it would move bits anywhere. A block is three segments that follow each other on the ring of the line's
 segments, at their places. By the pigeonhole principle some block is left whole where few segments differ: of 16, any
-five may. Lines that share a block are candidates; candidates are verified by the edit similarity of the whole lines, by
-characters; and connected groups of verified links keep the first occurrence in order of document and place.
+five may. Lines that share a block, and of the larger one's segments the share ``agree`` at least, are candidates;
+candidates are verified by the edit similarity of the whole lines, by characters; and connected groups of verified links
+keep the first occurrence in order of document and place.
 
 Within a block not all pairs are compared. First each line is compared with the smallest key of its block, which
 joins nearly all that are alike, however many. Blocks whose lines then are in one group are done. In others, lines of
 different groups are compared with each other if the block has at most ``crowd`` lines; larger ones are cut by one more
-equal segment, whichever it be, and start anew. What is still crowded after ``cuts`` such cuts is compared line by line with
-the whole block, smallest groups first, until one group is left or every line outside the largest has been compared
-with all. So no link between lines that share a block is lost, except one between lines that no shared block connects
-after a cut, which then share three segments only.
+equal segment, whichever it be, and start anew. What is crowded even after ``cuts`` such cuts is compared line by line
+with the whole block, until every line outside its largest group has been. So candidates end in one group if they are
+alike; a cut asks for a fourth equal segment, which candidates with twelve segments or more have by ``agree``.
 
 Lines are known by the 64-bit hash of their normalised text.
 
@@ -51,7 +51,7 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.when(F.col(text_col).isNotNull(), plain).alias("plain"))
     lines = rows.select("row", "doc_id", F.posexplode_outer(F.split("plain", "\n")).alias("pos", "line"))
     lines = lines.select("row", "doc_id", F.coalesce("pos", F.lit(0)).alias("pos"), F.trim("line").alias("line"))
-    return settle(lines.withColumn("key", F.when(F.col("line") != "", F.xxhash64("line"))), "lines")
+    return settle(lines.withColumn("key", F.when(F.col("line") != "", F.xxhash64("line"))), "lines", "zstd")
 
 
 def _ahead() -> Column:
@@ -61,8 +61,9 @@ def _ahead() -> Column:
 
 def segment_codes(lines: DataFrame) -> DataFrame:
     """``key, codes``: the segments of each line's SimHash in order, empty ones left out, place and bits in one int."""
-    # by key first: words of a line then meet where they are made, and no word is shuffled
-    words = lines.select("key", "line").repartition("key").select("key", F.explode(F.array_distinct(F.split("line", " "))).alias("word"))
+    # each line once and by key: its words then meet where they are made, and no word is shuffled
+    once = lines.select("key", F.array_join(F.array_distinct(F.split("line", " ")), " ").alias("words")).groupBy("key").agg(F.first("words").alias("words"))
+    words = once.select("key", F.explode(F.split("words", " ")).alias("word"))
     hashed = words.select("key", F.xxhash64("word").alias("h")).withColumn("segment", F.shiftrightunsigned("h", 60).cast("int"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANES))).alias(f"s{j}") for j in range(SUMS)]
     counted = hashed.groupBy("key", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("one"), *sums)
@@ -81,25 +82,36 @@ def ring_blocks(codes: DataFrame) -> DataFrame:
     return ring.select("key", F.explode(F.when(F.size("codes") > 3, three).otherwise(F.array(F.xxhash64("codes")))).alias("block"))
 
 
-def finer_blocks(members: DataFrame, codes: DataFrame) -> DataFrame:
+def finer_blocks(members: DataFrame) -> DataFrame:
     """Blocks with one more equal segment, for each segment of each line."""
-    return members.select("block", "key").join(codes, "key").select("key", "block", F.explode("codes").alias("code")).select("key", F.xxhash64("block", "code").alias("block"))
+    return members.select("key", "block", F.explode("codes").alias("code")).select("key", F.xxhash64("block", "code").alias("block"))
 
 
-def _between(a: Column, b: Column) -> tuple[Column, Column]:
-    """Two lines without the words that they begin with and end with alike, at the same edit distance."""
+def _between(pairs: DataFrame) -> DataFrame:
+    """Pairs of lists of words ``x, y`` as strings without the words that both begin and end with, at the same edit distance."""
     first = lambda x, y: F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), False).cast("int") - 1
-    head = first(a, b)
-    rest = lambda x: F.slice(x, head + 1, F.greatest(F.size(x), F.lit(1)))
-    tail = first(F.reverse(rest(a)), F.reverse(rest(b)))
+    rest = lambda x: F.slice(x, F.col("head") + 1, F.greatest(F.size(x), F.lit(1)))
+    pairs = pairs.withColumn("head", first("x", "y"))
+    pairs = pairs.withColumns({"p": F.reverse(rest("x")), "q": F.reverse(rest("y"))}).withColumn("tail", first("p", "q"))
 
     def cut(x):
-        n = F.size(x) - head - tail
-        left, right = F.when(head > 0, " ").otherwise(""), F.when(tail > 0, " ").otherwise("")
-        inner = F.array_join(F.slice(x, head + 1, F.greatest(n, F.lit(0))), " ")
-        return F.when(n > 0, F.concat(left, inner, right)).otherwise(F.when((head > 0) & (tail > 0), " ").otherwise(""))
+        n = F.size(x) - F.col("head") - F.col("tail")
+        left, right = F.when(F.col("head") > 0, " ").otherwise(""), F.when(F.col("tail") > 0, " ").otherwise("")
+        inner = F.array_join(F.slice(x, F.col("head") + 1, F.greatest(n, F.lit(0))), " ")
+        return F.when(n > 0, F.concat(left, inner, right)).otherwise(F.when((F.col("head") > 0) & (F.col("tail") > 0), " ").otherwise(""))
 
-    return cut(a), cut(b)
+    return pairs.select("a", "b", "most", cut("x").alias("x"), cut("y").alias("y"))
+
+
+def agreeing(a: Column, b: Column, agree: float) -> Column:
+    """Whether two lists of segments have the share ``agree`` of the longer one in common."""
+    return F.size(F.array_intersect(a, b)) >= F.lit(agree) * F.greatest(F.size(a), F.size(b))
+
+
+def _changed_words(x: Column, y: Column, known: Column) -> tuple[Column, Column]:
+    """Two lists of words as strings with a character for each word, by its place among the ``known`` ones."""
+    one = lambda words: F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.hex(F.array_position(known, w) + F.lit(0x3000))), "")), "UTF-16BE")
+    return one(x), one(y)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -111,9 +123,15 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> Dat
     both = both.filter(F.abs(F.char_length("x") - F.char_length("y")) <= F.col("most"))
     parts = max(64, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = both.select("a", "b", "most", F.split("x", " ").alias("x"), F.split("y", " ").alias("y")).repartition(parts, "a", "b")  # few bytes but much work for each
-    x, y = _between(F.col("x"), F.col("y"))
-    both = both.select("a", "b", "most", x.alias("x"), y.alias("y"))
-    return both.filter(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+    both = _between(both)
+    # changing one word takes at most the longest word and a space in edits: few changed words settle most pairs at less cost
+    both = both.withColumns({"p": F.split("x", " "), "q": F.split("y", " ")}).withColumn("known", F.array_distinct(F.concat("p", "q")))
+    p, q = _changed_words(F.col("p"), F.col("q"), F.col("known"))
+    few = F.size("known") <= 40_000  # as many characters as there are from U+3000 on without a gap
+    both = both.select("a", "b", "most", "x", "y", F.when(few, p).alias("p"), F.when(few, q).alias("q"), F.floor(F.col("most") / (F.array_max(F.transform("known", F.char_length)) + 1)).cast("int").alias("words"))
+    both = settle(both, "changed")  # filters on these columns would otherwise compute them again and again
+    settled = F.coalesce(F.expr("levenshtein(p, q, words) >= 0"), F.lit(False))
+    return both.filter(settled | F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
 
 
 class _Links:
@@ -130,19 +148,20 @@ class _Links:
         if not found.isEmpty():
             self.groups = settle(connected_components(known.unionByName(found)), "groups")
 
-    def of(self, members: DataFrame) -> DataFrame:
-        """``members`` with their group, the key itself for a line without link."""
-        named = members.join(self.groups, members["key"] == F.col("node"), "left")
-        return named.select(*members.columns, F.coalesce("component", "key").alias("label"))
-
     def open(self, members: DataFrame) -> DataFrame:
-        """The rows (block, key) of blocks with more than one group, with label and the block's size k."""
-        labelled = settle(self.of(members.select("block", "key")), "labelled")
+        """The rows (block, key, codes) of blocks with more than one group, with their group's label and the block's size k."""
+        named = members.select("block", "key", "codes").join(self.groups, members["key"] == F.col("node"), "left")
+        labelled = settle(named.select("block", "key", "codes", F.coalesce("component", "key").alias("label")), "labelled")
         sizes = labelled.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
         return settle(labelled.join(sizes.select("block", "k"), "block"), "open")
 
 
-def _one_by_one(links: _Links, rows: DataFrame, at_once: int = 8) -> None:
+def _pairs(rows: DataFrame, others: DataFrame, agree: float) -> DataFrame:
+    """Candidates ``a, b``: rows (block, key, codes, label) with those others (block, b, b_codes, b_label) of their block that are in another group."""
+    return rows.join(others, "block").filter((F.col("label") != F.col("b_label")) & agreeing(F.col("codes"), F.col("b_codes"), agree)).select(F.col("key").alias("a"), "b")
+
+
+def _one_by_one(links: _Links, rows: DataFrame, agree: float, at_once: int = 64) -> None:
     """Lines of crowded blocks, ``at_once`` in a turn, against the whole block, until the lines outside its largest group have had their turn."""
     done = rows.sparkSession.createDataFrame([], "block long, key long")
     while True:
@@ -150,52 +169,51 @@ def _one_by_one(links: _Links, rows: DataFrame, at_once: int = 8) -> None:
         groups = rows.groupBy("block", "label").agg(F.count(F.lit(1)).alias("size"))
         largest = groups.groupBy("block").agg(F.max(F.struct("size", "label")).getField("label").alias("largest"))
         left = rows.join(largest, "block").filter(F.col("label") != F.col("largest")).join(done, ["block", "key"], "left_anti")
-        turn = left.groupBy("block", F.pmod("label", F.lit(at_once)).alias("seat")).agg(F.min("key").alias("a"))
-        turn = settle(turn.drop("seat"), "turn")
+        turn = left.groupBy("block", F.pmod(F.xxhash64("key"), F.lit(at_once)).alias("seat")).agg(F.min_by(F.struct("key", "codes", "label"), "key").alias("x"))
+        turn = settle(turn.select("block", F.col("x.key").alias("b"), F.col("x.codes").alias("b_codes"), F.col("x.label").alias("b_label")), "turn")
         if turn.isEmpty():
             return
-        done = done.unionByName(turn.select("block", F.col("a").alias("key")))
-        links.add(rows.join(turn, "block").filter(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")))
+        done = done.unionByName(turn.select("block", F.col("b").alias("key")))
+        links.add(_pairs(rows, turn, agree))
 
 
-def near_lines(nodes: DataFrame, similarity: float = 0.8, crowd: int = 64, cuts: int = 2, most_broadcast: int = 400_000) -> DataFrame:
-    """``node, component``: the connected groups of two or more of the lines ``key, line``, each key once."""
-    spark, codes = nodes.sparkSession, segment_codes(nodes)
+def near_lines(lines: DataFrame, similarity: float = 0.8, agree: float = 0.35, crowd: int = 256, cuts: int = 1, most_broadcast: int = 1_000_000) -> DataFrame:
+    """``node, component``: the connected groups of two or more of the lines ``key, line``; repeated lines count once."""
+    spark, codes = lines.sparkSession, segment_codes(lines)
     blocks, links = ring_blocks(codes), None
     for cut in range(cuts + 1):
-        sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.min("key").alias("a"), F.max("key").alias("b")).filter("k > 1")
-        sizes = settle(sizes, "blocks")
-        many = sizes.filter("k > 2").select("block", "a")
-        many = F.broadcast(many) if many.count() <= most_broadcast else many
-        members = settle(blocks.join(many, "block"), "members")
-        first = sizes.filter("k = 2").select("a", "b").unionByName(members.filter("key != a").select("a", F.col("key").alias("b")))
+        shared = settle(blocks.groupBy("block").count().filter("count > 1").select("block"), "blocks")
+        shared = F.broadcast(shared) if shared.count() <= most_broadcast else shared
+        members = settle(blocks.join(shared, "block").join(codes, "key").select("block", "key", "codes"), "members")
         if links is None:
-            asked = settle(sizes.filter("k = 2").select(F.explode(F.array("a", "b")).alias("key")).unionByName(members.select("key")).distinct(), "asked")
+            asked = settle(members.select("key").distinct(), "asked")
             asked = F.broadcast(asked) if asked.count() <= most_broadcast else asked
-            links = _Links(spark, settle(nodes.select("key", "line").join(asked, "key", "left_semi"), "texts"), similarity)
-        links.add(first)
+            texts = lines.select("key", "line").join(asked, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
+            links = _Links(spark, settle(texts, "texts"), similarity)
+        first = members.groupBy("block").agg(F.min_by(F.struct("key", "codes"), "key").alias("x"))
+        first = first.select("block", F.col("x.key").alias("b"), F.col("x.codes").alias("b_codes"), F.col("x.key").alias("b_label"))
+        links.add(_pairs(members.withColumn("label", F.col("key")), first, agree))
         left = links.open(members)
-        few = left.filter(F.col("k") <= crowd).select("block", "key", "label")
-        other = few.select("block", F.col("key").alias("b"), F.col("label").alias("other"))
-        across = few.join(other, "block").filter((F.col("key") < F.col("b")) & (F.col("label") != F.col("other"))).select(F.col("key").alias("a"), "b")
+        few = left.filter(F.col("k") <= crowd).select("block", "key", "codes", "label")
+        others = few.select("block", F.col("key").alias("b"), F.col("codes").alias("b_codes"), F.col("label").alias("b_label"))
         if not few.isEmpty():
-            links.add(across)
-        crowded = left.filter(F.col("k") > crowd)
+            links.add(_pairs(few, others, agree).filter("a < b"))
+        crowded = left.filter(F.col("k") > crowd).select("block", "key", "codes")
         if crowded.isEmpty():
             break
         if cut == cuts:
-            _one_by_one(links, crowded.select("block", "key"))
+            _one_by_one(links, crowded, agree)
         else:
-            blocks = settle(finer_blocks(crowded, codes), "finer")
+            blocks = settle(finer_blocks(crowded), "finer")
     return links.groups
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, crowd: int = 64) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **options) -> DataFrame:
     """The line table with ``kept`` for each line."""
     lines = line_table(docs, id_col, text_col)
-    nodes = lines.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(_ahead()).alias("first"), F.min("line").alias("line"))
+    nodes = lines.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(_ahead()).alias("first"))
     nodes = settle(nodes, "nodes")
-    groups = near_lines(nodes.select("key", "line"), similarity, crowd)
+    groups = near_lines(lines.filter("key is not null"), similarity, **options)
     linked = nodes.join(groups, F.col("key") == F.col("node")).select("key", "first", "component")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     near = linked.join(heads, "component").select("key", "head")
