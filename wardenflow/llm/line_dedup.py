@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardenflow.llm.common import fresh, settle, text_of
+from wardenflow.llm.common import forget, fresh, settle, text_of
 from wardenflow.llm.components import connected_components
 
 #: ASCII signs and white space but the line feed; they become spaces.
@@ -143,17 +143,25 @@ class _Links:
 
     def add(self, pairs: DataFrame) -> None:
         """Verify ``a, b`` and merge the groups."""
-        found = settle(verified(settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"), self.texts, self.similarity), "links")
+        pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        checked = verified(pairs, self.texts, self.similarity)
+        found = settle(checked, "links")
+        forget(pairs)
+        forget(checked)
         known = self.groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         if not found.isEmpty():
-            self.groups = settle(connected_components(known.unionByName(found)), "groups")
+            before, self.groups = self.groups, settle(connected_components(known.unionByName(found)), "groups")
+            forget(before)
+        forget(found)
 
     def open(self, members: DataFrame) -> DataFrame:
         """The rows (block, key, codes) of blocks with more than one group, with their group's label and the block's size k."""
         named = members.select("block", "key", "codes").join(self.groups, members["key"] == F.col("node"), "left")
         labelled = settle(named.select("block", "key", "codes", F.coalesce("component", "key").alias("label")), "labelled")
         sizes = labelled.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-        return settle(labelled.join(sizes.select("block", "k"), "block"), "open")
+        opened = settle(labelled.join(sizes.select("block", "k"), "block"), "open")
+        forget(labelled)
+        return opened
 
 
 def _pairs(rows: DataFrame, others: DataFrame, agree: float) -> DataFrame:
@@ -165,7 +173,8 @@ def _one_by_one(links: _Links, rows: DataFrame, agree: float, at_once: int = 64)
     """Lines of crowded blocks, ``at_once`` in a turn, against the whole block, until the lines outside its largest group have had their turn."""
     done = rows.sparkSession.createDataFrame([], "block long, key long")
     while True:
-        rows = links.open(rows)
+        before, rows = rows, links.open(rows)
+        forget(before)
         groups = rows.groupBy("block", "label").agg(F.count(F.lit(1)).alias("size"))
         largest = groups.groupBy("block").agg(F.max(F.struct("size", "label")).getField("label").alias("largest"))
         left = rows.join(largest, "block").filter(F.col("label") != F.col("largest")).join(done, ["block", "key"], "left_anti")
@@ -185,15 +194,20 @@ def near_lines(lines: DataFrame, similarity: float = 0.8, agree: float = 0.35, c
         shared = settle(blocks.groupBy("block").count().filter("count > 1").select("block"), "blocks")
         shared = F.broadcast(shared) if shared.count() <= most_broadcast else shared
         members = settle(blocks.join(shared, "block").join(codes, "key").select("block", "key", "codes"), "members")
+        forget(shared)
+        if cut:
+            forget(blocks)
         if links is None:
             asked = settle(members.select("key").distinct(), "asked")
             asked = F.broadcast(asked) if asked.count() <= most_broadcast else asked
             texts = lines.select("key", "line").join(asked, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
             links = _Links(spark, settle(texts, "texts"), similarity)
+            forget(asked)
         first = members.groupBy("block").agg(F.min_by(F.struct("key", "codes"), "key").alias("x"))
         first = first.select("block", F.col("x.key").alias("b"), F.col("x.codes").alias("b_codes"), F.col("x.key").alias("b_label"))
         links.add(_pairs(members.withColumn("label", F.col("key")), first, agree))
         left = links.open(members)
+        forget(members)
         few = left.filter(F.col("k") <= crowd).select("block", "key", "codes", "label")
         others = few.select("block", F.col("key").alias("b"), F.col("codes").alias("b_codes"), F.col("label").alias("b_label"))
         if not few.isEmpty():
@@ -205,6 +219,9 @@ def near_lines(lines: DataFrame, similarity: float = 0.8, agree: float = 0.35, c
             _one_by_one(links, crowded, agree)
         else:
             blocks = settle(finer_blocks(crowded), "finer")
+            forget(left)
+    forget(codes)
+    forget(links.texts)
     return links.groups
 
 
@@ -219,6 +236,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = linked.join(heads, "component").select("key", "head")
     alone = nodes.filter("times > 1").join(near.select("key"), "key", "left_anti").select("key", F.col("first").alias("head"))
     heads = settle(near.unionByName(alone).select("key", F.col("head.row").alias("head_row"), F.col("head.pos").alias("head_pos")), "heads")
+    forget(nodes)
+    forget(groups)
     kept = F.coalesce((F.col("row") == F.col("head_row")) & (F.col("pos") == F.col("head_pos")), F.lit(True))
     return lines.join(heads, "key", "left").select("row", "doc_id", "pos", "key", kept.alias("kept"))
 
