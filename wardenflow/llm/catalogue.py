@@ -17,6 +17,7 @@ from wardenflow.llm.packing import packed
 from wardenflow.llm.pii import find_personal_data
 from wardenflow.llm.secrets import find_secrets
 from wardenflow.llm.simhash_dedup import near_groups
+from wardenflow.llm.token_files import written_tokens
 from wardenflow.llm.winnowing import edited_fingerprints
 
 
@@ -114,6 +115,12 @@ FILLER_SQL = """, gaps{k} as (
 )"""
 OP8_SQL = OP8_SQL.replace("{fillers}", "".join(FILLER_SQL.format(j=k - 1, k=k) for k in (1, 2, 3)))
 
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -125,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_secrets": op9_secrets,
     "op10_winnowing": op10_winnowing,
+    "op12_token_files": op12_token_files,
 }
 
 ORACLES: dict[str, str] = {
