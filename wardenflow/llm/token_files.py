@@ -63,14 +63,37 @@ def _latin_pattern(last: int = 0x24F) -> tuple[re.Pattern, re.Pattern]:
     return re.compile(words), re.compile(f"[^\0-{chr(last)}]")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that a byte-level BPE writes for each byte: printable ones for themselves, others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+class _Words(dict):
+    """Ids of words that have been asked for; a word that is not there is encoded, and kept unless it is long."""
+
+    MOST, LONGEST = 1 << 20, 64
+
+    def __init__(self, model, dtype: str):
+        self.tokenize, self.dtype = model.tokenize, dtype
+        self.letters = dict(enumerate(_byte_letters()))
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array([t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts by tokenizers. A byte-level BPE encodes each word by itself, so the ids of a word are asked for once and kept.
+    """Ids of whole texts by tokenizers. A byte-level BPE encodes each word by itself, so its model is asked for a word's ids once and they are kept.
 
     Texts with the string of an added token go to tokenizers whole; so does everything if the file is of another kind.
     """
 
-    MOST_WORDS, LONGEST = 1 << 19, 64
-
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
@@ -83,29 +106,13 @@ class Encoder:
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.latin, self.beyond = _latin_pattern()
         self.any = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.kept: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def word(self, word: str) -> bytes:
-        ids = self.kept.get(word)
-        if ids is None:
-            ids = self.whole(word)
-            if len(word) <= self.LONGEST:
-                if len(self.kept) >= self.MOST_WORDS:
-                    self.kept.clear()
-                self.kept[word] = ids
-        return ids
+        self.words = _Words(self.tokenizer.model, self.dtype)
 
     def __call__(self, text: str) -> bytes:
         if not self.by_word or any(x in text for x in self.added):
-            return self.whole(text)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         words = (self.any if self.beyond.search(text) else self.latin).findall(text)
-        try:
-            return b"".join([*map(self.kept.__getitem__, words)])
-        except KeyError:
-            return b"".join([*map(self.word, words)])
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _encoders: dict[str, Encoder] = {}
