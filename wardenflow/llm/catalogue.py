@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardenflow.llm.common import documents
 from wardenflow.llm.exact_dedup import exact_dedup
+from wardenflow.llm.hard_negatives import hard_negatives
+from wardenflow.llm.importance import STEP, importance
 from wardenflow.llm.language_id import identify
 from wardenflow.llm.line_dedup import dedup_lines
 from wardenflow.llm.lm_score import score
@@ -117,10 +120,79 @@ OP8_SQL = OP8_SQL.replace("{fillers}", "".join(FILLER_SQL.format(j=k - 1, k=k) f
 
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=25).drop("digest")
+
+
+# DuckDB has no crc32: it is reduced over the half bytes of each different feature, low half first.
+OP11_SQL = r"""
+with texts as (
+    select text, count(*) as copies, 'd' as side from documents group by text union all select text, count(*), 't' from benchmark group by text
+), worded as (
+    select side, text, copies, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+    from texts
+), runs as (
+    select side, text, copies, len(words) as n_words, words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) as features from worded
+), uses as (
+    select side, text, copies, feature, count(*) as n from (select side, text, copies, unnest(features) as feature from runs) group by all
+), hexed as (
+    select feature, hex(encode(feature)) as h from (select distinct feature from uses)
+), hashed as (
+    select feature, xor(list_reduce(
+        list_prepend(4294967295::bigint, list_transform(range(0, len(h)), lambda i: ('0x' || substr(h, (i + 1 - 2 * (i % 2) + 1)::int, 1))::bigint)),
+        lambda c, x: xor(c >> 4, ([{half_bytes}]::bigint[])[((xor(c, x)) & 15) + 1])), 4294967295::bigint) % 10000 as bucket
+    from hexed
+), used as (
+    select side, text, copies, n, bucket from uses join hashed using (feature)
+), counts as (
+    select bucket, coalesce(sum(case when side = 'd' then n * copies end), 0) as s, coalesce(sum(case when side = 't' then n * copies end), 0) as t from used group by bucket
+), totals as (
+    select sum(s)::double as big_s, sum(t)::double as big_t from counts
+), gains as (
+    select bucket, floor(1000 * ln((t::double + 1) * (big_s + 10000) / ((s::double + 1) * (big_t + 10000)))) as gain from counts, totals
+), weighed as (
+    select text, floor(sum(n * gain) / sum(n))::bigint as weight from used join gains using (bucket) where side = 'd' group by text
+), scored as (
+    select doc_id, greatest(0, 2 * n_words - 1)::bigint as n_features, coalesce(weight, 0) as weight, n_words,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+    from documents d join runs r on r.side = 'd' and d.text is not distinct from r.text left join weighed w on w.text is not distinct from d.text
+), placed as (
+    select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last) as place, count(*) over (partition by n_words >= 20) as eligible from scored
+)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 25 * eligible // 100 then place end as rank from placed
+""".replace("{half_bytes}", ", ".join(map(str, STEP[::16].tolist())))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0, label)
+
+
+OP13_SQL = r"""
+with kept as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+        list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint as score
+    from kept a join kept b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+), positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, positive_id, cast(row_number() over w as int) as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by p.anchor_id, positive_id order by score desc, vec_id)
+qualify row_number() over w <= 3
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -132,10 +204,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_secrets": op9_secrets,
     "op10_winnowing": op10_winnowing,
+    "op11_importance_resampling": op11_importance_resampling,
     "op12_token_files": op12_token_files,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op8_source_mixing": OP8_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
