@@ -128,16 +128,28 @@ ROUTES = (
     (r"(^|/)(public|web|htdocs|www|public_html)/.*\.php$", r"^\s*<\?php"),
 )
 
-#: Calls that make a value safe for a kind of sink; '*' for any.
+#: What makes a value safe: kind of sink ('*' for any), pattern, note, whether it says something of a sink's own line only.
 SANITIZERS = (
-    ("sql", r"\?\s*['\"]?\s*,\s*\[|\bprepare\s*\(|\bbindParam\b|\bsetString\s*\(|:\w+['\"]\s*,\s*\{", "parameterised query"),
-    ("command", r"\bshlex\.quote\b|\bescapeshellarg\b|\bexecFile\b|\bshellescape\b", "argument quoting"),
-    ("path", r"\bbasename\s*\(|\brealpath\s*\(|\bsecure_filename\s*\(|\.normalize\s*\(", "path confinement"),
-    ("xss", r"\bescape(?:Html|HTML|html)?\s*\(|\bencodeForHTML\b|\bhtmlspecialchars\b|\bDOMPurify\b|\bsanitize", "output encoding"),
-    ("domxss", r"\bDOMPurify\b|\btextContent\b|\bsanitize", "sanitised markup"),
-    ("ssrf", r"\ballow(?:ed)?_?(?:list|hosts?)\b|\bisPrivate\b", "destination allow list"),
-    ("ldap", r"\bescape_filter_chars\b|\bencodeForLDAP\b|\bescapeFilter\b", "filter escaping"),
-    ("*", r"\bparseInt\s*\(|\bNumber\s*\(|\bint\s*\(|\.isInteger\s*\(|\bz\.\w+\(|\bJoi\.|\bvalidat(?:e|or)\b|\buuid\b", "validation or coercion"),
+    ("sql", r"\?|\$\d+|:\w+|%s|@\w+", "looks parameterized (placeholder present)", True),
+    ("command", r"\bexecFile\b|\bexecvp?\b|shlex\.quote|escapeshellarg", "argv-array / quoting present", False),
+    ("path", r"\bbasename\b|\brealpath\b|secure_filename|path\.resolve|startsWith\(", "path-confinement helper present", False),
+    ("xss", r"\bescape[A-Z]?\w*\b|sanitize|DOMPurify|bleach|markupsafe|\bxss[A-Za-z]*\b", "escaping/sanitizer present", False),
+    ("deserialize", r"safe_load|safeLoad|JSON\.parse", "safe loader present", False),
+    ("nosql", r"mongo-?[sS]anitize|sanitizeFilter|\$eq\b", "operator-stripping sanitizer present", False),
+    ("xxe", r"resolve_entities\s*=\s*False|feature_external_ges|FEATURE_SECURE_PROCESSING|noent\s*=\s*False|XMLConstants", "external-entity resolution disabled", False),
+    ("ldap", r"ldap\.escape|escapeDN|escapeFilter|escape_filter_chars", "LDAP escaping present", False),
+    ("crlf", r"encodeURIComponent|stripCRLF|replace\(\s*/[^/]*[\\]r", "CR/LF stripping present", False),
+    ("proto", r"__proto__|Object\.freeze|Object\.create\(\s*null|hasOwnProperty|structuredClone", "prototype-pollution guard present", False),
+    ("ssti", r"autoescape|markupsafe|\|\s*e\b|escape\(", "template autoescaping present", False),
+    ("domxss", r"DOMPurify|\bsanitizeHtml\b|createPolicy|textContent\s*=|\bescapeHtml\b", "HTML sanitizer / Trusted Types policy present", False),
+    ("argv", r"startsWith\(\s*['\"]-|\breplace\(\s*/\^-|\ballowlist\b|\ballowList\b|--\s*['\"]?\s*,", "option-injection guard present (leading '-' rejected or `--` terminator)", False),
+    ("redos", r"\bRE2\b|re2|\bescapeRegExp\b|\bescape_string\b|timeout", "linear-time engine or pattern escaping present", False),
+    ("reflect", r"\bALLOWED\b|allowlist|allowList|\bin\s+\{|\bMap\s*\(|hasOwnProperty|\bdict\s*\[", "allow-list lookup present", False),
+    ("xpath", r"setXPathVariable|XPathVariableResolver|\bbindVariable\b|\$\w+", "XPath variable binding present", True),
+    ("massassign", r"\bpick\b|\bfillable\b|\bpermit\b|\bonly\s*\(|\bwhitelist\b|\bz\.object|Joi\.object", "explicit field allow-list present", False),
+    ("csv", r"startsWith\(\s*['\"][=+\-@]|\bescapeFormula\b|\bsanitizeCell\b|['\"]'\s*\+", "formula-prefix neutralization present", False),
+    ("llm", r"\ballowed_tools\b|\btool_choice\b|\ballowlist\b|\bschema\b|\bz\.object|\bJSON\.parse\b|\bvalidate\b", "output constrained (schema / tool allow-list) — the only control that holds for this class", False),
+    ("*", r"\bparseInt\b|\bNumber\(|\bInteger\.parse|validator\.|\bz\.|Joi\.|\bisInt\b|\bUUID\b", "type-coercion/validation present", False),
 )
 
 #: Checks of a handler's caller.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,8 +11,10 @@ from pyspark.sql import functions as F
 from wardenflow.functions import audit_rules as A
 from wardenflow.functions import code_rules as R
 from wardenflow.functions import scalar as X
+from wardenflow.operators import dataflow as D
 from wardenflow.operators import graph as G
 from wardenflow.operators import positional as P
+from wardenflow.operators.dataflow import unit_map  # noqa: F401
 from wardenflow.operators.findings import conform, union_all
 from wardenflow.sources.repo import exploded, source_lines
 from wardenflow.storage import cut
@@ -72,11 +73,16 @@ def text_sinks(lines: DataFrame) -> DataFrame:  # F2; lines: file, lang, line, t
     return lines.withColumn("r", out).filter("r is not null").select("file", "line", "r.*")
 
 
-def sources(lines: DataFrame, env: bool = True) -> DataFrame:  # F3, F28
-    """file, line, source of inputs; a line can give several kinds. Tests are not inputs."""
-    cells = [F.when(_applies(langs) & F.col("text").rlike(p), F.lit(k)) for k, langs, p in R.SOURCES if env or k != "env"]
-    found = lines.filter(~X.is_test_path(F.col("file"))).withColumn("source", F.explode(F.array_distinct(F.array_compact(F.array(*cells)))))
-    return found.select("file", "line", "source")
+def source_hits(lines: DataFrame, env: bool = True) -> DataFrame:  # F3, F28
+    """file, line, source, match, ord: what each rule sees on a line. Tests are not inputs."""
+    cells = [F.when(_applies(langs) & F.col("text").rlike(p), F.struct(F.lit(k).alias("source"), F.regexp_extract("text", p, 0).alias("match"), F.lit(n).alias("ord"))) for n, (k, langs, p) in enumerate(R.SOURCES) if env or k != "env"]
+    found = lines.filter(~X.is_test_path(F.col("file"))).withColumn("hit", F.explode(F.array_compact(F.array(*cells))))
+    return found.select("file", "line", "hit.*")
+
+
+def sources(lines: DataFrame, env: bool = True) -> DataFrame:  # F3
+    """file, line, source of inputs; a line can give several kinds."""
+    return source_hits(lines, env).select("file", "line", "source").distinct()
 
 
 def route_entries(lines: DataFrame, claimed: DataFrame) -> DataFrame:  # F4
@@ -89,15 +95,28 @@ def route_entries(lines: DataFrame, claimed: DataFrame) -> DataFrame:  # F4
 
 
 def sanitizers(text: Column, kind: Column) -> Column:  # F5
-    """Notes of what the line does to make a value safe for ``kind``."""
-    return F.array_compact(F.array(*[F.when(((kind == k) | F.lit(k == "*")) & text.rlike(p), F.lit(note)) for k, p, note in R.SANITIZERS]))
+    """Notes of what the line does to make a value safe for ``kind``, in the order of the rules."""
+    return F.array_compact(F.array(*[F.when(((kind == k) | F.lit(k == "*")) & text.rlike(p), F.lit(note)) for k, p, note, _ in R.SANITIZERS]))
+
+
+def sanitizers_in_use(lines: DataFrame) -> DataFrame:  # F5 without a sink
+    """file, line, kind, note of the rules that mean something anywhere, not on a sink's line alone."""
+    cells = [F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(note).alias("note"))) for k, p, note, own_line in R.SANITIZERS if not own_line]
+    return lines.withColumn("hit", F.explode(F.array_compact(F.array(*cells)))).select("file", "line", "hit.*")
 
 
 def sanitizers_on_paths(paths: DataFrame, lines: DataFrame, before: int = 3) -> DataFrame:  # G9, J23
-    """id and notes over each path's steps and the lines just above the sink. paths: id, kind, hops."""
-    steps = paths.select("id", "kind", F.explode("hops").alias("h")).select("id", "kind", "h.file", "h.line")
-    near = P.lines_around(steps, lines, before)
-    return near.withColumn("note", F.explode(sanitizers(F.col("text"), F.col("kind")))).groupBy("id").agg(F.array_sort(F.collect_set("note")).alias("sanitizers"))
+    """id and ``sanitizers`` (file, line, note) in order of place, over each path's steps and the lines just above its sink.
+
+    paths: id, kind, hops with the sink first, source_file, source_line.
+    """
+    at = lambda file, line: F.struct(file.alias("file"), line.cast("int").alias("line"))
+    sink = F.element_at("hops", 1)
+    above = F.transform(F.sequence(F.lit(1), F.lit(before)), lambda k: at(sink["file"], sink["line"] - k))
+    steps = F.concat(F.transform("hops", lambda h: at(h["file"], h["line"])), F.array(at(F.col("source_file"), F.col("source_line"))), above)
+    each = paths.select("id", "kind", F.explode(F.array_distinct(steps)).alias("h")).select("id", "kind", "h.*")
+    noted = each.join(lines.select("file", "line", "text"), ["file", "line"]).withColumn("note", F.explode(sanitizers(F.col("text"), F.col("kind"))))
+    return noted.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("file", "line", "note"))).alias("sanitizers"))
 
 
 def guard_matrix(scan: DataFrame, lines: DataFrame, handlers: DataFrame) -> DataFrame:  # J5, J7, A18
@@ -198,98 +217,87 @@ def sensitive_logs(scan: DataFrame, lines: DataFrame, most: int = 40) -> tuple[D
     return found.orderBy(X.severity_rank(F.col("severity")), "id").limit(most), max(0, total - most)
 
 
-def taint_candidates(scan: DataFrame, lines: DataFrame, depth: int = 6, most: int = 1000, env: bool = True) -> tuple[DataFrame, DataFrame, int]:  # G1, J2-J4, J6, T1
-    """Taint findings from sinks back over callers to inputs, the sinks, and how many findings the cap cut.
+#: Where an input stands relative to the frame that it closes, strongest first, and what a message says of it. Fixed values.
+SCOPES = {"symbol": "", "module": " at file scope", "file": " in another function of this file: co-location only"}
+
+
+def taint_evidence(scan: DataFrame, lines: DataFrame, files: DataFrame | None = None, depth: int = 6, env: bool = True, strict_scope: bool = False) -> tuple[DataFrame, DataFrame]:  # G1, G6-G9, J2-J4, J6, T1
+    """Taint findings from sinks back over callers to inputs with ``rank``, what is known of each path, and the sinks.
 
     A hop leads from an exported symbol to its call sites in other files of the same language; a name that several
-    files define needs the calling file to import the defining one or to have no imports that are known.
+    files define needs the calling file to import or call the defining one, or to have no imports that are known. Each
+    input is told by scope and by whether the value that it binds is mentioned where the path goes on, and both rank:
+    severity, scope, unlinked values last, short paths, paths over files, id. ``strict_scope`` leaves out inputs of
+    other functions. files: file, content; without them texts are put together from ``lines``.
     """
     parts = exploded(scan)
     tagged = lines.join(parts["files"], "file")
     found = cut(union_all(call_sinks(scan).select("file", "line", "callee", "kind", "cwe", "severity"), text_sinks(tagged).withColumn("callee", F.lit("assignment")).drop("assigned")), "sinks")
-    inputs = sources(tagged, env)
-    inputs = cut(inputs.unionByName(route_entries(tagged, inputs)), "inputs")
+    inputs = source_hits(tagged, env)
+    inputs = cut(union_all(inputs, route_entries(tagged, inputs)), "inputs")
     symbols = parts["symbols"].select("file", "name", "line", "end")
-    place = P.innermost(found.select("file", "line").distinct(), symbols, "file", "line", "line", "end", "name", "symbol")
-    sinks = found.join(place, ["file", "line"]).withColumn("sink_id", X.short_hash(F.concat_ws(":", "file", "line", "kind", "callee")))
+    inside = lambda rows: P.innermost(rows.distinct(), symbols, "file", "line", "line", "end", "name", "symbol")
+    sinks = found.join(inside(found.select("file", "line")), ["file", "line"]).withColumn("sink_id", X.short_hash(F.concat_ws(":", "file", "line", "kind", "callee")))
     defined = parts["symbols"].filter("exported").groupBy("name").agg(F.count_distinct("file").alias("n_files"))
-    sites = P.innermost(parts["calls"].select("file", "line", "callee").distinct(), symbols, "file", "line", "line", "end", "name", "symbol")
-    langs, imports = parts["files"].withColumnRenamed("lang", "to_lang"), G.import_edges(parts["imports"], parts["files"]).select(F.col("from").alias("i_file"), F.col("to").alias("i_to")).distinct()
+    sites = inside(parts["calls"].select("file", "line", "callee"))
+    langs = parts["files"].withColumnRenamed("lang", "to_lang")
+    edges = G.import_edges(parts["imports"], parts["files"]).unionByName(G.call_edges(parts["calls"].drop("lang"), parts["symbols"], parts["files"]))
+    edges = edges.select(F.col("from").alias("i_file"), F.col("to").alias("i_to")).distinct()
     unknown = scan.filter(F.size("imports") == 0).select(F.col("file").alias("u_file"))
     exported = parts["symbols"].filter("exported").select(F.col("file").alias("from_file"), F.col("name").alias("callee"), F.col("lang").alias("from_lang")).distinct()
     hops = sites.join(defined, F.col("callee") == F.col("name")).drop("name").join(exported, "callee").join(langs, "file").filter("file <> from_file and from_lang = to_lang")
-    linked = hops.join(imports, (F.col("file") == F.col("i_file")) & (F.col("from_file") == F.col("i_to")), "left").join(unknown, F.col("file") == F.col("u_file"), "left")
+    linked = hops.join(edges, (F.col("file") == F.col("i_file")) & (F.col("from_file") == F.col("i_to")), "left").join(unknown, F.col("file") == F.col("u_file"), "left")
     hops = cut(linked.filter("n_files = 1 or i_file is not null or u_file is not null").select("callee", "from_file", "file", "symbol", "line").distinct(), "hops")
     callers = hops.select(F.concat_ws("#", "from_file", "callee").alias("callee"), "file", F.when(F.col("symbol").isNotNull(), F.concat_ws("#", "file", "symbol")).alias("symbol"), "line")
     keyed = sinks.select("sink_id", "file", F.when(F.col("symbol").isNotNull(), F.concat_ws("#", "file", "symbol")).alias("symbol"), "line")
     paths = cut(G.taint_paths(keyed, callers, inputs, depth), "paths")
-    rows = paths.join(sinks.select("sink_id", "file", "line", "callee", "kind", "cwe", "severity").dropDuplicates(["sink_id"]), "sink_id")
-    key = F.concat_ws(":", "source_file", "source_line", "file", "line", "kind")
-    rows = rows.select(X.short_hash(key).alias("id"), F.concat(F.lit("Tainted "), "kind").alias("title"), F.lit("taint").alias("category"), F.lit("engine").alias("tool"), "severity", F.lit("medium").alias("confidence"), "file", "line", "kind", "cwe", F.concat_ws(" ", "source", F.lit("input at"), F.concat_ws(":", "source_file", "source_line"), F.lit("reaches"), "callee", F.lit("at"), F.concat_ws(":", "file", "line")).alias("message"), F.size("hops").alias("steps"), "hops", "source_file")
-    rows = rows.dropDuplicates(["id"])
-    total = rows.count()
-    ranked = rows.orderBy(X.severity_rank(F.col("severity")), "steps", F.when(F.col("source_file") != F.col("file"), 0).otherwise(1), "id").limit(most)
-    return conform(ranked), found, max(0, total - most)
-
-
-# --- sequential text analysis by file ---------------------------------------------------------------------------
-
-
-def unit_map(files: DataFrame) -> DataFrame:  # G6
-    """file, line, unit: the outermost brace block or indented definition that each line belongs to; NULL if unbalanced."""
-
-    def units(content: str, lang: str | None) -> list[int | None]:
-        lines, out, depth, unit = content.splitlines(), [], 0, 0
-        if lang in ("python", "ruby"):
-            for n, text in enumerate(lines, 1):
-                if text.strip() and not text[0].isspace():
-                    unit = n if re.match(r"(async\s+def|def|class)\b", text) else 0
-                out.append(unit)
-            return out
-        for n, text in enumerate(lines, 1):
-            bare = re.sub(r"//.*|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"", "", text)
-            if depth == 0:
-                unit = n if "{" in bare else 0
-            out.append(unit)
-            depth += bare.count("{") - bare.count("}")
-        return out if depth == 0 else [None] * len(lines)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(f, n, u) for f, lang, c in zip(b["file"], b["lang"], b["content"], strict=True) for n, u in enumerate(units(c or "", lang), 1)]
-            out = pd.DataFrame(rows, columns=["file", "line", "unit"])
-            yield out.assign(unit=out["unit"].astype("Int64"))
-
-    return files.select("file", "lang", "content").mapInPandas(work, "file string, line int, unit int")
-
-
-ASSIGN = re.compile(r"(?<![=!<>+\-*/%&|^])=(?![=>])|:=")
-NAME = re.compile(r"[A-Za-z_$][\w$]*")
+    key = F.concat_ws(":", "source_file", "source_line", "file", "line", "kind")
+    rows = paths.join(sinks.select("sink_id", "file", "line", "callee", "kind", "cwe", "severity").dropDuplicates(["sink_id"]), "sink_id").withColumn("id", X.short_hash(key))
+    rows = rows.groupBy("id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "id"]), F.struct("depth", "ord", "callee", "sink_id")).alias("r")).select("id", "r.*")
+    last = F.element_at("hops", -1)
+    rows = cut(rows.withColumns({"entry_line": last["line"].cast("int"), "entry_symbol": last["symbol"], "match": F.coalesce("match", F.lit(""))}), "tainted")
+    texts = files if files is not None else lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    asked = rows.select(F.col("source_file").alias("file"), F.col("source_line").cast("int"), "match", "entry_line", "entry_symbol").distinct()
+    named = inside(asked.select("file", F.col("source_line").alias("line"))).select("file", F.col("line").alias("source_line"), F.when(F.col("symbol").isNotNull(), F.concat_ws("#", "file", "symbol")).alias("source_symbol"))
+    known = D.answers(texts.select("file", "content").join(parts["files"], "file"), asked.join(named, ["file", "source_line"]))
+    known = known.select(F.col("file").alias("source_file"), "source_line", "match", "entry_line", "scope", "dataflow", "tainted")
+    rows = rows.join(known, ["source_file", "source_line", "match", "entry_line"], "left").withColumn("scope", F.coalesce("scope", F.lit("module")))
+    if strict_scope:
+        rows = rows.filter("scope <> 'file'")
+    rows = rows.join(sanitizers_on_paths(rows, lines), "id", "left")
+    files_of = F.array_distinct(F.array_append(F.transform("hops", lambda h: h["file"]), F.col("source_file")))
+    said = F.array_join(F.transform("sanitizers", lambda x: F.concat(x["file"], F.lit(":"), x["line"], F.lit(" ("), x["note"], F.lit(")"))), "; ")
+    where = F.element_at(F.create_map(*[F.lit(x) for item in SCOPES.items() for x in item]), F.col("scope"))
+    message = F.concat(
+        F.concat_ws(" ", "source", F.lit("input at"), F.concat_ws(":", "source_file", "source_line")), where, F.lit(" reaches "), "callee", F.lit(" at "), F.concat_ws(":", "file", "line"),
+        F.when(F.col("sanitizers").isNotNull(), F.concat(F.lit("; possible sanitizer: "), said)).otherwise(F.lit("")), F.when(F.col("dataflow") == "unlinked", F.lit("; the value bound there is not mentioned where the path goes on")).otherwise(F.lit("")),
+    )
+    rows = rows.withColumns({"steps": F.size("hops") + 1, "cross_file": F.size(files_of) > 1, "message": message, "scope_rank": F.array_position(F.array(*[F.lit(x) for x in SCOPES]), F.col("scope"))})
+    out = rows.withColumns({"title": F.concat(F.lit("Tainted "), "kind"), "category": F.lit("taint"), "tool": F.lit("engine"), "confidence": F.lit("low")})
+    return out, found
+
+
+def taint_order() -> list[Column]:  # T1
+    return [X.severity_rank(F.col("severity")), F.col("scope_rank"), F.coalesce((F.col("dataflow") == "unlinked").cast("int"), F.lit(0)), F.col("steps"), F.col("cross_file").desc(), F.col("id")]
+
+
+def taint_candidates(scan: DataFrame, lines: DataFrame, depth: int = 6, most: int = 1000, env: bool = True, files: DataFrame | None = None, strict_scope: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """The first ``most`` taint findings by rank, the sinks, and how many findings the cap cut."""
+    rows, found = taint_evidence(scan, lines, files, depth, env, strict_scope)
+    rows = cut(rows, "evidence")
+    return conform(rows.orderBy(*taint_order()).limit(most)), found, max(0, rows.count() - most)
 
 
 def def_use(rows: DataFrame) -> DataFrame:  # G8, X17
-    """id and verdict of value traces: rows have id, content, source_line, sink_line.
-
-    Names bound where the input is read are followed through assignments to the sink's line: 'linked' if it mentions
-    one, 'unlinked' if not, NULL if nothing was bound.
-    """
+    """id and verdict of value traces given with their text: rows have id, content, source_line, sink_line."""
 
-    def trace(content: str, start: int, stop: int) -> str | None:
-        lines = content.splitlines()
-        if not (1 <= start <= len(lines) and 1 <= stop <= len(lines)):
-            return None
-        names: set[str] = set()
-        for n in range(start, stop + 1):
-            text = lines[n - 1]
-            m = ASSIGN.search(text)
-            if m and (n == start or names & set(NAME.findall(text[m.end() :]))):
-                names |= {x for x in NAME.findall(text[: m.start()]) if x not in ("const", "let", "var", "final", "auto", "mut")}
-        if start == stop:
-            return "linked"
-        return None if not names else "linked" if names & set(NAME.findall(lines[stop - 1])) else "unlinked"
+    def trace(content: str | None, start: int, stop: int) -> str | None:
+        lines = D.split_lines(content)
+        return D.trace_all(lines, [(start, "", stop)])[0][0] if 1 <= min(start, stop) and max(start, stop) <= len(lines) else None
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "verdict": [trace(c or "", a, z) for c, a, z in zip(b["content"], b["source_line"], b["sink_line"], strict=True)]})
+            yield pd.DataFrame({"id": b["id"], "verdict": [trace(c, a, z) for c, a, z in zip(b["content"], b["source_line"], b["sink_line"], strict=True)]})
 
     return rows.select("id", "content", "source_line", "sink_line").mapInPandas(work, "id string, verdict string")

@@ -121,31 +121,36 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:  # G4
 def taint_paths(sinks: DataFrame, callers_of: DataFrame, sources: DataFrame, depth: int = 6, gate: Column | None = None) -> DataFrame:  # G1
     """For each sink, the paths back over callers to the nearest source above each frame's entry line.
 
-    sinks: sink_id, file, symbol, line; callers_of: callee, file, symbol, line; sources: file, line, source. A frame is
-    visited once per sink, under its file and symbol; the first arrival wins, by parent, caller file and line. ``gate``
-    is a condition on a hop's columns (from_file, file, callee). Emits sink_id, source, source_file, source_line, hops.
+    sinks: sink_id, file, symbol, line; callers_of: callee, file, symbol, line; sources: file, line, source, and match and
+    ord if they are known: of the sources on one line the least ord counts. A frame is visited once per sink, under its
+    file and symbol, at module level under its file and line; the first arrival wins, in the order of the parents, then
+    of caller file and line. ``gate`` is a condition on a hop's columns (from_file, file, callee). Emits sink_id, source,
+    source_file, source_line, match, depth, ord, and hops (file, line, symbol) from the sink to the frame that the source stands in.
     """
-    frames = cut(sinks.select("sink_id", "file", "symbol", "line", F.array(F.struct("file", "line")).alias("hops"), F.lit(0).alias("ord")), "frames")
-    seen = frames.select("sink_id", "file", "symbol").distinct()
+    frame = F.coalesce(F.col("symbol"), F.concat(F.lit("@"), F.col("line")))
+    hop = lambda prefix="": F.struct(F.col(f"{prefix}file").alias("file"), F.col(f"{prefix}line").alias("line"), F.col(f"{prefix}symbol").alias("symbol"))
+    frames = cut(sinks.select("sink_id", "file", "symbol", "line", F.array(hop()).alias("hops"), F.lit(0).alias("ord"), frame.alias("frame")), "frames")
+    seen = frames.select("sink_id", "file", "frame").distinct()
+    known = {c: F.col(c) if c in sources.columns else F.lit(None) for c in ("match", "ord")}
+    given = sources.select("file", "line", F.col("line").alias("sl"), "source", known["match"].cast("string").alias("match"), (-known["ord"].cast("int")).alias("first"))
+    c = callers_of.select("callee", F.col("file").alias("to_file"), F.col("symbol").alias("to_symbol"), F.col("line").alias("to_line"))
     found = None
     for d in range(depth + 1):
-        s = sources.select("file", "line", F.col("line").alias("sl"), "source")
-        hit = as_of(frames.select("sink_id", "file", "symbol", "line", "hops"), s, "file", "line", ["source", "sl"]).filter("sl is not null")
-        hit = hit.select("sink_id", "source", F.col("file").alias("source_file"), F.col("sl").alias("source_line"), F.lit(d).alias("depth"), "hops")
+        hit = as_of(frames.select("sink_id", "file", "line", "hops", "ord"), given, "file", "line", ["source", "sl", "match"], tie="first").filter("sl is not null")
+        hit = hit.select("sink_id", "source", F.col("file").alias("source_file"), F.col("sl").alias("source_line"), "match", F.lit(d).alias("depth"), "ord", "hops")
         found = hit if found is None else found.unionByName(hit)
         if d == depth:
             break
-        c = callers_of.select("callee", F.col("file").alias("to_file"), F.col("symbol").alias("to_symbol"), F.col("line").alias("to_line"))
-        step = frames.join(c, F.col("symbol") == F.col("callee")).withColumn("from_file", F.col("file"))
+        step = frames.drop("frame").join(c, F.col("symbol") == F.col("callee")).withColumn("from_file", F.col("file"))
         if gate is not None:
             step = step.filter(gate)
-        order = Window.partitionBy("sink_id", "to_file", "to_symbol").orderBy("ord", "to_file", "to_line")
-        step = step.withColumn("k", F.row_number().over(order)).filter("k = 1")
-        step = step.select("sink_id", F.col("to_file").alias("file"), F.col("to_symbol").alias("symbol"), F.col("to_line").alias("line"), F.array_append("hops", F.struct(F.col("to_file").alias("file"), F.col("to_line").alias("line"))).alias("hops"))
-        step = step.join(seen, ["sink_id", "file", "symbol"], "left_anti")
-        step = step.withColumn("ord", F.row_number().over(Window.partitionBy("sink_id").orderBy("file", "line")))
+        step = step.select("sink_id", F.col("ord").alias("parent"), F.array_append("hops", hop("to_")).alias("hops"), F.col("to_file").alias("file"), F.col("to_symbol").alias("symbol"), F.col("to_line").alias("line")).withColumn("frame", frame)
+        order = F.struct("parent", "file", "line")
+        first = step.groupBy("sink_id", "file", "frame").agg(F.min_by(F.struct("symbol", "line", "hops", "parent"), order).alias("x"))
+        step = first.join(seen, ["sink_id", "file", "frame"], "left_anti").select("sink_id", "file", "frame", "x.*")
+        step = step.withColumn("ord", F.row_number().over(Window.partitionBy("sink_id").orderBy("parent", "file", "line"))).drop("parent")
         frames = cut(step, "frames")
         if frames.isEmpty():
             break
-        seen = cut(seen.unionByName(frames.select("sink_id", "file", "symbol")), "seen")
+        seen = cut(seen.unionByName(frames.select("sink_id", "file", "frame")), "seen")
     return found

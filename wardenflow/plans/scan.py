@@ -30,7 +30,7 @@ def scan_tree(files: DataFrame, tools: DataFrame | None = None, epss: DataFrame
     files = cut(files, "files")
     scan = cut(S.scan_files(files), "scan")
     lines = cut(S.source_lines(files), "lines")
-    taint, sinks, truncated = C.taint_candidates(scan, lines, depth, most)
+    taint, sinks, truncated = C.taint_candidates(scan, lines, depth, most, files=files)
     taint = cut(taint, "taint")
     parts = [taint, C.audit_web(lines), C.audit_auth(lines), C.audit_cloud(lines), C.audit_ci(lines), C.credential_uris(lines)]
     if orphans:
