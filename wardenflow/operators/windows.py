@@ -2,7 +2,8 @@
 
 Windows are partitioned by an actor, a file or a family. Where one actor may hold a large share of all rows, the
 sliding counts come in a bucketed form: rows are dealt by actor and time bucket, and each bucket borrows the window's
-length from the one before, so one hot actor is spread over many tasks.
+length from the one before, so one hot actor is spread over many tasks. Rotation, look-back, next bounds and running
+distinct counts number the rows of a group over range partitions first, so they too spread one hot group.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardenflow.operators.scans import dealt, numbered_within, running_sum, segments
+
 
 def sliding_count(df: DataFrame, actor: str, at: str, reach: int, out: str = "n_in_window") -> DataFrame:  # W1, W2
     """Rows of the same actor whose ``at`` lies in [at - reach, at], and the oldest of them.
@@ -67,7 +70,7 @@ def overflow(df: DataFrame, group: list[str], most: int) -> DataFrame:  # W7
 
 def round_robin(df: DataFrame, group: str, order: list, turn: str = "turn") -> DataFrame:  # W6
     """Each group's rows numbered in order; sorting by ``turn`` then visits groups breadth first."""
-    return df.withColumn(turn, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return numbered_within(df, [group], order, turn).withColumn(turn, F.col(turn).cast("int"))
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "position", buckets: int = 64) -> DataFrame:
@@ -108,17 +111,22 @@ def batches(df: DataFrame, order: list[str], size: int = 8, out: str = "batch")
 
 def look_back(df: DataFrame, group: str, order: str, marker: Column, most: int, out: str) -> DataFrame:  # W11
     """The nearest marker at most ``most`` rows back, the row itself included."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(-most, 0)
-    return df.withColumn(out, F.last(marker, ignorenulls=True).over(w))
+    rows, by = dealt(df.withColumn(out, marker), [group], [order], back=most)
+    w = Window.partitionBy(*by).orderBy("n__").rowsBetween(-most, 0)
+    return rows.withColumn(out, F.last(out, ignorenulls=True).over(w)).filter("not lent__").drop("n__", "block__", "lent__")
 
 
 def rows_before(df: DataFrame, group: str, order: str, value: str, most: int, out: str) -> DataFrame:  # W12
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(-most, -1)
-    return df.withColumn(out, F.collect_list(value).over(w))
+    """Up to ``most`` values that are not null of the ``most`` rows before."""
+    rows, by = dealt(df, [group], [order], back=most)
+    w = Window.partitionBy(*by).orderBy("n__").rowsBetween(-most, -1)
+    return rows.withColumn(out, F.collect_list(value).over(w)).filter("not lent__").drop("n__", "block__", "lent__")
 
 
 def next_bound(df: DataFrame, group: str, order: str, out: str) -> DataFrame:  # W13
-    return df.withColumn(out, F.lead(order).over(Window.partitionBy(group).orderBy(order)))
+    """``order`` of the group's next row."""
+    rows, by = dealt(df, [group], [order], ahead=1)
+    return rows.withColumn(out, F.lead(order).over(Window.partitionBy(*by).orderBy("n__"))).filter("not lent__").drop("n__", "block__", "lent__")
 
 
 def last_write_wins(df: DataFrame, key: str, order: str) -> DataFrame:  # W14
@@ -129,7 +137,15 @@ def last_write_wins(df: DataFrame, key: str, order: str) -> DataFrame:  # W14
 
 
 def running_distinct(df: DataFrame, group: str, value: str, order: list[str], out: str) -> DataFrame:  # W5
-    """How many different values the group has shown up to each row."""
-    fresh = F.row_number().over(Window.partitionBy(group, value).orderBy(*order)) == 1
-    upto = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("fresh__", fresh & F.col(value).isNotNull()).withColumn(out, F.sum(F.col("fresh__").cast("long")).over(upto)).drop("fresh__")
+    """How many different values the group has shown up to each row; rows are told apart by ``order``.
+
+    The first row of each value is an aggregate, so no value is sorted; their sum is carried over the group's segments.
+    """
+    at = F.struct(*order)
+    firsts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.min(at).alias("at__")).groupBy(group, "at__").agg(F.count(F.lit(1)).alias("fresh__"))
+    firsts = firsts.select(F.col(group).alias("group__"), *[F.col(f"at__.{c}").alias(f"o{n}__") for n, c in enumerate(order)], "fresh__")
+    on = F.col(group).eqNullSafe(F.col("group__"))
+    for n, c in enumerate(order):
+        on = on & F.col(c).eqNullSafe(F.col(f"o{n}__"))
+    marked = df.join(firsts, on, "left").select(*df.columns, "fresh__")
+    return running_sum(segments(marked, [group], order), [group], order, F.coalesce("fresh__", F.lit(0)), out).drop("fresh__", "part__", "tie__n__")

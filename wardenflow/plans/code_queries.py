@@ -22,8 +22,8 @@ def written(rows: DataFrame, key: str, variants: dict[int, dict[str, str]], of:
 
 FLOWS = {
     0: {"src/h#.js": "const pool = require('pg');\napp.get('/a', (req, res) => {\n  const id = req.query.id;\n  const q = 'select ' + id;\n  pool.query(q);\n});\n"},
-    1: {"src/h#.js": "const pool = require('pg');\napp.get('/a', (req, res) => {\n  const id = req.query.id;\n  const other = load();\n  pool.query(other);\n});\n"},
-    2: {"src/h#.js": "const pool = require('pg');\napp.get('/a', (req, res) => {\n  const id = req.query.id;\n});\nfunction run() {\n  const id = load();\n  pool.query(id);\n}\n"},
+    1: {"src/h#.js": "const pool = require('pg');\napp.get('/a', (req, res) => {\n  const id = req.query.id;\n  const other = fresh();\n  pool.query(other);\n});\n"},
+    2: {"src/h#.js": "const pool = require('pg');\napp.get('/a', (req, res) => {\n  const id = req.query.id;\n});\nfunction run() {\n  const id = fresh();\n  pool.query(id);\n}\n"},
     3: {"src/h#.js": "const pool = require('pg');\nconst id = process.env.TARGET;\nfunction run() {\n  pool.query(id);\n}\n"},
     4: {
         "lib/l#.js": "const pool = require('pg');\nexport function find#(id) {\n  return pool.query(id);\n}\n",
@@ -38,7 +38,7 @@ FLOWS = {
 @query(
     "ranked_taint_paths",
     """
-    with v as (select o_orderkey as k, o_orderkey % 8 as v from orders where o_orderkey % 8 <> 7),
+    with v as (select c_custkey as k, c_custkey % 8 as v from customer where c_custkey % 8 <> 7),
     p as (select k, v, case v when 4 then 'lib/l' when 6 then 'src/p' else 'src/h' end || k || '.js' as file, [5, 5, 7, 4, 3, 4, 2][v + 1] as line, case v when 6 then 'domxss' else 'sql' end as kind,
         case v when 6 then 'src/p' else 'src/h' end || k || '.js' as source_file, [3, 3, 3, 2, 3, 3, 1][v + 1] as source_line, ['http', 'http', 'http', 'env', 'cli', 'http', 'dom'][v + 1] as source,
         case when v in (0, 1, 5) then 'symbol' when v = 2 then 'file' else 'module' end as scope, case v when 1 then 'unlinked' else 'linked' end as dataflow, case v when 0 then 'id,q' when 6 then 'h' else 'id' end as tainted,
@@ -49,7 +49,7 @@ FLOWS = {
     """,
 )
 def ranked_taint_paths(t: Tables):  # G1, G6-G9, X17, T1, J2-J4, J6, F1-F3, F5, F28, S2
-    files = cut(written(t.orders, "o_orderkey", FLOWS, 8), "written")
+    files = cut(written(t.customer, "c_custkey", FLOWS, 8), "written")
     rows, _ = C.taint_evidence(cut(S.scan_files(files), "scan"), S.source_lines(files), files)
     sorts = {f"o{n}": c for n, c in enumerate(C.taint_order())}
     rows = rows.withColumns({n: c for n, c in sorts.items() if n != "o4"}).withColumn("o4", ~F.col("cross_file"))

@@ -36,7 +36,7 @@ def read_tree(spark: SparkSession, root: str, excludes: list[str] | None = None,
 
 def glob_pattern(glob: str) -> str:  # F20
     """A glob with **, *, ?, and {a,b} as a regular expression over a relative path; without a slash it matches a name."""
-    anchored = "/" in glob.strip("/")
+    anchored = "/" in glob.rstrip("/")
     body, depth = "", 0
     for token in re.findall(r"\*\*/|\*\*|\*|\?|\{|\}|,|.", glob.strip("/")):
         depth += (token == "{") - (token == "}")
