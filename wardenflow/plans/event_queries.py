@@ -189,6 +189,35 @@ def innermost_interval(t: Tables):  # J4
     return P.innermost(points, spans, "user_id", "at", "a", "z", "o_orderkey")
 
 
+HOT = "case when event_id % 10 = 0 then cast(user_id as varchar) else 'hot' end"
+
+
+@query(
+    "hot_key_asof",
+    f"""
+    with e as (select *, {HOT} as k from events), b as (select * from e where event_type = 'purchase'), v as (select * from e where event_type = 'view')
+    select b.event_id, v.event_id as view_id from b asof left join v on v.k = b.k and v.event_id <= b.event_id
+    """,
+)
+def hot_key_asof(t: Tables):  # J6: nine rows in ten belong to one key
+    e = t.events.withColumn("k", F.expr(HOT.replace("varchar", "string")))
+    buys, views = e.filter("event_type = 'purchase'").select("event_id", "k"), e.filter("event_type = 'view'")
+    return P.as_of(buys, views.select("k", "event_id", F.col("event_id").alias("view_id")), "k", "event_id", ["view_id"]).select("event_id", "view_id")
+
+
+@query(
+    "hot_key_innermost",
+    f"""
+    with e as (select event_id, {HOT} as k, event_type from events), s as (select k, event_id as a, event_id + case when event_id % 100 = 1 then 2000 else event_id % 30 end as z, event_id as n from e where event_type = 'click')
+    select e.event_id, max(s.n) as enclosing from e left join s on s.k = e.k and e.event_id between s.a and s.z group by e.event_id
+    """,
+)
+def hot_key_innermost(t: Tables):  # J4: points and overlapping spans of one key by the ten thousand
+    e = t.events.withColumn("k", F.expr(HOT.replace("varchar", "string")))
+    spans = e.filter("event_type = 'click'").select("k", F.col("event_id").alias("a"), F.expr("event_id + if(event_id % 100 = 1, 2000, event_id % 30)").alias("z"), F.col("event_id").alias("n"))
+    return P.innermost(e.select("event_id", "k"), spans, "k", "event_id", "a", "z", "n").select("event_id", "enclosing")
+
+
 @query(
     "range_join",
     """
@@ -235,6 +264,58 @@ def stateful_log_stream(t: Tables):
     return t.spark.read.schema(ALERT).parquet(f"{folder}/out")
 
 
+DELIVERED_SQL = """
+    with x as (select event_id, user_id, event_type, epoch_us(ts) as us from events), n as (select count(*) as n, min(event_id) as first from x),
+    b as (select x.*, (event_id - first) * 6 // n as turn from x, n),
+    d as (select event_id, user_id, event_type, case when turn >= 4 and event_id % 50 = 0 then 5 when event_id % 40 = 7 and turn > 0 then turn + 1 else turn end as batch, case when turn >= 4 and event_id % 50 = 0 then us - 20 * 86400000000 else us end as us from b),
+    m as (select batch, max(us) // 1000 * 1000 - 86400000000 as mark from d group by batch),
+    l as (select d.*, us // 1000 as ms, exists (select 1 from m where m.batch < d.batch - 1 and d.us <= m.mark) as late from d)
+"""
+
+
+@query(
+    "stream_in_time_order",
+    DELIVERED_SQL
+    + """,
+    k as (select * from l where not late and ms // 3600000 < (select max(ms) - 86400000 from l) // 3600000),
+    e as (select cast(user_id as varchar) as ip, ms, event_id as idx, event_type from k),
+    r as (select *, 'request-burst' as kind, 7 as least from e union all select *, 'scan-behavior', 3 from e where event_type = 'click' union all select *, 'brute-force', 3 from e where event_type = 'error'),
+    c as (select *, row_number() over (partition by ip, kind order by ms, idx) - count(*) over (partition by ip, kind order by ms range between unbounded preceding and 86400001 preceding) as n, min(ms) over (partition by ip, kind order by ms range between 86400000 preceding and current row) as oldest from r),
+    f as (select ip, kind, ms, idx, oldest, least, row_number() over (partition by ip, kind order by ms, idx) as k from c where n >= least), t as (select * from f where k = 1),
+    a as (select t.ip, 'recon-hit' as kind, min(e.ms) as ms from t join e on e.ip = t.ip and (e.ms, e.idx) > (t.ms, t.idx) where t.kind = 'scan-behavior' and e.event_type = 'view' group by 1
+          union all select t.ip, 'credential-compromise', min(e.ms) from t join e on e.ip = t.ip and (e.ms, e.idx) > (t.ms, t.idx) where t.kind = 'brute-force' and e.event_type = 'purchase' group by 1),
+    o as (select ip, kind, ms, oldest, cast(least as bigint) as n from t union all select ip, kind, ms, ms, 1 from a)
+    select o.*, (select count(*) from l where late) as late from o
+    """,
+)
+def stream_in_time_order(t: Tables):  # 2.11: six micro-batches, some rows a batch late, some weeks late
+    import uuid
+
+    from wardenflow.storage import shared_dir
+    from wardenflow.streaming import behaviour as B
+
+    n, first = t.events.agg(F.count(F.lit(1)), F.min("event_id")).first()
+    turn = F.floor((F.col("event_id") - first) * 6 / F.lit(max(n, 1))).cast("int")
+    stray = (turn >= 4) & (F.col("event_id") % 50 == 0)
+    turn_ = F.when(stray, 5).when((F.col("event_id") % 40 == 7) & (turn > 0), turn + 1).otherwise(turn)
+    at = F.when(stray, F.col("ts").cast("timestamp") - F.expr("interval 20 days")).otherwise(F.col("ts").cast("timestamp"))
+    kind = F.col("event_type")
+    rows = t.events.select(F.col("user_id").cast("string").alias("ip"), at.alias("at"), F.col("event_id").alias("idx"), (kind == "error").alias("failed"), (kind == "purchase").alias("success"), (kind == "click").alias("error"), (kind == "view").alias("hit"), turn_.alias("turn"))
+    folder = f"{shared_dir(t.spark)}/delivered-{uuid.uuid4().hex}"
+    for k in range(7):  # a file for each micro-batch, in the order of their writing
+        rows.filter(F.col("turn") == k).drop("turn").coalesce(1).write.parquet(f"{folder}/{k}")
+    kept = {k: t.spark.conf.get(k, None) for k in B.STORE}
+    for k, v in B.STORE.items():
+        t.spark.conf.set(k, v)
+    try:
+        stream = t.spark.readStream.schema(rows.drop("turn").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+        run = B.run_to_end(B.alerts_in_time(stream, delay="1 day", window_s=86_400, failures=3, errors=3, requests=6, bucket_s=3600))
+    finally:
+        for k, v in kept.items():
+            t.spark.conf.unset(k) if v is None else t.spark.conf.set(k, v)
+    return t.spark.read.schema(B.ALERT).parquet(f"{run.folder}/out").withColumn("late", F.lit(run.late).cast("long"))
+
+
 @query("time_parsing", "select event_id, epoch_us(ts) // 1000 as ms, epoch_us(date_trunc('second', ts)) // 1000 as access_ms from events")
 def time_parsing(t: Tables):  # X9: ISO times and those of access logs
     at = F.col("ts").cast("timestamp")
