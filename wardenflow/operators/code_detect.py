@@ -153,11 +153,16 @@ def _audit_findings(hits: DataFrame) -> DataFrame:
 
 
 def audit_web(lines: DataFrame) -> DataFrame:  # F8
-    """Line shapes, a wildcard origin that a file pairs with credentials, and cookies set without SameSite."""
+    """Line shapes, a wildcard origin that a file pairs with credentials, and cookies set without SameSite in their call's arguments, on up to 20 lines."""
     base = audit(lines, A.WEB)
     creds = lines.filter(F.col("text").rlike(r"(?i)Access-Control-Allow-Credentials['\"]?\s*[,:=]\s*['\"]?true|\bcredentials\s*:\s*true|supports_credentials\s*=\s*True")).select("file").distinct()
     both = base.filter("kind = 'cors-wildcard'").join(creds, "file", "left_semi").select("file", "line", F.col("message").alias("text"), F.lit("cors-wildcard-credentials").alias("shape"), F.lit("CWE-942").alias("cwe"), F.lit("high").alias("severity"))
-    setting = lines.filter(F.col("file").rlike(A.CODE) & F.col("text").rlike(r"\b(?:res|response|reply)\.(?:cookie|set_cookie|setCookie)\s*\([^;]*\)") & ~F.col("text").rlike(r"(?i)same_?site"))
+    call = r"\b(?:res|response|reply)\.(?:cookie|set_cookie|setCookie)\s*\("
+    calls = lines.filter(F.col("file").rlike(A.CODE) & F.col("text").rlike(call)).select("file", "line", "text")
+    below = P.lines_around(calls.select("file", "line"), lines.select("file", "line", F.col("text").alias("part")), 0, after=20)
+    whole = below.groupBy("file", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("near_line", "part"))), lambda x: x["part"]), "\n").alias("from_here"))
+    arguments = X.balanced_arguments(F.regexp_extract("from_here", f"(?s){call}.*$", 0))
+    setting = calls.join(whole, ["file", "line"]).filter(~F.coalesce(arguments, F.col("text")).rlike(r"(?i)same_?site"))
     bare = setting.select("file", "line", "text", F.lit("cookie-samesite").alias("shape"), F.lit("CWE-1275").alias("cwe"), F.lit("low").alias("severity"))
     plain = base.join(both.select("file", "line", F.lit("cors-wildcard").alias("kind")), ["file", "line", "kind"], "left_anti").select(*base.columns)
     return union_all(plain, _audit_findings(both), _audit_findings(bare))

@@ -9,7 +9,7 @@ from wardenflow.functions import scalar as X
 from wardenflow.functions import vocabulary as V
 from wardenflow.operators.graph import components
 from wardenflow.operators.positional import small
-from wardenflow.operators.windows import running_total
+from wardenflow.operators.windows import capped, running_total
 
 #: A finding as a relation; absent values are NULL.
 FINDING = (
@@ -46,8 +46,16 @@ def union_all(*parts: DataFrame) -> DataFrame:  # U1
     return out
 
 
+def one_of_each(findings: DataFrame) -> DataFrame:
+    """One row for each id: the most severe, then the first by place, tool and message, so that runs agree."""
+    order = F.struct(X.severity_rank(F.col("severity")), "file", "line", "tool", "message")
+    best = findings.groupBy("id").agg(F.min_by(F.struct(*findings.columns), order).alias("r"))
+    return best.select("r.*")
+
+
 def _sorted_union(column: str) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column))))
+    """The different values of an array column, in order; arrays that are alike are gathered once."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(column))))
 
 
 def merge_clusters(df: DataFrame, cluster: str) -> DataFrame:  # A1
@@ -217,8 +225,9 @@ def root_causes(findings: DataFrame) -> DataFrame:  # A17
 def variants(findings: DataFrame, most: int = 25) -> DataFrame:  # J16
     """For each confirmed finding the others alike: by title and kind, by file, or by class; at most ``most`` each.
 
-    Before they are joined, the findings of each value of an axis are cut to the first ``most`` and as many more as
-    stand at one place there, since a seed's own place does not count.
+    Before they are joined, the findings of each value of an axis are cut to ``most`` at each place and then to twice as
+    many in all: a seed leaves out its own place, which holds no more than ``most`` of those. Both bounds are literal, so
+    that Spark trims each partition before it shuffles.
     """
     seeds = findings.filter("status = 'confirmed'").select(*[F.col(c).alias(f"seed_{c}") for c in ("id", "title", "kind", "file", "line", "cwe")])
     parts = []
@@ -228,9 +237,8 @@ def variants(findings: DataFrame, most: int = 25) -> DataFrame:  # J16
             term = F.col(f"seed_{c}") == F.col(c)
             condition = term if condition is None else condition & term
         here = findings.select("id", "file", "line", *[c for c in on if c != "file"]).filter(" and ".join(f"{c} is not null" for c in on))
-        crowd = here.groupBy(*on, *[c for c in ("file", "line") if c not in on]).agg(F.count(F.lit(1)).alias("here__")).groupBy(*on).agg(F.max("here__").alias("here__"))
-        first = here.withColumn("turn__", F.row_number().over(Window.partitionBy(*on).orderBy("file", "line", "id")))
-        first = first.join(crowd, on).filter(F.col("turn__") <= F.col("here__") + most).drop("turn__", "here__")
+        first = capped(here, [*on, *[c for c in ("file", "line") if c not in on]], ["id"], most)
+        first = capped(first, on, ["file", "line", "id"], 2 * most)
         parts.append(seeds.join(first, condition).withColumns({"axis": F.lit(axis), "axis_order": F.lit(n)}))
     pairs = union_all(*parts).filter("id <> seed_id and not (file <=> seed_file and line <=> seed_line)")
     first = pairs.groupBy("seed_id", "id", "file", "line").agg(F.min_by("axis", "axis_order").alias("axis"), F.min("axis_order").alias("axis_order"))

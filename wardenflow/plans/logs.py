@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from wardenflow.operators import log_analysis as L
-from wardenflow.operators.findings import union_all
+from wardenflow.operators.findings import one_of_each, union_all
 from wardenflow.operators.windows import numbered
 from wardenflow.sources import logs as S
 from wardenflow.storage import cut
@@ -27,9 +27,8 @@ def analyze_logs(lines: DataFrame, budget: str = "standard", window_s: int = L.W
     """Findings and statistics of ``file, line, text``; files in order of path, ``budget`` lines of the run at most."""
     formats = cut(S.detect_formats(lines), "formats")
     run = numbered(lines, ["file", "line"], "idx").filter(f"idx <= {S.BUDGETS[budget]}")
-    parsed = S.parse(run.select("file", "line", "text"), formats).join(run.select("file", "line", "idx"), ["file", "line"])
-    events = cut(parsed, "events")
+    events = cut(S.parse(run.select("file", "line", "text", "idx"), formats), "events")
     signatures, family_overflow = L.signature_hits(events, redacted)
     leaked, leak_overflow = L.leaks(events, redacted)
     found = union_all(signatures, L.scanner_agents(events, redacted), leaked, L.behaviour(events, window_s))
-    return LogReport(events, found.dropDuplicates(["id"]), family_overflow, leak_overflow, L.statistics(events), formats)
+    return LogReport(events, one_of_each(found), family_overflow, leak_overflow, L.statistics(events), formats)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from wardenflow.functions import scalar as X
 from wardenflow.operators import code_detect as C
 from wardenflow.operators import findings as N
+from wardenflow.operators import workflows as W
 from wardenflow.operators.findings import union_all
+from wardenflow.sources import ignore as I
 from wardenflow.sources import repo as S
 from wardenflow.storage import cut
 
@@ -24,22 +28,34 @@ class ScanReport:
     truncated: int
 
 
-def scan_tree(files: DataFrame, tools: DataFrame | None = None, epss: DataFrame | None = None, kev: DataFrame | None = None, lock: DataFrame | None = None, budget: str = "standard", orphans: bool = False, log_hygiene: bool = False, include_tests: bool = False) -> ScanReport:
-    """Findings of ``file, content`` and of scanners (``tools``), correlated, de-noised, enriched and in canonical order."""
+def scan_tree(files: DataFrame, tools: DataFrame | None = None, epss: DataFrame | None = None, kev: DataFrame | None = None, lock: DataFrame | None = None, budget: str = "standard", orphans: bool = False, log_hygiene: bool = False, include_tests: bool = False, gitignore: bool = False, strict_scope: bool = False, context: str | None = None) -> ScanReport:
+    """Findings of ``file, content`` and of scanners (``tools``), correlated, de-noised, enriched and in canonical order.
+
+    Findings of scanners in folders that the scan never reads are left out, and with ``gitignore`` what the tree's own
+    ignore files leave out is neither read nor taken from scanners. ``context``: text of the project's context document,
+    whose exposure and criticality weigh in the risk.
+    """
     depth, most = BUDGETS[budget]
+    if gitignore:
+        rules = cut(I.ignore_rules(files), "ignore")
+        files = I.not_ignored(files, rules)
     files = cut(files, "files")
+    if tools is not None:
+        tools = N.prune_paths(tools, F.col("file").rlike(S.IGNORED))[0]
+        if gitignore:
+            tools = tools.join(I.ignored(tools.select("file").filter("file is not null"), rules), "file", "left_anti").select(*tools.columns)
     scan = cut(S.scan_files(files), "scan")
     lines = cut(S.source_lines(files), "lines")
-    taint, sinks, truncated = C.taint_candidates(scan, lines, depth, most, files=files)
+    taint, sinks, truncated = C.taint_candidates(scan, lines, depth, most, files=files, strict_scope=strict_scope)
     taint = cut(taint, "taint")
-    parts = [taint, C.audit_web(lines), C.audit_auth(lines), C.audit_cloud(lines), C.audit_ci(lines), C.credential_uris(lines)]
+    parts = [taint, C.audit_web(lines), C.audit_auth(lines), C.audit_cloud(lines), W.audit_workflows(lines), C.credential_uris(lines)]
     if orphans:
         parts.append(C.orphan_sinks(sinks, taint))
     if log_hygiene:
         found, left = C.sensitive_logs(scan, lines)
         parts.append(found)
         truncated += left
-    pool = union_all(*parts, *([tools] if tools is not None else [])).dropDuplicates(["id"])
+    pool = N.one_of_each(union_all(*parts, *([tools] if tools is not None else [])))
     merged = cut(N.correlate(pool), "merged")
     clean = N.demote(merged, lines, files, include_tests)
     if lock is not None:
@@ -47,4 +63,5 @@ def scan_tree(files: DataFrame, tools: DataFrame | None = None, epss: DataFrame
     spark = files.sparkSession
     epss = epss if epss is not None else spark.createDataFrame([], "cve string, epss double")
     kev = kev if kev is not None else spark.createDataFrame([], "cve string")
-    return ScanReport(N.ranked(N.enrich(clean, epss, kev)), scan, sinks, truncated)
+    facts = spark.range(1).select(X.deployment_facts(F.lit(context)).alias("f")).first().f if context else None
+    return ScanReport(N.ranked(N.enrich(clean, epss, kev, *(facts or (None, None)))), scan, sinks, truncated)

@@ -26,7 +26,10 @@ def region_worklist(surface: DataFrame, edges: DataFrame, leads: DataFrame, file
     order = Window.partitionBy("region").orderBy(F.col("n").desc(), "b")
     near = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= near_each).groupBy("region").agg(F.array_sort(F.collect_list("b")).alias("neighbours"))
     places = leads.select(F.regexp_replace("at", ":\\d+$", "").alias("p"), "claim")
-    hit = surface.select("region", "file").join(P.small(places), F.col("file").startswith(F.col("p"))).groupBy("region").agg(F.array_sort(F.collect_set("claim")).alias("leads"))
+    # a file is looked up by its own beginnings, of the lengths that leads have: no more than a path has characters
+    lengths = [r[0] for r in places.select(F.char_length("p").alias("n")).filter("n > 0").distinct().collect()]
+    starts = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length("file")), lambda n: F.substring(F.col("file"), F.lit(1), n))
+    hit = surface.select("region", "file", F.explode(starts).alias("p")).join(places, "p").groupBy("region").agg(F.array_sort(F.collect_set("claim")).alias("leads"))
     return files.join(near, "region", "left").join(hit, "region", "left").orderBy("region")
 
 
@@ -58,9 +61,3 @@ def remediation(findings: DataFrame) -> DataFrame:  # L8, A17
     confirmed = findings.filter("status = 'confirmed'")
     worst = confirmed.groupBy("category", F.coalesce("cwe", F.lit("")).alias("cwe")).agg(F.min(X.severity_rank(F.col("severity"))).alias("rank"), F.array_sort(F.collect_set("file")).alias("files"))
     return causes.join(worst, ["category", "cwe"]).orderBy("rank", F.col("members").desc(), "category", "cwe").withColumn("severity", X.severity_of_rank(F.col("rank"))).drop("rank")
-
-
-def source_scope(path_unit, source_unit, source_symbol, entry_symbol):  # G7
-    """symbol if the input stands in the same unit or symbol as the use, module if outside any, file otherwise."""
-    same = F.coalesce(path_unit == source_unit, source_symbol == entry_symbol, F.lit(False))
-    return F.when(same, "symbol").when(F.coalesce(source_unit == 0, source_symbol.isNull()), "module").otherwise("file")

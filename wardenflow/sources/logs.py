@@ -135,6 +135,7 @@ def parse_line(fmt: Column, text: Column) -> Column:  # S11
 
 
 def parse(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """``file, line, text`` and the parts of each event under its file's format."""
+    """``file, line, text``, ``idx`` if the lines have one, and the parts of each event under its file's format."""
     joined = lines.join(formats, "file")
-    return joined.withColumn("e", parse_line(F.col("format"), F.col("text"))).select("file", "line", "text", "format", "e.*")
+    kept = [c for c in ("file", "line", "text", "idx") if c in lines.columns]
+    return joined.withColumn("e", parse_line(F.col("format"), F.col("text"))).select(*kept, "format", "e.*")
