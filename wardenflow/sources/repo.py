@@ -1,4 +1,4 @@
-"""Source trees (S1-S4, S27): files, lines, and what a regex extractor sees in them."""
+"""Source trees (S1-S4): files, lines, and what a regex extractor sees in them."""
 
 from __future__ import annotations
 
@@ -84,7 +84,8 @@ def extract(file: str, lang: str | None, content: str) -> dict:
                 exported = exported or (lang == "javascript" and re.search(rf"\bexports\b[^\n]*\b{re.escape(m[2])}\b", content) is not None)
                 symbols.append({"name": m[2], "kind": kind, "line": n, "end": _end(lines, n, lang, len(m[1])), "exported": bool(exported)})
                 break
-        imports += [m[1] for p in IMPORTS for m in p.finditer(text)]
+        # the first three forms are JavaScript's own; the others would read its import of a name as one of a module
+        imports += [m[1] for p in (IMPORTS[:3] if lang == "javascript" else IMPORTS) for m in p.finditer(text)]
         defined = {s["name"] for s in symbols if s["line"] == n}
         calls += [{"callee": m[2], "receiver": m[1], "line": n} for m in CALL.finditer(text) if m[2] not in KEYWORDS and not (m[2] in defined and not m[1])]
     return {"file": file, "lang": lang, "symbols": symbols, "imports": sorted(set(imports)), "calls": calls}
