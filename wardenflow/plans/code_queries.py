@@ -13,6 +13,7 @@ from wardenflow.plans.registry import Tables, query
 from wardenflow.plans.worklists import region_worklist
 from wardenflow.sources import ignore as I
 from wardenflow.sources import repo as S
+from wardenflow.sources import reports as P
 from wardenflow.storage import cut
 
 
@@ -296,3 +297,60 @@ def region_worklists(t: Tables):  # L5, W7, J19: leads by the beginnings of path
     leads = t.customer.filter(c % 10 == 0).select(F.concat(F.lit("r"), c % 9, F.lit("/f"), c % 100, F.lit(":7")).alias("at"), F.concat(F.lit("c"), c).alias("claim"))
     none = t.spark.createDataFrame([], "from string, to string")
     return region_worklist(surface, none, leads).select("region", F.array_join("files", ",").alias("files"), F.coalesce(F.array_join("leads", ","), F.lit("")).alias("leads"))
+
+
+# --- scanner reports, one for each row -----------------------------------------------------------------------------------
+
+REPORTS = {
+    0: {"r/trivy/#.json": '{"Results":[{"Target":"a#.lock","Vulnerabilities":[{"VulnerabilityID":"CVE-2024-#","PkgName":"p#","InstalledVersion":"1","Severity":"HIGH","Title":"t","CweIDs":["CWE-79"]}],"Secrets":[{"RuleID":"key","Title":"k","Severity":"CRITICAL","StartLine":4}]}]}'},
+    1: {"r/osv-scanner/#.json": '{"results":[{"source":{"path":"o#.lock"},"packages":[{"package":{"name":"p#","version":"2"},"vulnerabilities":[{"id":"GHSA-#","aliases":["CVE-2024-#"],"summary":"s"}],"groups":[{"ids":["GHSA-#"],"max_severity":"9.8"}]}]}]}'},
+    2: {"r/grype/#.json": '{"matches":[{"vulnerability":{"id":"CVE-2024-#","severity":"Unknown","description":"d","cvss":[{"metrics":{"baseScore":5.0}}]},"relatedVulnerabilities":[{"id":"GHSA-x"}],"artifact":{"name":"p#","version":"3","locations":[{"path":"g#.jar"}]}}]}'},
+    3: {"r/npm-audit/#.json": '{"vulnerabilities":{"p#":{"name":"p#","severity":"high","via":[{"source":#,"name":"p#","title":"t","url":"https://github.com/advisories/GHSA-#","severity":"critical","cwe":["CWE-20"],"range":"<2"},"other"]}}}'},
+    4: {"r/pip-audit/#.json": '{"dependencies":[{"name":"p#","version":"4","vulns":[{"id":"PYSEC-#","aliases":["CVE-2024-#"],"description":"d"}]},{"name":"q","version":"1","vulns":[]}]}'},
+    5: {"r/cargo-audit/#.json": '{"vulnerabilities":{"list":[{"advisory":{"id":"RUSTSEC-#","title":"t","cvss":"CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H","aliases":[]},"package":{"name":"p#","version":"5"}}]},"warnings":{"unmaintained":[{"kind":"unmaintained","advisory":{"id":"RUSTSEC-W#","title":"w"},"package":{"name":"w#","version":"1"}}]}}'},
+    6: {"r/govulncheck/#.json": '{"osv":{"id":"GO-#","summary":"s","aliases":["CVE-2024-#"]}}\n{"finding":{"osv":"GO-#","trace":[{"module":"m#","version":"v1","function":"F"},{"position":{"filename":"m#.go","line":7}}]}}'},
+    7: {"r/package-checker/#.txt": "p#@1.0\n@s/p#@2.0\nnot a package\n"},
+    8: {"r/semgrep/#.json": '{"results":[{"check_id":"c","path":"s#.py","start":{"line":3},"extra":{"severity":"ERROR","message":"m","metadata":{"cwe":["CWE-78: os"]}}}]}'},
+    9: {"r/bandit/#.json": '{"results":[{"test_id":"B1","test_name":"n","issue_severity":"LOW","issue_confidence":"HIGH","issue_text":"x","filename":"b#.py","line_number":9,"issue_cwe":{"id":78}}]}'},
+    10: {"r/gosec/#.json": '{"Issues":[{"severity":"MEDIUM","confidence":"LOW","cwe":{"id":"327"},"rule_id":"G4","details":"d","file":"g#.go","line":"12-14"}]}'},
+    11: {"r/cppcheck/#.txt": "c#.c\t5\terror\tnullPointer\tNull\nnoise\n"},
+    12: {"r/checkov/#.json": '[{"results":{"failed_checks":[{"check_id":"CKV_1","check_name":"n","file_path":"/k#.tf","file_line_range":[2,4],"severity":"HIGH"}]}}]'},
+    13: {"r/hadolint/#.json": '[{"file":"d#/Dockerfile","line":1,"level":"style","code":"DL1","message":"m"}]'},
+    14: {"r/gitleaks/#.json": '[{"RuleID":"aws","Description":"d","File":"l#.env","StartLine":2,"Commit":""}]'},
+    15: {"r/trufflehog/#.jsonl": '{"DetectorName":"AWS","Verified":true,"SourceMetadata":{"Data":{"Filesystem":{"file":"t#.env","line":2}}}}\n{"level":"info"}\n'},
+    16: {"r/sarif/#.sarif": '{"runs":[{"tool":{"driver":{"rules":[{"id":"r1","shortDescription":{"text":"t"},"properties":{"security-severity":"8.1","tags":["external/cwe/cwe-089"]}}]}},"results":[{"ruleId":"r1","level":"note","message":{"text":"m"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"f#.js"},"region":{"startLine":8}}}]}]}]}'},
+    17: {"r/agent-export/#.json": '[{"slug":"sql-injection","title":"t","severity":"High","confidence":"Medium","file":"e#.js","line":6,"reasoning":"why"},{"slug":"x","title":"no place"}]'},
+    18: {"r/trivy/b#.json": '{"Results": [{"Target": '},
+    19: {"r/bandit/e#.json": "  \n"},
+    20: {"r/own-tool.#.json": "{}"},
+    21: {"guarddog.#.json": '{"package":"p#","results":{"exec-base64":"found","empty":"{}"}}'},
+}
+N = len(REPORTS)
+
+
+@query(
+    "report_findings",
+    _cases(
+        (N,), (0, "'trivy' as tool, 'dep' as category, 'high' as severity, 'a' || k || '.lock' as file, 1 as line, 'p' || k as pkg, '1' as version, 'CWE-79' as cwe, case when length(k) >= 4 then 'CVE-2024-' || k end as cve"), (0, "'trivy', 'secret', 'critical', 'a' || k || '.lock', 4, null, null, null, null"),
+        (1, "'osv-scanner', 'dep', 'critical', 'o' || k || '.lock', 1, 'p' || k, '2', null, case when length(k) >= 4 then 'CVE-2024-' || k end"), (2, "'grype', 'dep', 'medium', 'g' || k || '.jar', 1, 'p' || k, '3', null, case when length(k) >= 4 then 'CVE-2024-' || k end"),
+        (3, "'npm-audit', 'dep', 'critical', null, null, 'p' || k, '<2', 'CWE-20', null"), (4, "'pip-audit', 'dep', 'medium', null, null, 'p' || k, '4', null, case when length(k) >= 4 then 'CVE-2024-' || k end"),
+        (5, "'cargo-audit', 'dep', 'critical', null, null, 'p' || k, '5', null, null"), (5, "'cargo-audit', 'dep', 'low', null, null, 'w' || k, '1', null, null"), (6, "'govulncheck', 'dep', 'high', 'm' || k || '.go', 7, 'm' || k, 'v1', null, case when length(k) >= 4 then 'CVE-2024-' || k end"),
+        (7, "'package-checker', 'dep', 'critical', null, null, 'p' || k, '1.0', 'CWE-506', null"), (7, "'package-checker', 'dep', 'critical', null, null, '@s/p' || k, '2.0', 'CWE-506', null"), (8, "'semgrep', 'sast', 'high', 's' || k || '.py', 3, null, null, 'CWE-78', null"),
+        (9, "'bandit', 'sast', 'low', 'b' || k || '.py', 9, null, null, 'CWE-78', null"), (10, "'gosec', 'sast', 'medium', 'g' || k || '.go', 12, null, null, 'CWE-327', null"), (11, "'cppcheck', 'sast', 'high', 'c' || k || '.c', 5, null, null, 'CWE-476', null"),
+        (12, "'checkov', 'config', 'high', 'k' || k || '.tf', 2, null, null, null, null"), (13, "'hadolint', 'config', 'info', 'd' || k || '/Dockerfile', 1, null, null, null, null"), (14, "'gitleaks', 'secret', 'high', 'l' || k || '.env', 2, null, null, null, null"),
+        (15, "'trufflehog', 'secret', 'critical', 't' || k || '.env', 3, null, null, null, null"), (16, "'sarif', 'sast', 'high', 'f' || k || '.js', 8, null, null, 'CWE-089', null"), (17, "'import', 'sast', 'high', 'e' || k || '.js', 6, null, null, null, null"),
+        (21, "'guarddog', 'dep', 'high', null, null, 'p' || k, null, 'CWE-506', null"),
+    ),
+)
+def report_findings(t: Tables):  # S14-S18, J20: reports of all kinds, some broken, some empty
+    found, _ = P.report_findings(_reports(t))
+    return found.select("tool", "category", "severity", "file", "line", "pkg", "version", "cwe", "cve")
+
+
+def _reports(t: Tables) -> DataFrame:
+    return cut(P.with_tool(_files(t, REPORTS).withColumnRenamed("file", "report")), "reports")
+
+
+@query("report_status", f"select case p_partkey % {N} when 18 then 'broken' when 19 then 'empty' when 20 then 'unknown' else 'read' end as status, count(*) as n, count(distinct case when p_partkey % {N} in (0, 18) then 'trivy' when p_partkey % {N} in (9, 19) then 'bandit' else cast(p_partkey % {N} as varchar) end) as tools from part group by 1")
+def report_status(t: Tables):  # S14, A16
+    return P.status(_reports(t)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tool").alias("tools"))
