@@ -14,6 +14,7 @@ from wardenflow.plans.worklists import region_worklist
 from wardenflow.sources import ignore as I
 from wardenflow.sources import repo as S
 from wardenflow.sources import reports as P
+from wardenflow.sources.frameworks import frameworks
 from wardenflow.storage import cut
 
 
@@ -354,3 +355,21 @@ def _reports(t: Tables) -> DataFrame:
 @query("report_status", f"select case p_partkey % {N} when 18 then 'broken' when 19 then 'empty' when 20 then 'unknown' else 'read' end as status, count(*) as n, count(distinct case when p_partkey % {N} in (0, 18) then 'trivy' when p_partkey % {N} in (9, 19) then 'bandit' else cast(p_partkey % {N} as varchar) end) as tools from part group by 1")
 def report_status(t: Tables):  # S14, A16
     return P.status(_reports(t)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tool").alias("tools"))
+
+
+MANIFESTS = {
+    0: {"a/#/package.json": '{"dependencies":{"express":"4","left-pad":"1"},"devDependencies":{"jsonwebtoken":"9"},"peerDependencies":{"react":"*","express":"5"}}'},
+    1: {"a/#/package.json": '{"dependencies": '},
+    2: {"a/#/requirements.txt": "Flask==2\nmyflask\nsqlalchemy-utils\n", "a/#/notes.txt": "django"},
+    3: {"a/#/Cargo.toml": "[dependencies]\n  axum = 1\n# rocket = 2\nnotwarp = 1\n"},
+    4: {"a/#/go.mod": "require github.com/gorilla/mux v1\nrequire gorm.io/gorm v2\n", "a/#/pom.xml": "<groupId>org.SpringFramework</groupId>"},
+    5: {"a/b/c/#/Gemfile": "gem 'rails'\n"},
+}
+
+
+@query(
+    "frameworks_found",
+    _cases((6,), *[(v, f"'a/' || k || '/{f}' as file, '{x}' as framework") for v, f, x in ((0, "package.json", "express"), (0, "package.json", "jwt"), (0, "package.json", "react"), (2, "requirements.txt", "flask"), (2, "requirements.txt", "sqlalchemy"), (3, "Cargo.toml", "axum"), (4, "go.mod", "gorilla/mux"), (4, "go.mod", "gorm"), (4, "pom.xml", "spring"))]),
+)
+def frameworks_found(t: Tables):  # S27: by keys and by texts; folders too deep and broken files name none
+    return frameworks(_files(t, MANIFESTS))

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardenflow.operators.findings import conform, one_of_each, union_all
-from wardenflow.sources.tools import ADAPTERS, sarif, upstream_export
+from wardenflow.sources.tools import ADAPTERS, agent_export, sarif
 
 #: All formats by name: the scanners' own, and the two that any tool may write.
-FORMATS = ADAPTERS | {"sarif": sarif, "agent-export": upstream_export}
+FORMATS = ADAPTERS | {"sarif": sarif, "agent-export": agent_export}
 #: Formats that are no single JSON document.
 LINES = ("yarn-audit", "package-checker", "cppcheck", "trufflehog", "govulncheck")
 

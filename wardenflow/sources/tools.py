@@ -267,13 +267,37 @@ def sarif(df: DataFrame, tool: str = "sarif", category: str = "sast") -> DataFra
 ADAPTERS["kingfisher"] = lambda df: sarif(df, "kingfisher", "secret")
 
 
-def upstream_export(df: DataFrame) -> DataFrame:  # S18
-    """Findings of an agent's export; rows without a location are left out, slugs become categories."""
+def upstream_export(df: DataFrame, category: Callable[[Column], Column] = X.normalize_category) -> DataFrame:  # S18
+    """Findings of an agent's export; rows without a location are left out, slugs become categories by ``category``."""
     r = df.select(F.explode(F.from_json("content", "array<struct<slug string, title string, severity string, confidence string, file string, line int, reasoning string>>")).alias("r")).select("r.*").filter("file is not null")
     out = found(r, "import", "other", ident=F.col("slug"), title=F.col("title"), severity=X.normalize_severity(F.col("severity")), confidence=F.lower("confidence"), message=F.coalesce("reasoning", "title"), file=F.col("file"), line=F.col("line"))
-    slugs = r.select(X.finding_id(F.lit("import"), F.col("slug"), F.col("file"), F.coalesce("line", F.lit(1))).alias("s_id"), X.normalize_category(F.col("slug")).alias("s_category")).distinct()
+    slugs = r.select(X.finding_id(F.lit("import"), F.col("slug"), F.col("file"), F.coalesce("line", F.lit(1))).alias("s_id"), category(F.col("slug")).alias("s_category")).distinct()
     return out.join(slugs, F.col("id") == F.col("s_id"), "left").withColumn("category", F.coalesce("s_category", "category")).drop("s_id", "s_category")
 
 
+# Words of a slug and the category that they stand for, in order.
+SLUG_CATEGORIES = (
+    ("sast", r"ssrf"),
+    ("authz", r"auth|idor|access[-_]?control|privilege|authz"),
+    ("crypto", r"crypto|hash|cipher|weak[-_]?(?:rng|random)|tls|ssl"),
+    ("secret", r"secret|hardcoded|credential|api[-_]?key|token|password"),
+    ("config", r"dockerfile|terraform|gh[-_]?actions|github[-_]?actions|iac|misconfig|config"),
+    ("dep", r"dependency|outdated|vuln[-_]?dep|cve|\bsca\b"),
+)
+
+
+def slug_category(slug: Column) -> Column:
+    """Category of an export's slug; never taint, which is for paths that the scan itself has found."""
+    out = F.lit("sast")
+    for category, words in reversed(SLUG_CATEGORIES):
+        out = F.when(F.lower(slug).rlike(words), category).otherwise(out)
+    return out
+
+
+def agent_export(df: DataFrame) -> DataFrame:  # S18
+    """:func:`upstream_export` with the categories that slugs stand for; only the scan's own paths are taint."""
+    return upstream_export(df, slug_category)
+
+
 def findings_of(tool: str, df: DataFrame) -> DataFrame:  # S17
     return ADAPTERS[tool](df)
