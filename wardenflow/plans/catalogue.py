@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardenflow.plans import code_queries, event_queries, finding_queries, graph_queries, operator_queries, text_queries  # noqa: F401
+from wardenflow.plans import code_queries, event_queries, finding_queries, graph_queries, operator_queries, output_queries, text_queries  # noqa: F401
 from wardenflow.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
