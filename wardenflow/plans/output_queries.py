@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardenflow.operators import findings as N
 from wardenflow.plans import run_outputs as O
 from wardenflow.plans.registry import Tables, query
+from wardenflow.sources import history as H
+from wardenflow.storage import cut
 
 
 @query(
@@ -66,3 +69,22 @@ def cover_of_scopes(t: Tables):  # L10
     below = F.when(k % 5 == 0, F.lit("/")).when(k % 5 < 3, F.concat(F.lit("/d"), k % 11)).otherwise(F.concat(F.lit("/d"), k % 11, F.lit("/e"), k % 7))
     rows = t.orders.filter((F.col("o_custkey") % 97 != 5) | (k % 5 != 0)).select(F.concat(F.lit("r"), F.col("o_custkey") % 97, below).alias("scope"))
     return O.cover(rows)
+
+
+@query(
+    "followed_places",
+    """
+    with h as (select l_orderkey as k, l_linenumber as s, cast(sum(l_quantity) as int) as d from lineitem group by 1, 2), g as (select k, count(*) as commits, sum(d) as d, bool_or(s = 3) as has3 from h group by 1)
+    select 'f' || o_orderkey as file, cast(o_custkey % 50 + 1 as int) as line, cast(o_custkey % 50 + 1 + coalesce(d, 0) as int) as now_line, cast(coalesce(commits, 0) as int) as commits, 0 as touched, case when o_orderkey % 3 = 0 and has3 then 'g' else 'f' end || o_orderkey as now
+    from orders left join g on g.k = o_orderkey
+    """,
+)
+def followed_places(t: Tables):  # S20-S22, X27: lines put in at the top of each file by each commit, some files renamed by the third
+    k, s = F.col("l_orderkey"), F.col("l_linenumber")
+    name = lambda letter: F.concat(F.lit(letter), k)
+    hunks = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("new_n"))
+    moved, third = k % 3 == 0, F.max((s == 3).cast("int")).over(Window.partitionBy("l_orderkey")) == 1
+    hunks = hunks.withColumns({"old": F.when(moved & third & (s > 3), name("g")).otherwise(name("f")), "new": F.when(moved & third & (s >= 3), name("g")).otherwise(name("f"))})
+    history = hunks.select(s.cast("int").alias("seq"), s.cast("string").alias("commit"), s.cast("long").alias("at"), F.lit("a").alias("author"), "old", "new", F.lit(0).alias("old_start"), F.lit(0).alias("old_n"), F.lit(1).alias("new_start"), "new_n")
+    places = t.orders.select(F.concat(F.lit("f"), "o_orderkey").alias("file"), (F.col("o_custkey") % 50 + 1).cast("int").alias("line"))
+    return H.follow(cut(history, "history"), places).select("file", "line", "now_line", "commits", "touched", "now")
