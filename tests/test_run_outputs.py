@@ -65,3 +65,10 @@ def test_manifests(spark):
 def test_cover_of_scopes(spark):
     scopes = spark.createDataFrame([("src",), ("src/a",), ("src/a/b/",), ("srcs",), ("lib/x",), ("lib/x/y/z",), ("lib",), ("lib/x",)], "scope string")
     assert sorted(r.scope for r in O.cover(scopes).collect()) == ["lib", "src", "srcs"]
+
+
+def test_rules_of_hunts_once(spark):
+    from wardenflow.operators import fold as D
+
+    rows = [(1, "a", None, "rule one"), (2, "b", None, " rule one "), (3, "c", None, ""), (4, "d", None, "rule two"), (5, "e", None, None)]
+    assert [tuple(r) for r in D.regression_pack(spark.createDataFrame(rows, D.HUNT)).collect()] == [("a", "rule one"), ("d", "rule two")]

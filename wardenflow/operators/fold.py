@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardenflow.functions import scalar as X
 from wardenflow.functions import vocabulary as V
-from wardenflow.operators.findings import canonical_order, corroboration_key
+from wardenflow.operators.findings import canonical_order, conform, corroboration_key
 from wardenflow.operators.windows import last_write_wins
 
 
@@ -139,3 +139,46 @@ def gate(findings: DataFrame, files: DataFrame, min_severity: str = "low", stric
 def queue(findings: DataFrame, size: int = 8) -> DataFrame:  # W10, K3
     """The worklist in canonical order."""
     return verify_worklist(findings).orderBy(*canonical_order())
+
+
+HUNT = "pos long, seed_id string, variants array<struct<title: string, severity: string, category: string, file: string, line: int, cwe: string, message: string>>, regression_rule string"
+
+
+def variant_rows(results: DataFrame) -> tuple[DataFrame, DataFrame]:  # L6
+    """Variants that hunts found, as findings with ``seed_id`` and ``pos``, and what is dropped: pos, at, reason.
+
+    results: the columns of HUNT. A result needs the finding that it is a hunt for, a variant its title, file and a line.
+    """
+    no_seed = results.filter("coalesce(seed_id, '') = ''").select("pos", F.lit(None).cast("int").alias("at"), F.lit("no seed").alias("reason"))
+    each = results.filter("coalesce(seed_id, '') <> ''").select("pos", "seed_id", F.posexplode("variants").alias("at", "v")).select("pos", "seed_id", "at", "v.*")
+    reason = F.when(F.coalesce(F.trim("title"), F.lit("")) == "", "no title").when(F.coalesce("file", F.lit("")) == "", "no file").when(F.col("line").isNull() | (F.col("line") < 0), "no line")
+    told = each.withColumn("reason", reason)
+    dropped = no_seed.unionByName(told.filter("reason is not null").select("pos", "at", "reason"))
+    good = told.filter("reason is null").withColumns({"tool": F.lit("variants"), "category": F.coalesce(X.normalize_category(F.col("category")), F.lit("other")), "severity": X.normalize_severity(F.col("severity")), "message": F.coalesce("message", "title"), "place": F.col("pos") * 100_000 + F.col("at")})
+    found = conform(good.select("tool", "category", "severity", "message", "title", "file", "line", "cwe", F.col("title").alias("ident")))
+    keys = good.select(X.finding_id(F.col("tool"), F.col("title"), F.col("file"), F.col("line")).alias("k_id"), "seed_id", F.col("place").alias("pos"))
+    keys = keys.groupBy("k_id").agg(F.min_by("seed_id", "pos").alias("seed_id"), F.min("pos").alias("pos"))
+    return found.dropDuplicates(["id"]).join(keys, F.col("id") == F.col("k_id")).drop("k_id"), dropped
+
+
+def apply_variants(findings: DataFrame, results: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:  # L6, J14
+    """Findings with the variants added or folded into their equals, variants with bad citations, and dropped rows."""
+    rows, dropped = variant_rows(results)
+    out, rejected = ingest(findings, rows.drop("seed_id"), files)
+    return out.select(*findings.columns), rejected, dropped
+
+
+def regression_pack(results: DataFrame) -> DataFrame:  # K9
+    """seed_id and rule of each hunt that wrote one, a rule once, in the order of the hunts."""
+    rules = results.filter("coalesce(trim(regression_rule), '') <> ''").select("pos", "seed_id", F.trim("regression_rule").alias("rule"))
+    return rules.groupBy("rule").agg(F.min("pos").alias("pos"), F.min_by("seed_id", "pos").alias("seed_id")).orderBy("pos").select("seed_id", "rule")
+
+
+UNIT = "pos long, at string, assumptions array<struct<claim: string, enforced_at: string>>"
+NOTHING_FOUND = "nothing-found"
+
+
+def unenforced(units: DataFrame) -> DataFrame:  # L7
+    """at, claim, turn of assumptions that nothing enforces, in the order of the units; units without a place are left out."""
+    each = units.filter("coalesce(at, '') <> ''").select("pos", "at", F.posexplode("assumptions").alias("turn", "a"))
+    return each.filter(F.lower(F.trim("a.enforced_at")) == NOTHING_FOUND).select("pos", "turn", "at", "a.claim").orderBy("pos", "turn")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardenflow.operators import findings as N
+from wardenflow.operators import fold as D
 from wardenflow.plans import run_outputs as O
 from wardenflow.plans.registry import Tables, query
 from wardenflow.sources import history as H
@@ -88,3 +89,35 @@ def followed_places(t: Tables):  # S20-S22, X27: lines put in at the top of each
     history = hunks.select(s.cast("int").alias("seq"), s.cast("string").alias("commit"), s.cast("long").alias("at"), F.lit("a").alias("author"), "old", "new", F.lit(0).alias("old_start"), F.lit(0).alias("old_n"), F.lit(1).alias("new_start"), "new_n")
     places = t.orders.select(F.concat(F.lit("f"), "o_orderkey").alias("file"), (F.col("o_custkey") % 50 + 1).cast("int").alias("line"))
     return H.follow(cut(history, "history"), places).select("file", "line", "now_line", "commits", "touched", "now")
+
+
+@query(
+    "assumption_leads",
+    "with u as (select o_orderkey as pos, 'src/f' || o_custkey || '.js:' || (o_orderkey % 70) as \"at\", ['nothing-found', ' Nothing-Found ', 'src/x.js:4', null] as marks from orders where o_orderkey % 6 <> 0), e as (select pos, \"at\", unnest(range(1, 5)) as n, marks from u) select pos, cast(n - 1 as int) as turn, \"at\", 'claim ' || (pos % 10 + n) as claim from e where lower(trim(marks[(pos + n) % 4 + 1])) = 'nothing-found'",
+)
+def assumption_leads(t: Tables):  # L7
+    k = F.col("o_orderkey")
+    marks = F.array(F.lit("nothing-found"), F.lit(" Nothing-Found "), F.lit("src/x.js:4"), F.lit(None).cast("string"))
+    claims = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(F.concat(F.lit("claim "), k % 10 + n).alias("claim"), F.get(marks, ((k + n) % 4).cast("int")).alias("enforced_at")))
+    at = F.when(k % 6 != 0, F.concat(F.lit("src/f"), "o_custkey", F.lit(".js:"), k % 70)).otherwise(F.when(k % 12 == 0, F.lit("")))
+    return D.unenforced(t.orders.select(k.alias("pos"), at.alias("at"), claims.alias("assumptions"))).select("pos", "turn", "at", "claim")
+
+
+@query(
+    "variants_folded",
+    """
+    with p as (select p_partkey as k, 'f' || (p_partkey % 50) || '.js' as file from part),
+    d as (select k, case when k % 11 = 0 then 'no seed' when k % 7 = 0 then 'no title' when k % 5 = 0 then 'no line' end as reason, file from p)
+    select k, case when reason is not null then reason when k % 50 >= 40 then 'rejected' when k % 50 < 10 then 'folded' else 'added' end as outcome from d
+    """,
+)
+def variants_folded(t: Tables):  # L6, J14: each variant is dropped, rejected for its citation, folded into a known finding or added
+    k = F.col("p_partkey")
+    file = F.concat(F.lit("f"), k % 50, F.lit(".js"))
+    v = F.struct(F.when(k % 7 != 0, F.concat(F.lit("t"), k)).alias("title"), F.lit("high").alias("severity"), F.lit("sast").alias("category"), file.alias("file"), F.when(k % 5 != 0, k.cast("int")).alias("line"), F.lit("CWE-1").alias("cwe"), F.lit("m").alias("message"))
+    hunts = t.part.select(k.cast("long").alias("pos"), F.when(k % 11 != 0, F.concat(F.lit("seed"), k % 3)).alias("seed_id"), F.array(v).alias("variants"), F.lit(None).cast("string").alias("regression_rule"))
+    known = N.conform(t.part.filter(k % 50 < 10).select(F.concat(F.lit("old"), k).alias("id"), F.lit("scanner").alias("tool"), F.lit("sast").alias("category"), F.lit("x").alias("title"), F.lit("low").alias("severity"), F.lit("m").alias("message"), file.alias("file"), k.cast("int").alias("line"), F.lit("CWE-1").alias("cwe")))
+    files = t.part.filter(k % 50 < 40).select(file.alias("file")).distinct().withColumn("n_lines", F.lit(1 << 30))
+    out, rejected, dropped = D.apply_variants(known, cut(hunts, "hunts"), files)
+    told = out.filter(F.array_contains("sources", "variants")).select(F.col("line").cast("long").alias("k"), F.when(F.col("id").startswith("old"), "folded").otherwise("added").alias("outcome"))
+    return told.unionByName(rejected.select(F.col("line").cast("long").alias("k"), F.lit("rejected").alias("outcome"))).unionByName(dropped.select(F.col("pos").alias("k"), F.col("reason").alias("outcome")))
