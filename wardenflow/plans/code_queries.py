@@ -373,3 +373,21 @@ MANIFESTS = {
 )
 def frameworks_found(t: Tables):  # S27: by keys and by texts; folders too deep and broken files name none
     return frameworks(_files(t, MANIFESTS))
+
+
+@query("first_files_of_tree", "with f as (select 'd' || (p_partkey % 13) || '/f' || p_partkey as file from part) select file, true as truncated from (select *, row_number() over (order by file) as k from f) where k <= 120")
+def first_files_of_tree(t: Tables):  # S1: the walk's limit, in order of paths, and that it was reached
+    kept, more = I.first_files(t.part.select(F.concat(F.lit("d"), F.col("p_partkey") % 13, F.lit("/f"), "p_partkey").alias("file")), 120)
+    return kept.withColumn("truncated", F.lit(more))
+
+
+SAFE = {
+    0: {"c#.js": "const a = shlex.quote(x);\nconst b = path.resolve(y);\n"},
+    1: {"c#.js": "const q = 'a = ?';\nconst c = DOMPurify.sanitize(h);\n"},
+    2: {"c#.js": "const n = parseInt(s);\nconst t = plain(s);\n"},
+}
+
+
+@query("sanitizers_in_use", _cases((3,), (0, "'c' || k || '.js' as file, 1 as line, 'command' as kind"), (0, "'c' || k || '.js', 2, 'path'"), (1, "'c' || k || '.js', 2, 'xss'"), (1, "'c' || k || '.js', 2, 'domxss'"), (2, "'c' || k || '.js', 1, '*'")))
+def sanitizers_in_use(t: Tables):  # rules that only mean something on a sink's line say nothing here
+    return C.sanitizers_in_use(S.source_lines(_files(t, SAFE))).select("file", "line", "kind")

@@ -13,7 +13,9 @@ from wardenflow.operators import findings as N
 from wardenflow.operators import graph as G
 from wardenflow.operators import log_analysis as L
 from wardenflow.plans.imports import import_findings
+from wardenflow.plans.logs import analyze_logs
 from wardenflow.plans.registry import Tables, query
+from wardenflow.plans.run_outputs import log_findings, log_statistics
 from wardenflow.sources import logs as S
 
 # --- lines of logs, written from events ----------------------------------------------------------------------------
@@ -442,3 +444,32 @@ def context_facts(t: Tables):  # X7, X18, X25
     call = F.concat(F.lit("set(a, f("), "c_custkey", F.when(odd == 0, "), (b)) rest)").otherwise("), (b"))
     facts = X.deployment_facts(context)
     return t.customer.select("c_custkey", facts["exposure"].alias("exposure"), facts["criticality"].alias("criticality"), X.ruling_sections(doc).alias("sections"), X.balanced_arguments(call).alias("arguments"))
+
+
+RUN_SQL = f"""
+    l as (select event_id as i, {IP_SQL} as ip, {PATH_SQL} as path, {STATUS_SQL} as status, strftime(date_trunc('second', ts), '%d/%b/%Y:%H:%M:%S +0000') as stamp from events),
+    top_ip as (select ip, count(*) as n, min(i) as first from l group by 1 order by n desc, first limit 10), top_path as (select path, count(*) as n, min(i) as first from l group by 1 order by n desc, first limit 10)
+"""
+
+
+@query(
+    "log_run_statistics",
+    f"""
+    with {RUN_SQL}
+    select 'total' as statistic, '{{"lines":' || count(*) || ',"first_ts":"' || arg_min(stamp, i) || '","last_ts":"' || arg_max(stamp, i) || '","addresses":' || count(distinct ip) || '}}' as row from l union all select 'status', '{{"status":' || status || ',"count":' || count(*) || '}}' from l group by status
+    union all select 'top_ip', '{{"ip":"' || ip || '","n":' || n || '}}' from top_ip union all select 'top_path', '{{"path":"' || path || '","n":' || n || '}}' from top_path
+    union all select 'auth', '{{"failures":0}}' union all select 'auth_after_failure', '{{"n":0}}' union all select 'formats', '{{"file":"combined.log","format":"nginx-combined"}}'
+    """,
+)
+def log_run_statistics(t: Tables):  # K10, A4-A7, T10: the statistics that a log run writes
+    return log_statistics(analyze_logs(_lines(t, "combined"), budget="thorough"))
+
+
+@query(
+    "log_run_findings",
+    "with f as (select event_id, row_number() over (order by event_id) as k from events where event_id % 10 = 3) select substr(sha256('engine:xss-script-probe:probe.log:' || (event_id + 1) || ':probe.log:' || (event_id + 1)), 1, 12) as id, cast(event_id + 1 as int) as line, 'xss' as kind from f where k <= 50",
+)
+def log_run_findings(t: Tables):  # T5, F14, W7
+    e = _fields(t).withColumn("path", F.when(F.col("event_id") % 10 == 3, "/?q=<script>").otherwise(F.col("path")))
+    lines = e.select(F.lit("probe.log").alias("file"), (F.col("event_id") + 1).cast("int").alias("line"), _line(e, "common").alias("text"))
+    return log_findings(analyze_logs(lines, budget="thorough")).filter("kind = 'xss'").select("id", "line", "kind")
