@@ -71,6 +71,7 @@ DEFINITIONS = {
 DEFINITIONS |= dict.fromkeys(("java", "csharp", "kotlin", "scala", "swift", "c_cpp"), [(re.compile(r"^(\s*)(?:(?:public|private|protected|static|final|override|suspend|func|fun|def|virtual|async|inline|[\w<>\[\],.*&]+)\s+)+(\w+)\s*\([^;]*$"), "method")])
 IMPORTS = [re.compile(p) for p in (r"^\s*import\s+.*?from\s+['\"]([^'\"]+)['\"]", r"^\s*import\s+['\"]([^'\"]+)['\"]", r"\brequire(?:_relative)?\s*\(?\s*['\"]([^'\"]+)['\"]", r"^\s*from\s+([\w.]+)\s+import\b", r"^\s*import\s+([\w.]+)", r"^\s*use\s+([\w:\\]+)", r"^\s*#include\s+[<\"]([^>\"]+)", r"^\s*using\s+([\w.]+)\s*;", r"^\s*\w*\s*\"([\w./-]+)\"\s*$")]
 CALL = re.compile(r"(?:([A-Za-z_$][\w$]*)\s*(?:\.|->|::)\s*)?([A-Za-z_$][\w$]*)\s*\(")
+HIDDEN = re.compile(r"//.*|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"")
 KEYWORDS = frozenset("if for while switch catch return function def class new elif else try with match fn func and or not in await async typeof sizeof".split())
 
 
@@ -82,34 +83,54 @@ def extract(file: str, lang: str | None, content: str) -> dict:
             if (m := pattern.match(text)) and m[2] not in KEYWORDS:
                 exported = "export" in text or "pub " in text or (lang in ("python", "ruby", "php", "java", "kotlin", "csharp", "scala", "c_cpp", "swift") and not m[2].startswith("_") and "private" not in text) or (lang == "go" and m[2][0].isupper())
                 exported = exported or (lang == "javascript" and re.search(rf"\bexports\b[^\n]*\b{re.escape(m[2])}\b", content) is not None)
-                symbols.append({"name": m[2], "kind": kind, "line": n, "end": _end(lines, n, lang, len(m[1])), "exported": bool(exported)})
+                symbols.append({"name": m[2], "kind": kind, "line": n, "end": len(m[1]), "exported": bool(exported)})
                 break
         # the first three forms are JavaScript's own; the others would read its import of a name as one of a module
         imports += [m[1] for p in (IMPORTS[:3] if lang == "javascript" else IMPORTS) for m in p.finditer(text)]
         defined = {s["name"] for s in symbols if s["line"] == n}
         calls += [{"callee": m[2], "receiver": m[1], "line": n} for m in CALL.finditer(text) if m[2] not in KEYWORDS and not (m[2] in defined and not m[1])]
+    ends = _indented_ends if lang in ("python", "ruby") else _braced_ends
+    for s, end in zip(symbols, ends(lines, [(s["line"], s["end"]) for s in symbols], lang), strict=True):
+        s["end"] = end
     return {"file": file, "lang": lang, "symbols": symbols, "imports": sorted(set(imports)), "calls": calls}
 
 
-def _end(lines: list[str], start: int, lang: str | None, indent: int) -> int | None:
-    """Last line of a definition; None where braces do not balance."""
-    if lang in ("python", "ruby"):
-        last = start
-        for n in range(start + 1, len(lines) + 1):
-            text = lines[n - 1]
-            if text.strip():
-                if len(text) - len(text.lstrip()) <= indent and not (lang == "ruby" and text.strip() == "end"):
-                    break
-                last = n
-        return last
-    depth, seen = 0, False
-    for n in range(start, len(lines) + 1):
-        text = re.sub(r"//.*|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"", "", lines[n - 1])
-        depth += text.count("{") - text.count("}")
-        seen = seen or "{" in text
-        if seen and depth <= 0:
-            return n
-    return None
+def _indented_ends(lines: list[str], starts: list[tuple[int, int]], lang: str | None) -> list[int]:
+    """Last line of each definition, given by its line and indentation: the last that is indented deeper. One pass, with the open ones at hand."""
+    out, open_ = [n for n, _ in starts], []
+    at = {n: k for k, (n, _) in enumerate(starts)}
+    for n, text in enumerate(lines, 1):
+        if text.strip():
+            indent, closes = len(text) - len(text.lstrip()), lang == "ruby" and text.strip() == "end"
+            open_ = [k for k in open_ if indent > starts[k][1] or closes]
+            for k in open_:
+                out[k] = n
+        if n in at:
+            open_.append(at[n])
+    return out
+
+
+def _braced_ends(lines: list[str], starts: list[tuple[int, int]], lang: str | None) -> list[int | None]:
+    """Last line of each definition: where the braces opened since its first line are closed; None where they never are. One pass, with the open ones at hand."""
+    out: list[int | None] = [None] * len(starts)
+    at = {n: k for k, (n, _) in enumerate(starts)}
+    open_: list[list] = []  # number, depth before, whether a brace was seen
+    depth = 0
+    for n, text in enumerate(lines, 1):
+        if n in at:
+            open_.append([at[n], depth, False])
+        bare = HIDDEN.sub("", text)
+        depth += bare.count("{") - bare.count("}")
+        if "{" in bare or "}" in bare:
+            still = []
+            for o in open_:
+                o[2] = o[2] or "{" in bare
+                if o[2] and depth <= o[1]:
+                    out[o[0]] = n
+                else:
+                    still.append(o)
+            open_ = still
+    return out
 
 
 def scan_files(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:  # S2, S3
