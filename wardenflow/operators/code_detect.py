@@ -134,6 +134,13 @@ def guard_matrix(scan: DataFrame, lines: DataFrame, handlers: DataFrame) -> Data
     return out.select("file", "line", "handler", F.coalesce(F.col("marks") > 0, F.lit(False)).alias("guarded"), F.col("handler").isNull().alias("file_scoped"))
 
 
+def guard_groups(matrix: DataFrame, reads: DataFrame) -> DataFrame:  # A18
+    """A row for each handler of a file: first line, kinds of input, how many lines read one, and whether a guard is in scope. reads: file, line, source."""
+    each = reads.join(matrix, ["file", "line"])
+    groups = each.groupBy("file", F.coalesce("handler", F.lit("(module scope)")).alias("handler"))
+    return groups.agg(F.min("line").alias("line"), F.array_sort(F.collect_set("source")).alias("kinds"), F.count_distinct("line").alias("reads"), F.bool_or("guarded").alias("guarded"))
+
+
 def orphan_sinks(sinks: DataFrame, covered: DataFrame) -> DataFrame:  # J8, T2, X10
     """Sinks that no taint path covers; at most high."""
     rest = sinks.dropDuplicates(["file", "line", "kind"]).join(covered.select("file", "line", "kind").distinct(), ["file", "line", "kind"], "left_anti")

@@ -182,3 +182,33 @@ def unenforced(units: DataFrame) -> DataFrame:  # L7
     """at, claim, turn of assumptions that nothing enforces, in the order of the units; units without a place are left out."""
     each = units.filter("coalesce(at, '') <> ''").select("pos", "at", F.posexplode("assumptions").alias("turn", "a"))
     return each.filter(F.lower(F.trim("a.enforced_at")) == NOTHING_FOUND).select("pos", "turn", "at", "a.claim").orderBy("pos", "turn")
+
+
+#: A reported discovery before it is checked; nothing is taken for granted.
+DISCOVERY = "pos long, title string, message string, file string, line int, category string, severity string, cwe string, path array<struct<file: string, line: int, why: string>>"
+
+
+def checked_discoveries(rows: DataFrame) -> DataFrame:  # L11
+    """``rows`` (DISCOVERY) with ``errors``, all of a row's at once, ``folded`` where an alias was read as a category, and only the path's usable steps.
+
+    Line 0 cites a whole file. A row without errors is usable; a category's name is that of the category it stands for.
+    """
+    text = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.concat(F.lit(c), F.lit(": not a text")))
+    category = X.normalize_category(F.col("category"))
+    known = F.col("severity").isin(*V.SEVERITIES)
+    errors = F.array_compact(F.array(
+        text("title"), text("message"), text("file"), F.when(F.col("line").isNull() | (F.col("line") < 0), "line: not a whole number from 0"),
+        F.when(category.isNull(), "category: not known"), F.when(~F.coalesce(known, F.lit(False)), "severity: not known"),
+    ))
+    steps = F.filter("path", lambda s: s["file"].isNotNull() & (s["line"] >= 1))
+    folded = F.when(category != F.lower(F.trim("category")), F.col("category"))
+    return rows.withColumns({"errors": errors, "folded": folded, "path": F.when(F.size(steps) > 0, steps)}).withColumn("category", F.coalesce(category, "category"))
+
+
+def reverdicts(findings: DataFrame, verdicts: DataFrame, order: str = "pos") -> DataFrame:  # L2
+    """id, was, verdict: verdicts that would change a finding that has been adjudicated before, and those of unknown ids (``was`` NULL)."""
+    v = last_write_wins(verdicts.select("id", order, "verdict"), "id", order)
+    known = findings.select("id", "status", "severity", F.col("verdict").alias("old"))
+    j = v.join(known, "id", "left")
+    changed = (F.col("status") != "open") & (X.next_status(F.col("verdict"), F.col("severity")) != F.col("status"))
+    return j.filter(F.col("status").isNull() | changed).select("id", F.col("status").alias("was"), "verdict")

@@ -134,9 +134,12 @@ def taint_paths(sinks: DataFrame, callers_of: DataFrame, sources: DataFrame, dep
     known = {c: F.col(c) if c in sources.columns else F.lit(None) for c in ("match", "ord")}
     given = sources.select("file", "line", F.col("line").alias("sl"), "source", known["match"].cast("string").alias("match"), (-known["ord"].cast("int")).alias("first"))
     c = callers_of.select("callee", F.col("file").alias("to_file"), F.col("symbol").alias("to_symbol"), F.col("line").alias("to_line"))
+    # every frame begins at a sink or a call site, so the source above each of these places is looked up once, before the walk
+    places = sinks.select("file", "line").unionByName(callers_of.select("file", "line")).distinct()
+    near = cut(as_of(places, given, "file", "line", ["source", "sl", "match"], tie="first").filter("sl is not null"), "near")
     found = None
     for d in range(depth + 1):
-        hit = as_of(frames.select("sink_id", "file", "line", "hops", "ord"), given, "file", "line", ["source", "sl", "match"], tie="first").filter("sl is not null")
+        hit = frames.select("sink_id", "file", "line", "hops", "ord").join(near, ["file", "line"])
         hit = hit.select("sink_id", "source", F.col("file").alias("source_file"), F.col("sl").alias("source_line"), "match", F.lit(d).alias("depth"), "ord", "hops")
         found = hit if found is None else found.unionByName(hit)
         if d == depth:
@@ -154,3 +157,12 @@ def taint_paths(sinks: DataFrame, callers_of: DataFrame, sources: DataFrame, dep
             break
         seen = cut(seen.unionByName(frames.select("sink_id", "file", "frame")), "seen")
     return found
+
+
+def merge_graphs(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> dict[str, DataFrame]:  # G5
+    """Two graphs as relations put together: files (file), edges (from, to, kind, to_symbol, weight), defs (name, file), callers (callee, file, line, symbol).
+
+    Of an edge in both the larger weight stays, everything else is a union without repeats.
+    """
+    out = {part: a[part].select(*columns).unionByName(b[part].select(*columns)).distinct() for part, columns in {"files": ["file"], "defs": ["name", "file"], "callers": ["callee", "file", "line", "symbol"]}.items()}
+    return out | {"edges": merge_edges(a["edges"], b["edges"], ["from", "to", "kind", "to_symbol"])}

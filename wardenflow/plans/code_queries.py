@@ -391,3 +391,15 @@ SAFE = {
 @query("sanitizers_in_use", _cases((3,), (0, "'c' || k || '.js' as file, 1 as line, 'command' as kind"), (0, "'c' || k || '.js', 2, 'path'"), (1, "'c' || k || '.js', 2, 'xss'"), (1, "'c' || k || '.js', 2, 'domxss'"), (2, "'c' || k || '.js', 1, '*'")))
 def sanitizers_in_use(t: Tables):  # rules that only mean something on a sink's line say nothing here
     return C.sanitizers_in_use(S.source_lines(_files(t, SAFE))).select("file", "line", "kind")
+
+
+@query(
+    "guard_groups",
+    _cases((3,), (0, "'h' || k || '.js' as file, 1 as line, 'open' as handler, 'http' as kinds, 1 as reads, false as guarded"), (0, "'h' || k || '.js', 4, 'closed', 'http', 1, true"), (2, "'h' || k || '.py', 1, 'outer', 'http', 1, true"), (2, "'h' || k || '.py', 2, 'inner', 'http', 1, false")),
+)
+def guard_groups(t: Tables):  # A18
+    files = cut(_files(t, HANDLERS).withColumn("lang", S.language(F.col("file"))), "handlers")
+    lines = cut(S.source_lines(files).join(files.select("file", "lang"), "file"), "lines")
+    reads = cut(C.sources(lines), "reads")
+    matrix = C.guard_matrix(S.scan_files(files.drop("lang")), lines, reads.select("file", "line").distinct())
+    return C.guard_groups(matrix, reads).withColumn("kinds", F.array_join("kinds", ","))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardenflow.operators import findings as N
 from wardenflow.operators import fold as D
+from wardenflow.operators import graph as G
 from wardenflow.plans import run_outputs as O
 from wardenflow.plans.registry import Tables, query
 from wardenflow.sources import history as H
@@ -121,3 +122,52 @@ def variants_folded(t: Tables):  # L6, J14: each variant is dropped, rejected fo
     out, rejected, dropped = D.apply_variants(known, cut(hunts, "hunts"), files)
     told = out.filter(F.array_contains("sources", "variants")).select(F.col("line").cast("long").alias("k"), F.when(F.col("id").startswith("old"), "folded").otherwise("added").alias("outcome"))
     return told.unionByName(rejected.select(F.col("line").cast("long").alias("k"), F.lit("rejected").alias("outcome"))).unionByName(dropped.select(F.col("pos").alias("k"), F.col("reason").alias("outcome")))
+
+
+@query(
+    "checked_discoveries",
+    """
+    with p as (select p_partkey as k, p_partkey % 3 = 0 as a, p_partkey % 5 = 0 as b, p_partkey % 7 = 0 as c, p_partkey % 4 as d from part)
+    select k as pos, case when a then 'title: not a text;' else '' end || case when b then 'line: not a whole number from 0;' else '' end || case when c then 'category: not known;' else '' end || case when d = 0 then 'severity: not known;' else '' end as errors,
+        case when not c and d = 1 then 'SQL Injection' end as folded, case when c then 'no such' when d = 1 then 'taint' else 'sast' end as category, case when k % 2 = 0 then 1 end as steps from p
+    """,
+)
+def checked_discoveries(t: Tables):  # L11, X5
+    k = F.col("p_partkey")
+    step = lambda file, line: F.struct(file.cast("string").alias("file"), line.cast("int").alias("line"), F.lit("").alias("why"))
+    path = F.when(k % 2 == 0, F.array(step(F.lit("a.js"), F.lit(3)), step(F.lit(None), F.lit(1)), step(F.lit("b.js"), F.lit(0)))).otherwise(F.array(step(F.lit("b.js"), F.lit(0))))
+    rows = t.part.select(
+        k.alias("pos"), F.when(k % 3 != 0, "t").alias("title"), F.lit("m").alias("message"), F.lit("f.js").alias("file"), F.when(k % 5 != 0, 0).alias("line"), F.when(k % 7 == 0, "no such").when(k % 4 == 1, "SQL Injection").otherwise("sast").alias("category"),
+        F.when(k % 4 == 0, "HIGH").otherwise("high").alias("severity"), F.lit(None).cast("string").alias("cwe"), path.alias("path"),
+    )
+    out = D.checked_discoveries(rows)
+    return out.select("pos", F.concat_ws("", F.transform("errors", lambda e: F.concat(e, F.lit(";")))).alias("errors"), "folded", "category", F.nullif(F.size("path"), F.lit(-1)).alias("steps"))
+
+
+@query("verdicts_given_again", "select 'i' || k as id, case when k % 5 = 0 then null when k % 3 = 1 then 'confirmed' else 'dismissed' end as was, v as verdict from (select o_orderkey as k, case when o_orderkey % 2 = 0 then 'supported' else 'refuted' end as v from orders) where k % 5 = 0 or (k % 3 = 1 and v = 'refuted') or (k % 3 = 2 and v = 'supported')")
+def verdicts_given_again(t: Tables):  # L2, U6: rulings that would change, and ids that nothing has
+    k = F.col("o_orderkey")
+    ident = F.concat(F.lit("i"), k).alias("id")
+    status = F.when(k % 3 == 0, "open").when(k % 3 == 1, "confirmed").otherwise("dismissed")
+    known = t.orders.filter(k % 5 != 0).select(ident, status.alias("status"), F.lit("low").alias("severity"), F.lit(None).cast("string").alias("verdict"))
+    early = t.orders.select(ident, F.lit(0).alias("pos"), F.lit("partial").alias("verdict"))
+    late = t.orders.select(ident, F.lit(1).alias("pos"), F.when(k % 2 == 0, "supported").otherwise("refuted").alias("verdict"))
+    return D.reverdicts(known, early.unionByName(late))
+
+
+@query(
+    "merged_graphs",
+    """
+    with a as (select 'a' || l_suppkey as f, 'b' || l_partkey as g, count(*) as w from lineitem where l_returnflag = 'A' group by all), r as (select 'a' || l_suppkey as f, 'b' || l_partkey as g, count(*) as w from lineitem where l_returnflag = 'R' group by all), u as (select * from a union all select * from r)
+    select 'edge' as part, f || '>' || g as what, max(w) as weight from u group by all union all select distinct 'file', f, 0 from u union all select distinct 'def', g || '@' || g, 0 from u union all select distinct 'call', g || '<' || f, 0 from u
+    """,
+)
+def merged_graphs(t: Tables):  # G5
+    def part(flag: str):
+        e = t.lineitem.filter(F.col("l_returnflag") == flag).select(F.concat(F.lit("a"), "l_suppkey").alias("from"), F.concat(F.lit("b"), "l_partkey").alias("to"))
+        edges = e.groupBy("from", "to").agg(F.count(F.lit(1)).alias("weight")).withColumns({"kind": F.lit("call"), "to_symbol": F.col("to")})
+        return {"files": e.select(F.col("from").alias("file")), "edges": edges, "defs": e.select(F.col("to").alias("name"), F.col("to").alias("file")), "callers": e.select(F.col("to").alias("callee"), F.col("from").alias("file"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("symbol"))}
+
+    g = G.merge_graphs(part("A"), part("R"))
+    row = lambda df, name, what, weight=0: df.select(F.lit(name).alias("part"), what.alias("what"), F.lit(weight).cast("long").alias("weight") if weight == 0 else F.col("weight"))
+    return N.union_all(row(g["edges"], "edge", F.concat("from", F.lit(">"), "to"), 1), row(g["files"], "file", F.col("file")), row(g["defs"], "def", F.concat("name", F.lit("@"), "file")), row(g["callers"], "call", F.concat("callee", F.lit("<"), "file")))
