@@ -110,3 +110,14 @@ def test_vectors_by_block(spark):
 
 def test_workflows_without_lines(spark):
     assert W.vectors(spark.createDataFrame([], "file string, line int, text string")).collect() == []
+
+
+def test_the_scan_takes_ignore_files_owners_and_context(spark):
+    from wardenflow.plans.scan import scan_tree
+
+    bad = "const pool = require('pg');\nconst id = process.argv[2];\npool.query(id);\n"
+    tree = files(spark, {".gitignore": "gen/\n", "gen/a.js": bad, "src/a.js": bad})
+    report = scan_tree(tree, gitignore=True, owners="* @all\n/src/ @src\n", context="Exposure: internet\n")
+    plain = scan_tree(tree)
+    assert [(r.file, r.owners) for r in report.findings.collect()] == [("src/a.js", ["@src"])]
+    assert {r.file for r in plain.findings.collect()} == {"src/a.js", "gen/a.js"}

@@ -14,6 +14,7 @@ from wardenflow.operators import workflows as W
 from wardenflow.operators.findings import union_all
 from wardenflow.sources import ignore as I
 from wardenflow.sources import repo as S
+from wardenflow.sources.feeds import codeowners
 from wardenflow.storage import cut
 
 #: Depth of paths and most taint findings, by budget. Fixed values.
@@ -28,12 +29,12 @@ class ScanReport:
     truncated: int
 
 
-def scan_tree(files: DataFrame, tools: DataFrame | None = None, epss: DataFrame | None = None, kev: DataFrame | None = None, lock: DataFrame | None = None, budget: str = "standard", orphans: bool = False, log_hygiene: bool = False, include_tests: bool = False, gitignore: bool = False, strict_scope: bool = False, context: str | None = None) -> ScanReport:
+def scan_tree(files: DataFrame, tools: DataFrame | None = None, epss: DataFrame | None = None, kev: DataFrame | None = None, lock: DataFrame | None = None, budget: str = "standard", orphans: bool = False, log_hygiene: bool = False, include_tests: bool = False, gitignore: bool = False, strict_scope: bool = False, context: str | None = None, owners: str | None = None) -> ScanReport:
     """Findings of ``file, content`` and of scanners (``tools``), correlated, de-noised, enriched and in canonical order.
 
     Findings of scanners in folders that the scan never reads are left out, and with ``gitignore`` what the tree's own
     ignore files leave out is neither read nor taken from scanners. ``context``: text of the project's context document,
-    whose exposure and criticality weigh in the risk.
+    whose exposure and criticality weigh in the risk. ``owners``: text of a CODEOWNERS file, which names each finding's owners.
     """
     depth, most = BUDGETS[budget]
     if gitignore:
@@ -61,6 +62,8 @@ def scan_tree(files: DataFrame, tools: DataFrame | None = None, epss: DataFrame
     if lock is not None:
         clean = N.mark_toolchain(clean, lock)
     spark = files.sparkSession
+    if owners is not None:
+        clean = I.owned(clean.drop("owners"), codeowners(spark, owners))
     epss = epss if epss is not None else spark.createDataFrame([], "cve string, epss double")
     kev = kev if kev is not None else spark.createDataFrame([], "cve string")
     facts = spark.range(1).select(X.deployment_facts(F.lit(context)).alias("f")).first().f if context else None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardenflow.functions import scalar as X
 from wardenflow.operators.findings import FINDING
+from wardenflow.sources.ignore import owner_rules
 
 
 def epss_csv(spark: SparkSession, path: str) -> DataFrame:  # S12
@@ -31,17 +32,9 @@ def npm_lock(df: DataFrame) -> DataFrame:  # S24
     return new.unionByName(old)
 
 
-def owner_pattern(glob: str) -> str:
-    """A CODEOWNERS pattern as a Java regular expression."""
-    anchored = glob.startswith("/") or "/" in glob.rstrip("/")
-    body = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in glob.strip("/").replace("**", "\0")).replace("\0", ".*")
-    return f"^{'' if anchored else '(.*/)?'}{body}(/.*)?$"
-
-
 def codeowners(spark: SparkSession, text: str) -> DataFrame:  # S23
-    """ord, pattern, owners for each rule; the last that matches a path wins."""
-    rows = [(i, owner_pattern(p[0]), p[1:]) for i, line in enumerate(text.splitlines()) if (p := line.split("#")[0].split()) and len(p) > 1]
-    return spark.createDataFrame(rows, "ord int, pattern string, owners array<string>")
+    """ord, pattern, prefix, owners of the rules of a CODEOWNERS text; the last that matches a path wins."""
+    return owner_rules(spark.createDataFrame([*enumerate(text.splitlines())], "ord int, text string"))
 
 
 def apply_files(spark: SparkSession, where: str, pattern: str = r".*\.json$") -> DataFrame:  # S26
