@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -122,3 +123,13 @@ def test_rules_by_literal_prefix(spark):
     plain = {r.file: r.owner for r in P.last_rule(rows, rules, "file", "ord", "owner", matches).collect()}
     assert {r.file: r.owner for r in P.last_rule(rows, rules, "file", "ord", "owner", matches, "prefix").collect()} == plain
     assert plain["src/api/x.js"] == "src/api/x.js" and plain["lib/c.js"] == "*"
+
+
+def test_dense_windows_are_counted_over_frames_that_only_grow(spark):
+    rows = [("a", i // 7) for i in range(3000)] + [("b", 50), ("b", 50), ("b", 71)]
+    counted = W.sliding_count_dealt(spark.createDataFrame(rows, "ip string, at long"), "ip", "at", 20)
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", counted._jdf.queryExecution().optimizedPlan().toString())
+    assert frames and set(frames) == {"unboundedpreceding$()"}  # Spark goes over a frame with two moving ends once for each row
+    for r in counted.collect():
+        own = [t for ip, t in rows if ip == r.ip and r.at - 20 <= t <= r.at]
+        assert (r.n_in_window, r.n_in_window_from) == (len(own), min(own))

@@ -17,10 +17,23 @@ from wardenflow.operators.scans import dealt, numbered_within, running_sum, segm
 def sliding_count(df: DataFrame, actor: str, at: str, reach: int, out: str = "n_in_window") -> DataFrame:  # W1, W2
     """Rows of the same actor whose ``at`` lies in [at - reach, at], and the oldest of them.
 
-    ``at`` is a number: milliseconds, or the row's index for the line-proxy form. Rows with a null ``at`` get no count.
+    ``at`` is a whole number: milliseconds, or the row's index for the line-proxy form. Rows with a null ``at`` get no count.
     """
-    w = Window.partitionBy(actor).orderBy(at).rangeBetween(-reach, 0)
-    return df.withColumns({out: F.when(F.col(at).isNotNull(), F.count(at).over(w)), f"{out}_from": F.when(F.col(at).isNotNull(), F.min(at).over(w))})
+    return _slid(df, [actor], at, reach, out)
+
+
+def _slid(df: DataFrame, by: list[str], at: str, reach: int, out: str) -> DataFrame:
+    """``df`` with the two columns of :func:`sliding_count`, from frames that only grow.
+
+    Spark goes over a frame with two moving ends again for every row, so that dense windows would cost the square of their
+    rows. The count is what stands up to the row less what stands before its window; the oldest is a minimum from the end.
+    """
+    up, down = Window.partitionBy(*by).orderBy(F.col(at)), Window.partitionBy(*by).orderBy(F.col(at).desc())
+    whole = F.count(at).over(up.rangeBetween(Window.unboundedPreceding, 0))
+    before = F.count(at).over(up.rangeBetween(Window.unboundedPreceding, -reach - 1))
+    oldest = F.min(at).over(down.rangeBetween(Window.unboundedPreceding, reach))
+    known = F.col(at).isNotNull()
+    return df.withColumns({out: F.when(known, whole - before), f"{out}_from": F.when(known, oldest)})
 
 
 def sliding_count_dealt(df: DataFrame, actor: str, at: str, reach: int, out: str = "n_in_window", width: int | None = None) -> DataFrame:
@@ -32,8 +45,7 @@ def sliding_count_dealt(df: DataFrame, actor: str, at: str, reach: int, out: str
     lends = F.floor((F.col(at) + F.lit(reach)) / F.lit(width)) > bucket
     spots = F.when(lends, F.array(F.struct(bucket.alias("b"), F.lit(False).alias("lent")), F.struct((bucket + 1).alias("b"), F.lit(True).alias("lent")))).otherwise(F.array(F.struct(bucket.alias("b"), F.lit(False).alias("lent"))))
     dealt = df.withColumn("spot__", F.explode(spots)).withColumns({"bucket__": F.col("spot__.b"), "lent__": F.col("spot__.lent")}).drop("spot__")
-    w = Window.partitionBy(actor, "bucket__").orderBy(at).rangeBetween(-reach, 0)
-    counted = dealt.withColumns({out: F.when(F.col(at).isNotNull(), F.count(at).over(w)), f"{out}_from": F.when(F.col(at).isNotNull(), F.min(at).over(w))})
+    counted = _slid(dealt, [actor, "bucket__"], at, reach, out)
     return counted.filter("not lent__").drop("bucket__", "lent__")
 
 
