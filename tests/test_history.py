@@ -89,3 +89,30 @@ def test_no_commit_since(spark, tree):
     assert [tuple(r) for r in H.follow(history, spark.createDataFrame([("f0.txt", 2)], H.PLACE)).select("now", "now_line", "commits").collect()] == [("f0.txt", 2, 0)]
     with pytest.raises(ValueError, match="failed"):
         H.read_history(spark, str(root), "no-such-ref")
+
+
+def test_places_of_many_files_are_folded_without_a_call_for_each(spark):
+    rng, rows, want = random.Random(8), [], {}
+    for f in range(40):
+        name, lines = f"f{f}", {n: n for n in range(1, 41)}  # line of the older commit -> line now
+        touched = dict.fromkeys(lines, 0)
+        for seq in range(rng.randint(0, 5)):
+            at, shift, moved = 1, 0, dict(lines)
+            if rng.random() < 0.2:
+                rows.append((seq, "c", 1, "x", name, name, None, None, None, None))
+            while (at := at + rng.randint(0, 15)) < 60:
+                b, d = rng.choice([(0, 2), (1, 0), (3, 1), (2, 4), (1, 1)])
+                rows.append((seq, "c", 1, "x", name, name, at, b, at + shift + (1 if b == 0 else 0) - (1 if d == 0 else 0), d))
+                for n, now in lines.items():
+                    if now and b and at <= now < at + b:
+                        moved[n], touched[n] = (at + shift + min(now - at, d - 1) if d else None), touched[n] + 1
+                    elif now and now > (at if b == 0 else at + b - 1):
+                        moved[n] += d - b
+                at, shift = at + max(b, 1), shift + d - b
+            lines = moved
+        want |= {(name, n): (lines[n], touched[n]) for n in lines}
+    rng.shuffle(rows)
+    out = H.follow(spark.createDataFrame(rows, H.HUNK), spark.createDataFrame([*want, ("none", None)], H.PLACE))
+    assert "CoGroup" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.file, r.line): (r.now_line, r.touched) for r in out.collect()}
+    assert got.pop(("none", None)) == (None, 0) and got == want

@@ -2,7 +2,7 @@
 
 ``read_history`` runs git once and gives a row for each hunk of each file of each commit, oldest first. Where a path of an
 older commit stands now follows from chains of renames, and where a line stands from the hunks of its file in order:
-the places of a file and its hunks meet by a co-grouped shuffle and are folded once.
+the places of a file and its hunks meet by a join and are folded by column expressions, so that a file costs no call of Python.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ import re
 import subprocess
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardenflow.storage import cut
@@ -103,28 +102,36 @@ def current_paths(links: DataFrame) -> DataFrame:  # S22
 
 
 PLACE = "file string, line int"
-MAPPED = PLACE + ", now_line int, commits int, touched int, last_commit string, last_at long, last_author string"
 
 
-def _follow(line: int, hunks: list[tuple]) -> tuple[int | None, bool]:
-    """Where a line of a file stands after one commit's hunks, in order, and whether they changed it; None if it is gone."""
-    shift = 0
-    for a, b, c, d in hunks:
-        if a is None:
-            continue
-        if b == 0:
-            if line <= a:
-                break
-        elif line < a:
-            break
-        elif line < a + b:
-            return (c + min(line - a, d - 1), True) if d else (None, True)
-        shift += d - b
-    return line + shift, False
+def _moved(line: Column, hunks: Column) -> Column:
+    """line, touched, last: where a line stands after ``hunks`` in order of commit and place, commits that changed it, and the last of them.
+
+    Folded hunk by hunk; ``line`` is in terms of the file before the hunk's commit, and ``shift`` what the commit has moved it by so far.
+    """
+    about = "struct<commit: string, at: bigint, author: string>"
+    start = F.struct(F.lit(None).cast("int").alias("seq"), line.alias("line"), F.lit(0).alias("shift"), F.lit(False).alias("settled"), F.lit(0).alias("touched"), F.lit(None).cast(about).alias("last"))
+
+    def step(s: Column, h: Column) -> Column:
+        same = s["seq"].eqNullSafe(h["seq"])
+        at = F.when(same, s["line"]).otherwise(s["line"] + s["shift"])  # NULL once the line is gone
+        shift, settled = F.when(same, s["shift"]).otherwise(0), same & s["settled"]
+        open_ = at.isNotNull() & ~settled & h["old_start"].isNotNull()
+        above = F.when(h["old_n"] == 0, at <= h["old_start"]).otherwise(at < h["old_start"])
+        hit = open_ & (h["old_n"] > 0) & at.between(h["old_start"], h["old_start"] + h["old_n"] - 1)
+        rewritten = F.when(h["new_n"] > 0, h["new_start"] + F.least(at - h["old_start"], h["new_n"] - 1))
+        return F.struct(
+            h["seq"].alias("seq"), F.when(hit, rewritten).otherwise(at).alias("line"), F.when(hit, 0).when(open_ & ~above, shift + h["new_n"] - h["old_n"]).otherwise(shift).alias("shift"),
+            F.coalesce(settled | (open_ & (above | hit)), F.lit(False)).alias("settled"), F.when(hit, s["touched"] + 1).otherwise(s["touched"]).alias("touched"),
+            F.when(hit, F.struct(h["commit"], h["at"], h["author"]).cast(about)).otherwise(s["last"]).alias("last"),
+        )
+
+    return F.aggregate(hunks, start, step, lambda s: F.struct((s["line"] + s["shift"]).alias("line"), s["touched"].alias("touched"), s["last"].alias("last")))
 
 
 def follow(history: DataFrame, places: DataFrame, links: DataFrame | None = None) -> DataFrame:  # S20-S22, L3
-    """``places`` (file, line of the older commit) with their place at HEAD and what happened on the way: MAPPED and ``now``.
+    """``places`` (file, line of the older commit) with their place at HEAD and what happened on the way:
+    file, line, now_line, commits, touched, last_commit, last_at, last_author, now.
 
     ``commits``: commits that changed the file; ``touched``: those that changed the line itself; last_...: the last of
     these. ``now_line`` is NULL if the line is gone; a line that was rewritten counts as the line that stands there now.
@@ -132,31 +139,14 @@ def follow(history: DataFrame, places: DataFrame, links: DataFrame | None = None
     links = chains(history, places) if links is None else links
     mine = links.filter("path is not null").select("file", "path", "from_seq", "to_seq")
     met = history.join(mine, (F.col("old") == F.col("path")) & (F.col("seq") > F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col("seq") <= F.col("to_seq"))))
-    hunks = met.select("file", "seq", "commit", "at", "author", "old_start", "old_n", "new_start", "new_n")
-
-    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = right.sort_by([("seq", "ascending"), ("old_start", "ascending")]).to_pylist()
-        commits: dict[int, list] = {}
-        about = {}
-        for r in rows:
-            commits.setdefault(r["seq"], []).append((r["old_start"], r["old_n"], r["new_start"], r["new_n"]))
-            about[r["seq"]] = (r["commit"], r["at"], r["author"])
-        out = []
-        for p in left.to_pylist():
-            line, touched, last = p["line"], 0, (None, None, None)
-            for seq, changes in commits.items():
-                line, changed = _follow(line, changes)
-                if changed:
-                    touched, last = touched + 1, about[seq]
-                if line is None:
-                    break
-            out.append((p["file"], p["line"], line, len(commits), touched, *last))
-        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
-        columns = zip(*out, strict=True) if out else [[]] * 8
-        return pa.table([pa.array(v, kinds[c.split()[1]]) for v, c in zip(columns, MAPPED.split(", "), strict=True)], names=[c.split()[0] for c in MAPPED.split(", ")])
-
+    hunk = F.struct("seq", "old_start", "old_n", "new_start", "new_n", "commit", "at", "author")
+    hunks = met.groupBy("file").agg(F.array_sort(F.collect_list(hunk)).alias("hunks"))
     asked = places.select("file", F.col("line").cast("int")).distinct()
-    mapped = asked.groupBy("file").cogroup(hunks.groupBy("file")).applyInArrow(fold, MAPPED)
+    together = asked.groupBy("file").agg(F.collect_list(F.struct("line")).alias("lines")).join(hunks, "file", "left").withColumn("hunks", F.coalesce("hunks", F.array().cast(hunks.schema["hunks"].dataType)))
+    moved = F.transform("lines", lambda x: F.struct(x["line"].alias("line"), _moved(x["line"], F.col("hunks")).alias("m")))
+    commits = F.size(F.array_distinct(F.transform("hunks", lambda h: h["seq"])))
+    mapped = together.select("file", commits.alias("commits"), F.explode(moved).alias("p"))
+    mapped = mapped.select("file", "p.line", F.col("p.m.line").alias("now_line"), "commits", "p.m.touched", F.col("p.m.last.commit").alias("last_commit"), F.col("p.m.last.at").alias("last_at"), F.col("p.m.last.author").alias("last_author"))
     out = mapped.join(current_paths(links), "file", "left")
     return out.withColumn("now_line", F.when(F.col("now").isNotNull(), F.col("now_line")))
 
