@@ -82,3 +82,37 @@ def test_duplicates_and_counts_by_minute(spark, tmp_path, store):
     minutes = B.run_to_end(late_rows(stream, "at", "1 minute"), folder=f"{tmp_path}/minutes")
     got = {r["window"].start.minute: r.n for r in spark.read.parquet(f"{minutes.folder}/out").collect()}
     assert got[0] == 3 and got[1] == 1 and minutes.late == 1
+
+
+def test_an_address_is_read_and_written_once_however_many_buckets_wait():
+    import pandas as pd
+
+    class State:
+        exists, get, timeout, updates, now = False, None, None, 0, 0
+        getCurrentWatermarkMs = lambda self: self.now
+
+        def update(self, new):
+            self.exists, self.get, self.timeout, self.updates = True, new, None, self.updates + 1
+
+        def setTimeoutTimestamp(self, ms):
+            assert ms > self.now
+            self.timeout = ms
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+    step = B.behaviour({"window_ms": 60_000, "failures": 3, "errors": 99, "requests": 999}, 10_000, 600_000)
+    frame = lambda *ms: pd.DataFrame([(x, x, 1) for x in ms], columns=["ms", "idx", "flags"])
+    state = State()
+    assert not list(step(("a",), iter([frame(*range(500_000, 700_000, 10_000)), frame(105_000, 109_000)]), state))
+    assert (state.updates, state.timeout) == (1, 110_000)
+    state.now = 120_000
+    (got,) = step(("a",), iter([frame(119_000, 121_000)]), state)
+    assert got.values.tolist() == [["a", "brute-force", 119_000, 105_000, 3]]
+    assert (state.updates, state.timeout) == (2, 130_000)
+    state.now = 130_001
+    assert not list(step(("a",), iter([]), state)) and state.timeout == 510_000
+    state.now = 700_000
+    assert not list(step(("a",), iter([]), state)) and state.timeout == 1_290_000
+    state.now = 1_290_001
+    assert not list(step(("a",), iter([]), state)) and not state.exists

@@ -302,8 +302,8 @@ def stream_in_time_order(t: Tables):  # 2.11: six micro-batches, some rows a bat
     kind = F.col("event_type")
     rows = t.events.select(F.col("user_id").cast("string").alias("ip"), at.alias("at"), F.col("event_id").alias("idx"), (kind == "error").alias("failed"), (kind == "purchase").alias("success"), (kind == "click").alias("error"), (kind == "view").alias("hit"), turn_.alias("turn"))
     folder = f"{shared_dir(t.spark)}/delivered-{uuid.uuid4().hex}"
-    for k in range(7):  # a file for each micro-batch, in the order of their writing
-        rows.filter(F.col("turn") == k).drop("turn").coalesce(1).write.parquet(f"{folder}/{k}")
+    for k in range(7):  # a file for each micro-batch, in the order of their writing; read and picked out by many tasks, written by one
+        rows.filter(F.col("turn") == k).drop("turn").repartition(1).write.parquet(f"{folder}/{k}")
     kept = {k: t.spark.conf.get(k, None) for k in B.STORE}
     for k, v in B.STORE.items():
         t.spark.conf.set(k, v)
