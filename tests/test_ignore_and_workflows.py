@@ -1,7 +1,9 @@
+import re
 import shutil
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardenflow.operators import workflows as W
 from wardenflow.sources import ignore as I
@@ -121,3 +123,13 @@ def test_the_scan_takes_ignore_files_owners_and_context(spark):
     plain = scan_tree(tree)
     assert [(r.file, r.owners) for r in report.findings.collect()] == [("src/a.js", ["@src"])]
     assert {r.file for r in plain.findings.collect()} == {"src/a.js", "gen/a.js"}
+
+
+def test_many_paths_are_never_broadcast(spark):
+    rules = I.ignore_rules(spark.createDataFrame([(".gitignore", "*.log\n")], "file string, content string"))
+    paths = spark.range(3).select(F.explode(F.array(F.lit("a/b.log"), F.lit("a/c.js"))).alias("file"))
+    for book in (rules, rules.crossJoin(spark.range(10_001)).drop("id")):
+        out = I.ignored(paths, book)
+        sides = re.findall(r"BroadcastHashJoin.*Build(\w+)", out._jdf.queryExecution().executedPlan().toString())
+        assert sides == (["Right"] if book is rules else [])
+        assert [r.file for r in out.collect()] == ["a/b.log"]
