@@ -21,3 +21,13 @@ def test_narratives_and_remediation(spark):
     entries = spark.createDataFrame([("all", ids), ("one gone", [ids[0], "x"]), ("none", [])], "entry string, ids array<string>")
     assert [r.entry for r in K.narrative(entries, rows).collect()] == ["all"]
     assert [(r.severity, r.members, r.files) for r in K.remediation(rows).collect()] == [("high", 2, ["f0", "f1"])]
+
+
+def test_files_that_begin_alike_meet_a_lead_once(spark):
+    surface = spark.range(300).selectExpr("'a' as region", "concat('a/f', id) as file", "1 as score")
+    leads = spark.range(50).selectExpr("concat('a/f:', id) as at", "concat('c', id) as claim")
+    out = K.region_worklist(surface, spark.createDataFrame([], "from string, to string"), leads)
+    (got,) = out.collect()
+    assert sorted(got.leads) == sorted(f"c{n}" for n in range(50))
+    below = out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, (p#")[1]
+    assert "- Aggregate [" in below[: below.index("regexp_replace")]  # the files' beginnings are made distinct before the join
