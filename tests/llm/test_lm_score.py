@@ -89,3 +89,30 @@ def test_empty(spark):
     assert score(cases.empty(spark)).count() == 0
     alone = score(cases.table(spark, [(i, "x y", "en", "s", 1) for i in range(30) if zlib.crc32(str(i).encode()) % 7 == 2])).collect()
     assert alone and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in alone)
+
+
+def test_each_bit_is_mixed_and_moves_its_weights():
+    draw = random.Random(7)
+    words = [f"w{n}".encode() for n in range(3000)]
+    keys, counts = zip(*sorted((key_of(w), 1 + 30000 // (n + 1)) for n, w in enumerate([*words, b""])), strict=True)
+    v = Vocabulary(np.array(keys, np.uint64), np.array(counts), rare=50)
+    assert v.words.length.max() == huffman_lengths(np.r_[v.counts, 50]).max() > 10 and not v.words.tail.any()
+    table = np.random.default_rng(7).integers(0, 9, 2 * sum(1 << b for b in (21, 22))).astype(np.uint32)
+    mixer = Mixer.of(table)
+    texts = [" ".join(f"w{min(2999, int(draw.paretovariate(0.4)))}" for _ in range(draw.choice((0, 3, 40, 90)))) for _ in range(60)]
+    _, piece = next(stretches(texts, v))
+    got = np.zeros(len(texts))
+    mixer.add_scores(v.words, piece.streams[0], len(texts), 0, got)
+    s, path = piece.streams[0], {}
+    for d, (here, value, node, (one, two)) in enumerate(s.bits(v.words)):
+        for i, b, n, x, y in zip(here, value, node, one, two, strict=True):
+            path[int(i), d] = (int(b), int(n), int(x), int(y))
+    want, weights = [0.0] * len(texts), {}
+    for (i, d), (b, n, x, y) in sorted(path.items()):
+        k, a1, a2 = int(s.doc[i]), int(mixer.odds[0][x]), int(mixer.odds[1][y])
+        w = weights.setdefault((k, (a1 & 1) + 2 * (a2 & 1) + 4 * (d > 2)), None) or mixer.first_weights()[(a1 & 1) + 2 * (a2 & 1) + 4 * (d > 2)].tolist()
+        inputs = [float(v.words.odds[n]), a1 / 12, a2 / 12]
+        p = 1 / (1 + math.exp(-max(-11.5, min(11.5, sum(p * q for p, q in zip(w, inputs, strict=True))))))
+        want[k] += math.log(p if b else 1 - p)
+        weights[k, (a1 & 1) + 2 * (a2 & 1) + 4 * (d > 2)] = [p_ + mixer.rate * (b - p) * q for p_, q in zip(w, inputs, strict=True)]
+    assert np.allclose(got, want, rtol=1e-4)

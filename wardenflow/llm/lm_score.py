@@ -1,14 +1,14 @@
 """Language-model scores by online logistic context mixing.
 
 A text is a sequence of words in lower case and an end. Each word is a path of bits: its Huffman code over the frequent
-vocabulary, or that of an escape and then those of its bytes. Three bit predictors estimate each of a path's first
-``DEPTH`` bits: one from the words under the path so far, two from hashed contexts, the word before and the two words
+vocabulary, or that of an escape and then those of its bytes. Three bit predictors estimate each bit of a path, to a
+depth of ``DEPTH``: one from the words under the path so far, two from hashed contexts, the word before and the two words
 before (within an escaped word: two and four bytes before). Their log odds are mixed with weights that a gate chooses,
-from the depth of the path and from which contexts have been seen, and that are refined online: after each block of a
-document its weights follow the gradient of its coding cost; blocks double in length. Deeper bits, where contexts know
-nothing, have the probability that the words under the path give them. Each document starts from the same weights, so
-its score does not depend on other documents in a batch. The sum over all bits, in total bits per byte or as log10 of
-the text's probability, is the score.
+from the depth of the path and from which contexts have been seen, and that are refined online: after each bit of a
+document the weights that gave it follow the gradient of its coding cost. Bits below ``DEPTH``, which only words rarer
+than about one in 2^``DEPTH`` have, get the probability that the words under the path give them. Each document starts
+from the same weights, so its score does not depend on other documents in a batch. The sum over all bits, in total bits
+per byte or as log10 of the text's probability, is the score.
 
 What is learned comes from every training document: word counts by key, and counts of zeros and ones for each slot of
 the predictors' tables. Tables have a fixed number of slots, as hashed contexts do; each task sends its counts in
@@ -28,6 +28,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,11 +43,12 @@ from pyspark.sql import functions as F
 from wardenflow.llm.common import crc_mod, settle
 
 END = b""  # no word is empty
-DEPTH = 8
+DEPTH = 20
 SLOT_BITS = (21, 22)  # of the two hashed predictors
 BLOCK = 1 << 16
 GATES = 16
-FIRST_BLOCK = 16
+LIMIT = np.float32(11.5)  # of mixed log odds
+FEW = 40  # with fewer documents left, each is mixed by itself
 FIND_BITS = 20
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SCALE = 12.0  # log odds are kept as signed bytes, so many steps to one
@@ -110,25 +112,26 @@ class Codes:
     def of(cls, weights: np.ndarray) -> Codes:
         lengths = huffman_lengths(weights)
         order = np.lexsort((np.arange(len(lengths)), lengths))
-        top, short = np.zeros(len(lengths), np.int64), np.minimum(lengths, DEPTH)
+        depth = min(DEPTH, int(lengths.max()))
+        top, short = np.zeros(len(lengths), np.int64), np.minimum(lengths, depth)
         code = before = at = 0
         for end in np.flatnonzero(np.diff(np.r_[lengths[order], 0])) + 1:  # canonical codes, by runs of equal length
             n, k = int(lengths[order[at]]), int(end - at)
             code <<= n - before
-            if n <= DEPTH:
+            if n <= depth:
                 top[order[at:end]] = code + np.arange(k)
             elif n < 62:
-                top[order[at:end]] = (code + np.arange(k)) >> (n - DEPTH)
+                top[order[at:end]] = (code + np.arange(k)) >> (n - depth)
             else:
-                top[order[at:end]] = [(code + j) >> (n - DEPTH) for j in range(k)]
+                top[order[at:end]] = [(code + j) >> (n - depth) for j in range(k)]
             code, before, at = code + k, n, int(end)
-        below = np.zeros(2 << DEPTH)  # weight under each node
-        for d in range(DEPTH + 1):
+        below = np.zeros(2 << depth)  # weight under each node
+        for d in range(depth + 1):
             deep = short >= d
             below += np.bincount((1 << d) | (top[deep] >> (short[deep] - d)), weights[deep], len(below))
-        inner = np.arange(1 << DEPTH)
+        inner = np.arange(1 << depth)
         odds = np.log((below[2 * inner + 1] + 0.5) / (below[2 * inner] + 0.5))
-        tail = np.where(lengths > DEPTH, np.log10(weights / below[(1 << DEPTH) | (top & ((1 << DEPTH) - 1))].clip(1)), 0.0)
+        tail = np.where(lengths > depth, np.log10(weights / below[(1 << depth) | top].clip(1)), 0.0)
         return cls(top.astype(np.int32), short.astype(np.int32), tail.astype(np.float32), odds.astype(np.float32))
 
 
@@ -182,12 +185,11 @@ class Stream:
 
     symbols: np.ndarray
     doc: np.ndarray
-    place: np.ndarray  # in the document's stream
     contexts: list[np.ndarray]
     salt: int
 
     def at(self, where: np.ndarray) -> Stream:
-        return Stream(self.symbols[where], self.doc[where], self.place[where], [c[where] for c in self.contexts], self.salt)
+        return Stream(self.symbols[where], self.doc[where], [c[where] for c in self.contexts], self.salt)
 
     def bits(self, codes: Codes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """By depth: the symbols that have a bit there, its value, its node and its slots in the hashed tables."""
@@ -245,7 +247,7 @@ def stretch(words: list[list[bytes]], vocabulary: Vocabulary) -> Stretch:
     since = _since(_starts(doc))
     one = _shifted(keys, 1, since, START) * ODD[1]
     two = (_shifted(keys, 2, since, START) ^ (one >> np.uint64(7))) * ODD[2] ^ one
-    streams = [Stream(found, doc, since, [one, two], 1)]
+    streams = [Stream(found, doc, [one, two], 1)]
     escaped = np.flatnonzero(found == len(vocabulary.keys))
     if len(escaped):
         raw = np.frombuffer(b" ".join([flat[i] for i in escaped] + [b""]), np.uint8)  # each word and a space
@@ -257,7 +259,7 @@ def stretch(words: list[list[bytes]], vocabulary: Vocabulary) -> Stretch:
         two = c1 + (c2 << np.uint64(9))
         four = two + (c3 << np.uint64(18)) + (c4 << np.uint64(27)) + (np.uint64(1) << np.uint64(40))
         doc_of = np.repeat(doc[escaped], sizes)
-        streams.append(Stream(raw, doc_of, _since(_starts(doc_of)), [two * ODD[2], four * ODD[2]], 2))
+        streams.append(Stream(raw, doc_of, [two * ODD[2], four * ODD[2]], 2))
     return Stretch(keys, found, doc, streams)
 
 
@@ -397,8 +399,7 @@ class Mixer:
     """The predictors' log odds as signed bytes; the lowest bit says if the slot has been seen more than once."""
 
     odds: list[np.ndarray]
-    rate: float = 0.8
-    steadiness: float = 48.0
+    rate: float = 0.03
 
     @classmethod
     def of(cls, counts: np.ndarray, **options) -> Mixer:
@@ -418,47 +419,60 @@ class Mixer:
         return out
 
     def add_scores(self, codes: Codes, stream: Stream, documents: int, number: int, out: np.ndarray) -> None:
-        """Add natural logarithms of the stream's probabilities to ``out``, by document."""
+        """Add natural logarithms of the stream's probabilities to ``out``, by document.
+
+        The n-th bits of all documents are mixed together, each with its own document's weights, which then move; a
+        document's bits follow each other.
+        """
         if not len(stream.symbols):
             return
-        turn = np.log2(stream.place / FIRST_BLOCK + 1).astype(np.uint8)
-        order = np.argsort(turn, kind="stable")
-        edges = np.searchsorted(turn[order], np.arange(int(turn.max()) + 2))
-        stream = stream.at(order)
         out += np.bincount(stream.doc, codes.tail[stream.symbols], documents) * np.log(10)
-        weights = np.tile(self.first_weights().T, documents)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            part = stream.at(slice(a, b))
-            docs, values, inputs, gates = [], [], ([], [], []), []
-            for d, (here, value, node, (one, two)) in enumerate(part.bits(codes)):
-                docs.append(part.doc[here])
-                values.append(value)
-                inputs[0].append(codes.odds[node])
-                a1, a2 = self.odds[0][one], self.odds[1][two]
-                inputs[1].append(a1)
-                inputs[2].append(a2)
-                gates.append((a1 & 1) + ((a2 & 1) << 1) + np.int8(4 * (d > 2) + 8 * number))
-            if not docs:
-                continue
-            doc = np.concatenate(docs)
-            at = doc * GATES + np.concatenate(gates)
-            value = np.concatenate(values).astype(np.float32)
-            x = [np.concatenate(inputs[0])] + [np.concatenate(i) * np.float32(1 / SCALE) for i in inputs[1:]]
-            z = x[0] * weights[0][at]
-            z += x[1] * weights[1][at]
-            z += x[2] * weights[2][at]
-            np.clip(z, -11.5, 11.5, out=z)
-            e = np.exp(-z)
-            e += 1
-            p = 1 / e
-            np.log(e, out=e)
-            e += (1 - value) * z  # the cost of the bit in nats
-            out -= np.bincount(doc, e, documents)
-            if b < len(order):
-                value -= p
-                n = np.bincount(at, minlength=weights.shape[1]) + self.steadiness
-                for k in range(3):
-                    weights[k] += (self.rate * np.bincount(at, value * x[k], weights.shape[1]) / n).astype(np.float32)
+        size = codes.length[stream.symbols].astype(np.int64)
+        first = np.cumsum(size) - size
+        n_bits = int(size.sum())
+        x, value, gate = np.empty((n_bits, 3), np.float32), np.empty(n_bits, np.int8), np.empty(n_bits, np.int8)
+        for d, (here, bit, node, (one, two)) in enumerate(stream.bits(codes)):
+            at = first[here] + d
+            a1, a2 = self.odds[0][one], self.odds[1][two]
+            x[at, 0], x[at, 1], x[at, 2] = codes.odds[node], a1 * np.float32(1 / SCALE), a2 * np.float32(1 / SCALE)
+            value[at], gate[at] = bit, (a1 & 1) + ((a2 & 1) << 1) + np.int8(4 * (d > 2) + 8 * number)
+        bits = np.bincount(stream.doc, size, documents).astype(np.int64)
+        begin, z = np.cumsum(bits) - bits, np.empty(n_bits, np.float32)
+        order = np.argsort(-bits, kind="stable")
+        going = np.searchsorted(-bits[order], -np.arange(int(bits.max()) + 1), side="left")  # documents with more bits than that
+        weights = np.tile(self.first_weights(), (documents, 1))
+        start, own, t, rate = begin[order], order * GATES, 0, np.float32(self.rate)
+        while (n := int(going[t])) >= FEW:
+            at = start[:n] + t
+            here, to = x[at], own[:n] + gate[at]
+            w = weights[to]
+            mixed = np.einsum("ij,ij->i", w, here)
+            z[at] = mixed
+            mixed = np.exp(-np.maximum(np.minimum(mixed, LIMIT), -LIMIT))
+            mixed += 1
+            here *= (rate * (value[at] - 1 / mixed))[:, None]
+            w += here
+            weights[to] = w
+            t += 1
+        for k in order[: int(going[t])]:
+            a, b = int(begin[k]) + t, int(begin[k] + bits[k])
+            z[a:b] = self._mixed(x[a:b].tolist(), value[a:b].tolist(), gate[a:b].tolist(), weights[k * GATES : (k + 1) * GATES].tolist())
+        np.clip(z, -LIMIT, LIMIT, out=z)
+        cost = np.log1p(np.exp(-z)) + (1 - value) * z  # of each bit, in nats
+        out -= np.bincount(np.repeat(np.arange(documents), bits), cost, documents)
+
+    def _mixed(self, x: list, value: list, gate: list, weights: list) -> list[float]:
+        """The mixed log odds of one document's bits."""
+        exp, rate, most, out = math.exp, self.rate, float(LIMIT), []
+        for (a, b, c), v, g in zip(x, value, gate, strict=True):
+            w = weights[g]
+            z = w[0] * a + w[1] * b + w[2] * c
+            out.append(z)
+            miss = rate * (v - 1 / (1 + exp(-z if -most < z < most else most if z < 0 else -most)))
+            w[0] += miss * a
+            w[1] += miss * b
+            w[2] += miss * c
+        return out
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 18) -> DataFrame:
@@ -479,8 +493,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         escape = len(common.value.keys)
         known = np.r_[logs.value, 0.0]
         for batch in batches:
-            parts = []
-            for part, piece in stretches(batch["text"].tolist(), common.value):
+            parts, batch = [], batch.iloc[np.argsort([len(t or "") for t in batch["text"]])]  # documents of like length are mixed together
+            for part, piece in stretches(batch["text"].tolist(), common.value, 300_000):
                 m = len(part)
                 total = np.zeros(m)
                 for number, (codes, stream) in enumerate(zip(common.value.codes, piece.streams, strict=False)):
