@@ -124,10 +124,10 @@ def guard_matrix(scan: DataFrame, lines: DataFrame, handlers: DataFrame) -> Data
     symbols = exploded(scan)["symbols"].select("file", "name", "line", "end")
     last = lines.groupBy("file").agg(F.max("line").alias("n"))
     bounds = symbols.withColumn("next", F.lead("line").over(Window.partitionBy("file").orderBy("line"))).join(last, "file")
-    spans = bounds.select("file", "name", F.col("line").alias("a"), F.coalesce("end", F.col("next") - 1, "n").alias("z"))
+    spans = cut(bounds.select("file", "name", F.col("line").alias("a"), F.coalesce("end", F.col("next") - 1, "n").alias("z")), "spans")
     named = P.innermost(handlers.select("file", "line").distinct(), spans, "file", "line", "a", "z", "name", "handler")
     scope = named.join(spans.withColumnRenamed("name", "handler"), ["file", "handler"], "left").join(last, "file")
-    scope = scope.filter("a is null or line between a and z").select("file", "line", "handler", F.coalesce("a", F.lit(1)).alias("from"), F.coalesce("z", "n").alias("to"))
+    scope = cut(scope.filter("a is null or line between a and z").select("file", "line", "handler", F.coalesce("a", F.lit(1)).alias("from"), F.coalesce("z", "n").alias("to")), "scopes")
     marks = lines.filter(F.col("text").rlike(R.AUTH_MARKERS)).select("file", F.col("line").alias("mark"))
     met = P.in_range(scope, marks, "file", "from", "to", "mark").groupBy("file", "line").agg(F.count(F.lit(1)).alias("marks"))
     out = scope.join(met, ["file", "line"], "left")

@@ -22,6 +22,11 @@ def parts_for(rows: DataFrame, rows_per_part: int = 1 << 18) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_per_part))
 
 
+def spread(rows: DataFrame, rows_per_part: int = 1 << 12) -> DataFrame:
+    """``rows`` dealt evenly to as many tasks as they need. A small file is read by one task, however much is made of each of its rows."""
+    return rows.repartition(max(1, -(-rows.count() // rows_per_part)))
+
+
 def segments(rows: DataFrame, group: list[str], order: list[str | Column], parts: int | None = None) -> DataFrame:
     """``rows`` as a table with ``part__``, the range partition of (group, order), and ``tie__n__``, which tells equal rows apart.
 
