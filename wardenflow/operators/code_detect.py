@@ -225,6 +225,7 @@ def sensitive_logs(scan: DataFrame, lines: DataFrame, most: int = 40) -> tuple[D
     calls = call_sinks(scan, rules=R.LOG_SINKS).select("file", "line").distinct()
     hits = calls.join(lines, ["file", "line"]).filter(F.col("text").rlike(R.SENSITIVE_NAMES) | (F.size(X.leak_kinds(F.col("text"))) > 0))
     found = conform(hits.select(F.lit("sensitive-log").alias("ident"), F.lit("Sensitive value in a log call").alias("title"), F.lit("logs").alias("category"), F.lit("engine").alias("tool"), F.lit("medium").alias("severity"), F.lit("low").alias("confidence"), "file", "line", F.lit("log").alias("kind"), F.lit("CWE-532").alias("cwe"), X.truncate_evidence(X.redact(F.trim("text"))).alias("message")))
+    found = cut(found, "sensitive")
     total = found.count()
     return found.orderBy(X.severity_rank(F.col("severity")), "id").limit(most), max(0, total - most)
 
