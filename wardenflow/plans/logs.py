@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -16,12 +18,17 @@ from wardenflow.storage import cut
 @dataclass
 class LogReport:
     events: DataFrame
-    findings: DataFrame
+    find: Callable[[], DataFrame]
     family_overflow: DataFrame
     leak_overflow: DataFrame
     statistics: dict[str, DataFrame]
     formats: DataFrame
 
+    @cached_property
+    def findings(self) -> DataFrame:
+        """Found when first asked for: the behaviour of addresses is folded over tables of its own, which statistics do not need."""
+        return self.find()
+
 
 def analyze_logs(lines: DataFrame, budget: str = "standard", window_s: int = L.WINDOW_S, redacted: bool = True) -> LogReport:
     """Findings and statistics of ``file, line, text``; files in order of path, ``budget`` lines of the run at most."""
@@ -30,5 +37,5 @@ def analyze_logs(lines: DataFrame, budget: str = "standard", window_s: int = L.W
     events = cut(S.parse(run.select("file", "line", "text", "idx"), formats), "events")
     signatures, family_overflow = L.signature_hits(events, redacted)
     leaked, leak_overflow = L.leaks(events, redacted)
-    found = union_all(signatures, L.scanner_agents(events, redacted), leaked, L.behaviour(events, window_s))
-    return LogReport(events, one_of_each(found), family_overflow, leak_overflow, L.statistics(events), formats)
+    find = lambda: one_of_each(union_all(signatures, L.scanner_agents(events, redacted), leaked, L.behaviour(events, window_s)))
+    return LogReport(events, find, family_overflow, leak_overflow, L.statistics(events), formats)
