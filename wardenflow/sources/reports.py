@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wardenflow.operators.findings import conform, one_of_each, union_all
 from wardenflow.sources.tools import ADAPTERS, agent_export, sarif
+from wardenflow.storage import cut
 
 #: All formats by name: the scanners' own, and the two that any tool may write.
 FORMATS = ADAPTERS | {"sarif": sarif, "agent-export": agent_export}
@@ -45,7 +46,7 @@ def status(reports: DataFrame) -> DataFrame:
 
 def report_findings(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Findings of all reports, one row for each id, and the reports' status (report, tool, status)."""
-    told = status(reports)
+    told = cut(status(reports), "status")  # each format reads it
     good = told.filter("status = 'read'")
     tools = sorted(r.tool for r in good.select("tool").distinct().collect())  # no more than there are formats
     parts = [FORMATS[t](good.filter(F.col("tool") == t).select("content")) for t in tools]
