@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from tests.llm import cases
-from wardenflow.llm.line_dedup import dedup_lines, drop_repeated_lines, line_table, near_lines, ring_blocks, segment_codes, verified
+from wardenflow.llm.line_dedup import _all_pairs, dedup_lines, drop_repeated_lines, finer_blocks, line_table, near_lines, ring_blocks, segment_codes, verified
 
 A = "all of the people in the town went to the market to buy bread and some milk today"
 B = A.replace("bread", "breads")
@@ -164,3 +164,43 @@ def test_very_long_lines(spark):
     long = " ".join(f"word{i}" for i in range(3000))
     docs = cases.table(spark, [(1, long, "en", "a", 1), (2, long.replace("word700 ", "other "), "en", "a", 1), (3, long[::-1], "en", "a", 1)])
     assert {r.doc_id: r.n_kept for r in dedup_lines(docs).collect()} == {1: 1, 2: 0, 3: 1}
+
+
+def test_cuts_do_cut_and_lose_no_candidate(spark):
+    """A cut leaves out what the block has already; pairs that agree by the block's segments alone still meet."""
+    from pyspark.sql import functions as F
+
+    word, lines, seen = iter(range(10**6)), [], set()
+    start = []
+    while len(start) < 3:  # three words in three segments that follow each other
+        w = f"w{next(word)}"
+        if xxhash.xxh64_intdigest(w.encode(), 42) >> 60 == 4 + len(start):
+            start.append(w)
+    for n in range(60):
+        line = " ".join(start + [f"{'ab'[n % 2]}{next(word)}" for _ in range(1 if n % 3 else 14)])
+        lines.append(line)
+    table = nodes(spark, lines)
+    codes = segment_codes(table)
+    members = ring_blocks(codes).join(codes, "key")
+    hot = members.groupBy("block").count().orderBy(F.desc("count")).first()
+    members = members.filter(F.col("block") == hot["block"])
+    assert hot["count"] > 30
+    of = {r.key: set(r.codes) for r in members.collect()}
+    own = set.intersection(*of.values())
+    for r in finer_blocks(members, 3, 0.35).collect():
+        seen.add((r.key, r.block))
+        assert not own & set(r.rest) and (r.block != hot["block"] or 0.35 * len(of[r.key]) <= 3)
+    blocks = {}
+    for key, block in seen:
+        blocks.setdefault(block, set()).add(key)
+    meet = {(a, b) for keys in blocks.values() for a, b in combinations(sorted(keys), 2)}
+    want = {(a, b) for a, b in combinations(sorted(of), 2) if len(of[a] & of[b]) >= 0.35 * max(len(of[a]), len(of[b]))}
+    assert want and want <= meet
+    assert max(len(keys) for block, keys in blocks.items() if block != hot["block"]) < hot["count"] / 2
+
+
+def test_all_pairs_of_a_block_once(spark):
+    rows = [(b, k, [k], k % 3, n) for b, n in ((1, 23), (2, 4), (3, 1)) for k in range(n)]
+    table = spark.createDataFrame(rows, "block long, key long, codes array<int>, label long, k long")
+    pairs = [(r.block, *sorted((r.key, r.b))) for r in _all_pairs(table, 4).collect()]
+    assert sorted(pairs) == sorted((b, x, y) for b, n in ((1, 23), (2, 4), (3, 1)) for x, y in combinations(range(n), 2))

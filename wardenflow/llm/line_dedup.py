@@ -12,9 +12,11 @@ keep the first occurrence in order of document and place.
 Within a block not all pairs are compared. First each line is compared with the smallest key of its block, which
 joins nearly all that are alike, however many. Blocks whose lines then are in one group are done. In others, lines of
 different groups are compared with each other if the block has at most ``crowd`` lines; larger ones are cut by one more
-equal segment, whichever it be, and start anew. What is crowded even after ``cuts`` such cuts is compared line by line
-with the whole block, until every line outside its largest group has been. So candidates end in one group if they are
-alike; a cut asks for a fourth equal segment, which candidates with twelve segments or more have by ``agree``.
+equal segment beside those that the block has, whichever it be, and start anew. Candidates that ``agree`` asks for no
+more equal segments than the block has need not share another, so lines that are short enough also stay in the uncut
+block. What is crowded even after ``cuts`` such cuts is compared in full as well. All pairs of a block, crowded or not,
+are spread over cells of ``crowd`` lines a side, so no task holds a block; their number grows with the square of what
+stays crowded. So candidates end in one group if they are alike.
 
 Lines are known by the 64-bit hash of their normalised text.
 
@@ -82,9 +84,21 @@ def ring_blocks(codes: DataFrame) -> DataFrame:
     return ring.select("key", F.explode(F.when(F.size("codes") > 3, three).otherwise(F.array(F.xxhash64("codes")))).alias("block"))
 
 
-def finer_blocks(members: DataFrame) -> DataFrame:
-    """Blocks with one more equal segment, for each segment of each line."""
-    return members.select("key", "block", F.explode("codes").alias("code")).select("key", F.xxhash64("block", "code").alias("block"))
+def finer_blocks(members: DataFrame, equal: int, agree: float) -> DataFrame:
+    """``key, block, rest``: blocks of ``equal`` segments with one more, for each segment of each line that the block does not have yet.
+
+    ``rest`` are the segments that stay. Lines with so few segments that ``agree`` may ask for no more than ``equal`` keep the old block too.
+    """
+    if "rest" not in members.columns:
+        ring = F.concat("codes", F.slice("codes", 1, 2))
+        own = F.transform("codes", lambda x, i: F.array(x, F.get(ring, i + 1), F.get(ring, i + 2)))
+        own = F.get(F.filter(own, lambda x: F.xxhash64(F.get(x, F.lit(0)), F.get(x, F.lit(1)), F.get(x, F.lit(2))) == F.col("block")), F.lit(0))
+        own = F.when(F.size("codes") > 3, own).otherwise(F.col("codes"))
+        members = members.withColumn("rest", F.array_except("codes", own))
+    more = members.select("key", "block", "rest", F.explode("rest").alias("code"))
+    more = more.select("key", F.xxhash64("block", "code").alias("block"), F.array_remove("rest", F.col("code")).alias("rest"))
+    few = members.filter(F.size("codes") * F.lit(agree) <= equal)
+    return more.unionByName(few.select("key", "block", "rest"))
 
 
 def _between(pairs: DataFrame) -> DataFrame:
@@ -155,35 +169,27 @@ class _Links:
         forget(found)
 
     def open(self, members: DataFrame) -> DataFrame:
-        """The rows (block, key, codes) of blocks with more than one group, with their group's label and the block's size k."""
-        named = members.select("block", "key", "codes").join(self.groups, members["key"] == F.col("node"), "left")
-        labelled = settle(named.select("block", "key", "codes", F.coalesce("component", "key").alias("label")), "labelled")
+        """The rows (block, key, codes and others) of blocks with more than one group, with their group's label and the block's size k."""
+        named = members.join(self.groups, members["key"] == F.col("node"), "left")
+        labelled = settle(named.select(*members.columns, F.coalesce("component", "key").alias("label")), "labelled")
         sizes = labelled.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
         opened = settle(labelled.join(sizes.select("block", "k"), "block"), "open")
         forget(labelled)
         return opened
 
 
-def _pairs(rows: DataFrame, others: DataFrame, agree: float) -> DataFrame:
-    """Candidates ``a, b``: rows (block, key, codes, label) with those others (block, b, b_codes, b_label) of their block that are in another group."""
-    return rows.join(others, "block").filter((F.col("label") != F.col("b_label")) & agreeing(F.col("codes"), F.col("b_codes"), agree)).select(F.col("key").alias("a"), "b")
+def _candidates(pairs: DataFrame, agree: float) -> DataFrame:
+    """The pairs (key, codes, label, b, b_codes, b_label) of different groups that have enough segments in common, as ``a, b``."""
+    return pairs.filter((F.col("label") != F.col("b_label")) & agreeing(F.col("codes"), F.col("b_codes"), agree)).select(F.col("key").alias("a"), "b")
 
 
-def _one_by_one(links: _Links, rows: DataFrame, agree: float, at_once: int = 64) -> None:
-    """Lines of crowded blocks, ``at_once`` in a turn, against the whole block, until the lines outside its largest group have had their turn."""
-    done = rows.sparkSession.createDataFrame([], "block long, key long")
-    while True:
-        before, rows = rows, links.open(rows)
-        forget(before)
-        groups = rows.groupBy("block", "label").agg(F.count(F.lit(1)).alias("size"))
-        largest = groups.groupBy("block").agg(F.max(F.struct("size", "label")).getField("label").alias("largest"))
-        left = rows.join(largest, "block").filter(F.col("label") != F.col("largest")).join(done, ["block", "key"], "left_anti")
-        turn = left.groupBy("block", F.pmod(F.xxhash64("key"), F.lit(at_once)).alias("seat")).agg(F.min_by(F.struct("key", "codes", "label"), "key").alias("x"))
-        turn = settle(turn.select("block", F.col("x.key").alias("b"), F.col("x.codes").alias("b_codes"), F.col("x.label").alias("b_label")), "turn")
-        if turn.isEmpty():
-            return
-        done = done.unionByName(turn.select("block", F.col("b").alias("key")))
-        links.add(_pairs(rows, turn, agree))
+def _all_pairs(rows: DataFrame, side: int) -> DataFrame:
+    """All pairs of rows (block, key, codes, label, k) within their block of ``k`` rows, spread over cells of about ``side`` rows a side."""
+    parts = F.ceil(F.col("k") / side).cast("int")
+    rows = rows.select("block", "key", "codes", "label", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("block", "key"), F.col("parts")).cast("int"))
+    left = rows.select("block", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), "key", "codes", "label")
+    right = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), F.col("key").alias("b"), F.col("codes").alias("b_codes"), F.col("label").alias("b_label"))
+    return left.join(right, ["block", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("key") < F.col("b")))
 
 
 def near_lines(lines: DataFrame, similarity: float = 0.8, agree: float = 0.35, crowd: int = 256, cuts: int = 1, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -193,7 +199,8 @@ def near_lines(lines: DataFrame, similarity: float = 0.8, agree: float = 0.35, c
     for cut in range(cuts + 1):
         shared = settle(blocks.groupBy("block").count().filter("count > 1").select("block"), "blocks")
         shared = F.broadcast(shared) if shared.count() <= most_broadcast else shared
-        members = settle(blocks.join(shared, "block").join(codes, "key").select("block", "key", "codes"), "members")
+        columns = ["block", "key", "codes", *(["rest"] if cut else [])]
+        members = settle(blocks.join(shared, "block").join(codes, "key").select(*columns), "members")
         forget(shared)
         if cut:
             forget(blocks)
@@ -205,21 +212,16 @@ def near_lines(lines: DataFrame, similarity: float = 0.8, agree: float = 0.35, c
             forget(asked)
         first = members.groupBy("block").agg(F.min_by(F.struct("key", "codes"), "key").alias("x"))
         first = first.select("block", F.col("x.key").alias("b"), F.col("x.codes").alias("b_codes"), F.col("x.key").alias("b_label"))
-        links.add(_pairs(members.withColumn("label", F.col("key")), first, agree))
+        links.add(_candidates(members.withColumn("label", F.col("key")).join(first, "block"), agree))
         left = links.open(members)
         forget(members)
-        few = left.filter(F.col("k") <= crowd).select("block", "key", "codes", "label")
-        others = few.select("block", F.col("key").alias("b"), F.col("codes").alias("b_codes"), F.col("label").alias("b_label"))
-        if not few.isEmpty():
-            links.add(_pairs(few, others, agree).filter("a < b"))
-        crowded = left.filter(F.col("k") > crowd).select("block", "key", "codes")
-        if crowded.isEmpty():
-            break
-        if cut == cuts:
-            _one_by_one(links, crowded, agree)
-        else:
-            blocks = settle(finer_blocks(crowded), "finer")
+        crowded = left.filter(F.col("k") > crowd).select(*columns) if cut < cuts else None
+        links.add(_candidates(_all_pairs(left if crowded is None else left.filter(F.col("k") <= crowd), crowd), agree))
+        if crowded is None or crowded.isEmpty():
             forget(left)
+            break
+        blocks = settle(finer_blocks(crowded, 3 + cut, agree), "finer")
+        forget(left)
     forget(codes)
     forget(links.texts)
     return links.groups
