@@ -116,3 +116,34 @@ def test_each_bit_is_mixed_and_moves_its_weights():
         want[k] += math.log(p if b else 1 - p)
         weights[k, (a1 & 1) + 2 * (a2 & 1) + 4 * (d > 2)] = [p_ + mixer.rate * (b - p) * q for p_, q in zip(w, inputs, strict=True)]
     assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_documents_side_by_side_score_as_alone(monkeypatch):
+    """Scores do not depend on which documents go together nor on how many of their symbols and bits do."""
+    from wardenflow.llm import lm_score
+
+    draw = random.Random(8)
+    words = [f"w{n}".encode() for n in range(300)]
+    keys, counts = zip(*sorted((key_of(w), 1 + 3000 // (n + 1)) for n, w in enumerate([*words, b""])), strict=True)
+    v = Vocabulary(np.array(keys, np.uint64), np.array(counts), rare=50)
+    mixer = Mixer.of(np.random.default_rng(8).integers(0, 9, 2 * sum(1 << b for b in (21, 22))).astype(np.uint32))
+    texts = [" ".join(f"w{draw.randrange(330)}" for _ in range(draw.choice((0, 1, 30, 90, 400)))) for _ in range(70)]
+
+    def scores(texts):
+        got = np.zeros(len(texts))
+        streams = [[], []]
+        for part, piece in stretches(texts, v, 500):
+            for own, stream in zip(streams, piece.streams, strict=False):
+                stream.doc += part[0]
+                own.append(stream)
+        for number, (codes, own) in enumerate(zip(v.codes, streams, strict=True)):
+            if own:
+                mixer.add_scores(codes, lm_score.Stream.joined(own), len(texts), number, got)
+        return got
+
+    alone = np.concatenate([scores([t]) for t in texts])
+    assert np.allclose(scores(texts), alone, rtol=1e-4)
+    monkeypatch.setattr(lm_score, "FORWARD", 900)
+    monkeypatch.setattr(lm_score, "AT_ONCE", 700)
+    monkeypatch.setattr(lm_score, "FEW", 3)
+    assert np.allclose(scores(texts), alone, rtol=1e-4)

@@ -48,7 +48,12 @@ SLOT_BITS = (21, 22)  # of the two hashed predictors
 BLOCK = 1 << 16
 GATES = 16
 LIMIT = np.float32(11.5)  # of mixed log odds
-FEW = 40  # with fewer documents left, each is mixed by itself
+FEW = 24  # with fewer documents left, each is mixed by itself
+MOST_WORDS = 1_200_000  # of documents that are mixed together
+FORWARD = 300_000  # symbols of all documents that are laid out at a time
+AT_ONCE = 1 << 15  # bits whose inputs are made at a time
+ONE = np.float32(1)
+BIT = np.dtype([("words", np.float32), ("one", np.int8), ("two", np.int8), ("flags", np.int8), ("none", np.int8)])
 FIND_BITS = 20
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SCALE = 12.0  # log odds are kept as signed bytes, so many steps to one
@@ -188,28 +193,43 @@ class Stream:
     contexts: list[np.ndarray]
     salt: int
 
+    def before(self, sizes: np.ndarray, documents: int) -> np.ndarray:
+        """Sum of the ``sizes`` of earlier symbols of each symbol's document."""
+        order = np.argsort(self.doc, kind="stable")
+        ends, total = np.empty_like(sizes), np.cumsum(sizes[order])
+        starts = np.r_[0, total][np.searchsorted(self.doc[order], np.arange(documents))]
+        ends[order] = total
+        return ends - sizes - starts[self.doc]
+
+    @classmethod
+    def joined(cls, parts: list[Stream]) -> Stream:
+        """Streams of one kind, whose documents are numbered on, as one."""
+        contexts = [np.concatenate(c) for c in zip(*(p.contexts for p in parts), strict=True)]
+        return cls(np.concatenate([p.symbols for p in parts]), np.concatenate([p.doc for p in parts]), contexts, parts[0].salt)
+
     def at(self, where: np.ndarray) -> Stream:
         return Stream(self.symbols[where], self.doc[where], [c[where] for c in self.contexts], self.salt)
 
     def bits(self, codes: Codes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """By depth: the symbols that have a bit there, its value, its node and its slots in the hashed tables."""
-        top, length = codes.top[self.symbols], codes.length[self.symbols]
+        length = codes.length[self.symbols]
+        order = np.argsort((DEPTH - length).astype(np.uint8), kind="stable")  # the longest first: those with a bit at a depth are in front
+        top, length, contexts = codes.top[self.symbols][order], length[order], [c[order] for c in self.contexts]
         for d in range(DEPTH):
-            here = np.flatnonzero(length > d)
-            if not len(here):
+            n = np.count_nonzero(length > d)
+            if not n:
                 return
-            prefix = top[here] >> (length[here] - (d + 1))
+            prefix = top[:n] >> (length[:n] - (d + 1))
             value, node = prefix & 1, (prefix >> 1) | (1 << d)
             step = (node + (self.salt << (DEPTH + 1))).astype(np.uint64)
             step *= ODD[0]
             slots = []
-            for context, bits in zip(self.contexts, SLOT_BITS, strict=True):
-                x = context[here]
-                x += step
+            for context, bits in zip(contexts, SLOT_BITS, strict=True):
+                x = context[:n] + step
                 x *= ODD[1]
                 x >>= np.uint64(64 - bits)
                 slots.append(x.view(np.int64))
-            yield here, value, node, slots
+            yield order[:n], value, node, slots
 
 
 def _shifted(x: np.ndarray, by: int, fresh: np.ndarray, start) -> np.ndarray:
@@ -421,54 +441,103 @@ class Mixer:
     def add_scores(self, codes: Codes, stream: Stream, documents: int, number: int, out: np.ndarray) -> None:
         """Add natural logarithms of the stream's probabilities to ``out``, by document.
 
-        The n-th bits of all documents are mixed together, each with its own document's weights, which then move; a
-        document's bits follow each other.
+        Documents go forward side by side, some symbols of each at a time. Of these the n-th bits of all documents are
+        mixed together, each with its own document's weights, which then move; a document's bits follow each other.
         """
         if not len(stream.symbols):
             return
         out += np.bincount(stream.doc, codes.tail[stream.symbols], documents) * np.log(10)
+        place = _since(_starts(stream.doc))
+        ends = np.cumsum(np.bincount(place))
+        stream = stream.at(np.argsort(place.astype(np.uint16) if len(ends) <= 1 << 16 else place, kind="stable"))  # short numbers sort faster
+        weights, at, symbols = np.repeat(self.first_weights().T, documents, axis=1), 0, 0
+        while symbols < len(stream.symbols):
+            at = max(at + 1, int(np.searchsorted(ends, symbols + FORWARD, side="right")))
+            until = int(ends[at - 1])
+            self._add_some(codes, stream.at(slice(symbols, until)), weights, number, out)
+            symbols = until
+
+    def _add_some(self, codes: Codes, stream: Stream, weights: np.ndarray, number: int, out: np.ndarray) -> None:
+        """Add the scores of symbols, the n-th ones of all documents before the next, and move ``weights``, a row by predictor."""
+        documents = len(out)
         size = codes.length[stream.symbols].astype(np.int64)
-        first = np.cumsum(size) - size
-        n_bits = int(size.sum())
-        x, value, gate = np.empty((n_bits, 3), np.float32), np.empty(n_bits, np.int8), np.empty(n_bits, np.int8)
-        for d, (here, bit, node, (one, two)) in enumerate(stream.bits(codes)):
-            at = first[here] + d
-            a1, a2 = self.odds[0][one], self.odds[1][two]
-            x[at, 0], x[at, 1], x[at, 2] = codes.odds[node], a1 * np.float32(1 / SCALE), a2 * np.float32(1 / SCALE)
-            value[at], gate[at] = bit, (a1 & 1) + ((a2 & 1) << 1) + np.int8(4 * (d > 2) + 8 * number)
         bits = np.bincount(stream.doc, size, documents).astype(np.int64)
-        begin, z = np.cumsum(bits) - bits, np.empty(n_bits, np.float32)
         order = np.argsort(-bits, kind="stable")
+        seat = np.empty_like(order)
+        seat[order] = np.arange(documents)
         going = np.searchsorted(-bits[order], -np.arange(int(bits.max()) + 1), side="left")  # documents with more bits than that
-        weights = np.tile(self.first_weights(), (documents, 1))
-        start, own, t, rate = begin[order], order * GATES, 0, np.float32(self.rate)
-        while (n := int(going[t])) >= FEW:
-            at = start[:n] + t
-            here, to = x[at], own[:n] + gate[at]
-            w = weights[to]
-            mixed = np.einsum("ij,ij->i", w, here)
-            z[at] = mixed
-            mixed = np.exp(-np.maximum(np.minimum(mixed, LIMIT), -LIMIT))
-            mixed += 1
-            here *= (rate * (value[at] - 1 / mixed))[:, None]
-            w += here
-            weights[to] = w
-            t += 1
-        for k in order[: int(going[t])]:
-            a, b = int(begin[k]) + t, int(begin[k] + bits[k])
-            z[a:b] = self._mixed(x[a:b].tolist(), value[a:b].tolist(), gate[a:b].tolist(), weights[k * GATES : (k + 1) * GATES].tolist())
-        np.clip(z, -LIMIT, LIMIT, out=z)
-        cost = np.log1p(np.exp(-z)) + (1 - value) * z  # of each bit, in nats
-        out -= np.bincount(np.repeat(np.arange(documents), bits), cost, documents)
+        rows = np.cumsum(going) - going
+        first, seats = stream.before(size, documents), seat[stream.doc]
+        laid = np.empty(int(size.sum()), BIT)
+        for d, (here, bit, node, (one, two)) in enumerate(stream.bits(codes)):
+            if not d:  # all symbols, in the order that later depths keep
+                first, seats = first[here], seats[here]
+            at = rows[first[: len(here)] + d]
+            at += seats[: len(here)]
+            made = np.empty(len(at), BIT)
+            made["words"], made["one"], made["two"], made["flags"] = codes.odds[node], self.odds[0][one], self.odds[1][two], bit + 2 * (d > 2)
+            laid.view(np.uint64)[at] = made.view(np.uint64)
+
+        def inputs(at):
+            """Minus the log odds of some bits, by predictor, their values and their gates."""
+            own = laid[at]
+            x, one, two, v = np.empty((3, len(own)), np.float32), own["one"], own["two"], own["flags"]
+            np.negative(own["words"], out=x[0])
+            np.multiply(one, np.float32(-1 / SCALE), out=x[1])
+            np.multiply(two, np.float32(-1 / SCALE), out=x[2])
+            return x, v & 1, (one & 1) | (two & 1) << 1 | (v & 2) << 1 | np.int8(8 * number)
+
+        count, begin, t, rate, cost = going.tolist(), rows.tolist(), 0, np.float32(self.rate), np.zeros(documents)
+        rest = int(np.searchsorted(-going, -FEW, side="right"))  # from this bit on there are few documents
+        held, moved = np.empty((3, documents), np.float32), np.empty((3, documents), np.float32)
+        while t < rest:
+            end = max(t + 1, min(rest, int(np.searchsorted(rows, begin[t] + AT_ONCE))))
+            base = begin[t]
+            x, v, gate = inputs(slice(base, begin[end - 1] + count[end - 1]))
+            seats = np.arange(len(v)) - np.repeat(rows[t:end] - base, going[t:end])
+            to = gate.astype(np.int64)
+            to *= documents
+            to += order[seats]
+            aims, z, sums = v * rate, np.empty(len(v), np.float32), np.empty(len(v), np.float32)
+            while t < end:
+                n, a = count[t], begin[t] - base
+                b = a + n
+                i, here, w, m, mixed, total = to[a:b], x[:, a:b], held[:, :n], moved[:, :n], z[a:b], sums[a:b]
+                w0, w1, w2 = w
+                weights[0].take(i, out=w0, mode="clip")
+                weights[1].take(i, out=w1, mode="clip")
+                weights[2].take(i, out=w2, mode="clip")
+                np.multiply(w, here, out=m)
+                miss = m[0]
+                np.add(miss, m[1], out=mixed)
+                np.add(mixed, m[2], out=mixed)
+                np.minimum(mixed, LIMIT, out=mixed)
+                np.maximum(mixed, -LIMIT, out=mixed)
+                np.exp(mixed, out=total)
+                np.add(total, ONE, out=total)
+                np.divide(rate, total, out=miss)
+                np.subtract(miss, aims[a:b], out=miss)
+                np.multiply(here, miss, out=here)
+                np.add(w, here, out=w)
+                weights[0][i], weights[1][i], weights[2][i] = w0, w1, w2
+                t += 1
+            cost += np.bincount(seats, np.log(sums) - (1 - v) * z, documents)  # of each bit, in nats; z is minus the log odds
+        for k in range(count[rest]):
+            x, v, gate = inputs(rows[rest : bits[order[k]]] + k)
+            own = weights[:, order[k] :: documents].T.tolist()
+            z = np.clip(self._mixed(x.tolist(), v.tolist(), gate.tolist(), own), -LIMIT, LIMIT)
+            weights[:, order[k] :: documents] = np.array(own).T
+            cost[k] += (np.log1p(np.exp(z)) - (1 - v) * z).sum()
+        out[order] -= cost
 
     def _mixed(self, x: list, value: list, gate: list, weights: list) -> list[float]:
-        """The mixed log odds of one document's bits."""
+        """Minus the mixed log odds of one document's bits."""
         exp, rate, most, out = math.exp, self.rate, float(LIMIT), []
-        for (a, b, c), v, g in zip(x, value, gate, strict=True):
+        for a, b, c, v, g in zip(*x, value, gate, strict=True):
             w = weights[g]
             z = w[0] * a + w[1] * b + w[2] * c
             out.append(z)
-            miss = rate * (v - 1 / (1 + exp(-z if -most < z < most else most if z < 0 else -most)))
+            miss = rate * (1 / (1 + exp(z if -most < z < most else most if z > 0 else -most)) - v)
             w[0] += miss * a
             w[1] += miss * b
             w[2] += miss * c
@@ -493,19 +562,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         escape = len(common.value.keys)
         known = np.r_[logs.value, 0.0]
         for batch in batches:
-            parts, batch = [], batch.iloc[np.argsort([len(t or "") for t in batch["text"]])]  # documents of like length are mixed together
+            parts, scores, batch = [], [], batch.iloc[np.argsort([len(t or "") for t in batch["text"]])]  # documents of like length are mixed together
+            waiting, n, words = [[], []], 0, 0
+
+            def mixed():
+                total = np.zeros(n)
+                for number, (codes, streams) in enumerate(zip(common.value.codes, waiting, strict=True)):
+                    if streams:
+                        mixer.value.add_scores(codes, Stream.joined(streams), n, number, total)
+                return total / np.log(10)
+
             for part, piece in stretches(batch["text"].tolist(), common.value, 300_000):
                 m = len(part)
-                total = np.zeros(m)
-                for number, (codes, stream) in enumerate(zip(common.value.codes, piece.streams, strict=False)):
-                    mixer.value.add_scores(codes, stream, m, number, total)
-                total /= np.log(10)
                 is_rare = piece.found == escape
                 sizes = np.bincount(piece.doc, minlength=m)
                 rare = np.split(piece.keys[is_rare].view(np.int64), np.cumsum(np.bincount(piece.doc[is_rare], minlength=m))[:-1])
-                parts.append(pd.DataFrame({"n_tokens": sizes, "known": np.bincount(piece.doc, ~is_rare, m).astype(np.int64), "logs": np.bincount(piece.doc, known[piece.found], m), "score": total, "rare": rare}))
+                parts.append(pd.DataFrame({"n_tokens": sizes, "known": np.bincount(piece.doc, ~is_rare, m).astype(np.int64), "logs": np.bincount(piece.doc, known[piece.found], m), "rare": rare}))
+                for streams, stream in zip(waiting, piece.streams, strict=False):
+                    stream.doc += n
+                    streams.append(stream)
+                n, words = n + m, words + len(piece.doc)
+                if words > MOST_WORDS:
+                    scores.append(mixed())
+                    waiting, n, words = [[], []], 0, 0
+            scores.append(mixed())
             if parts:
                 out = pd.concat(parts, ignore_index=True)
+                out.insert(3, "score", np.concatenate(scores))
                 out.insert(0, "held_out", batch["held_out"].to_numpy())
                 out.insert(0, "doc_id", batch["doc_id"].to_numpy())
                 out["bytes"] = [len((t or "").encode("utf-8", "replace")) for t in batch["text"]]
