@@ -112,3 +112,14 @@ def test_statistics(spark):
     assert report.statistics["total"].first()["addresses"] == 3
     assert report.statistics["top_ip"].first()["n"] == 3
     assert L.FAMILY_CAP == 50
+
+
+def test_a_run_has_all_lines(spark, monkeypatch):
+    from wardenflow.plans.catalogue import QUERIES
+
+    monkeypatch.setattr(S, "BUDGETS", dict.fromkeys(S.BUDGETS, 3))
+    report = run(spark, {"a.log": "\n".join(access("10.0.0.1", i, "/.env" if i == 8 else "/p") for i in range(9))})
+    assert report.statistics["total"].first()["lines"] == 9 and ("probe-path", "a.log", 9) in kinds(report)
+    sf = "/root/testdata/sf0.001"
+    told = {r.statistic: r.row for r in QUERIES["log_run_statistics"](spark, sf).collect()}
+    assert f'"lines":{spark.read.parquet(f"{sf}/events.parquet").count()},' in told["total"]

@@ -30,10 +30,10 @@ class LogReport:
         return self.find()
 
 
-def analyze_logs(lines: DataFrame, budget: str = "standard", window_s: int = L.WINDOW_S, redacted: bool = True) -> LogReport:
-    """Findings and statistics of ``file, line, text``; files in order of path, ``budget`` lines of the run at most."""
+def analyze_logs(lines: DataFrame, window_s: int = L.WINDOW_S, redacted: bool = True) -> LogReport:
+    """Findings and statistics of all of ``file, line, text``; files in order of path. For a run of ``BUDGETS`` give what ``line_budget`` leaves."""
     formats = cut(S.detect_formats(lines), "formats")
-    run = numbered(lines, ["file", "line"], "idx").filter(f"idx <= {S.BUDGETS[budget]}")
+    run = numbered(lines, ["file", "line"], "idx")
     events = cut(S.parse(run.select("file", "line", "text", "idx"), formats), "events")
     signatures, family_overflow = L.signature_hits(events, redacted)
     leaked, leak_overflow = L.leaks(events, redacted)
