@@ -39,6 +39,16 @@ def test_egress_blocks_are_looked_up_without_a_window_over_all_lines(spark):
     assert sorted((r.line, r.kind) for r in found.collect()) == [(2, "open-ingress"), (29, "open-ingress")]
 
 
+def test_audits_broadcast_no_side_of_unknown_size(spark):
+    text = {"a.js": ("res.setHeader('Access-Control-Allow-Origin', '*'); credentials: true", "res.cookie('a', f(b), {", "sameSite: 'lax' });", *["x"] * 18, "res.cookie('b', c,", *["y"] * 19, "{ sameSite: 1 });", "res.cookie('d', e,", *["z"] * 20, "{ sameSite: 1 });"), "k.yaml": ("apiVersion: v1", "kind: Pod", "privileged: true"), "n.tf": ("egress {", 'cidr_blocks = ["0.0.0.0/0"]')}
+    lines = spark.createDataFrame([(f, n + 1, t) for f, all_ in text.items() for n, t in enumerate(all_)], LINES)
+    web, cloud = C.audit_web(lines), C.audit_cloud(lines)
+    assert sorted((r.file, r.line, r.kind) for r in web.collect()) == [("a.js", 1, "cors-wildcard-credentials"), ("a.js", 43, "cookie-samesite")]
+    assert [(r.file, r.line, r.kind) for r in cloud.collect()] == [("k.yaml", 3, "k8s-privileged")]
+    for found in (web, cloud):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_statistics_do_not_wait_for_findings(spark, monkeypatch):
     calls, own = [], L.behaviour
     monkeypatch.setattr(L, "behaviour", lambda *a: calls.append(1) or own(*a))

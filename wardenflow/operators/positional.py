@@ -139,6 +139,11 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` marked to be joined by a shuffle. Spark guesses sizes from compressed files, and may broadcast a side that is far too large for it."""
+    return df.hint("merge")
+
+
 def literal_prefix(pattern: str) -> str:
     """The text with which every match of an anchored glob begins, up to the last slash before a wildcard; '' if there is none."""
     fixed = re.split(r"[*?\[{\\]", pattern.lstrip("/"), maxsplit=1)[0]
